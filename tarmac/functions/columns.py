@@ -59,7 +59,7 @@ def quarter_of_month(month="Month") -> Column:
 def date_from_parts(year, month, day) -> Column:
     """Lenient date: an impossible day (Feb 30) gives null instead of an error."""
     text = F.format_string("%04d-%02d-%02d", _c(year), _c(month), _c(day))
-    return F.try_to_date(text, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(text, "yyyy-MM-dd")
 
 
 def month_name(month="Month") -> Column:

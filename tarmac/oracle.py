@@ -166,6 +166,9 @@ scored AS (
 )"""
 
 
+PROCESSED_ONLY = ""
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
 

@@ -107,3 +107,225 @@ def clean_flights_q(spark, sf):
     return clean_flights(T.flights_raw(spark, sf)).select(
         "flight_key", "Reporting_Airline", "Origin", "Dest", "ArrDelay", "TaxiOut",
         "CRSElapsedTime", "ActualElapsedTime", K.TARGET)
+
+
+@register("time_bins", O.flights_sql(f"""
+SELECT dep_hour, {O._TOD} AS time_of_day, count(*) AS flights FROM cf GROUP BY ALL"""))
+def time_bins(spark, sf):
+    df = cleaned(spark, sf)
+    return df.groupBy("dep_hour", X.time_of_day("dep_hour").alias("time_of_day")) \
+             .agg(F.count(F.lit(1)).alias("flights"))
+
+
+@register("distance_bins", O.flights_sql(f"""
+SELECT {O._DG} AS distance_group, count(*) AS flights,
+  min(Distance) AS min_distance, max(Distance) AS max_distance FROM cf GROUP BY ALL"""))
+def distance_bins(spark, sf):
+    df = cleaned(spark, sf)
+    return df.groupBy(X.distance_group("Distance").alias("distance_group")).agg(
+        F.count(F.lit(1)).alias("flights"),
+        F.min("Distance").alias("min_distance"), F.max("Distance").alias("max_distance"))
+
+
+@register("season", O.flights_sql(f"""
+SELECT Month, {O._SEASON} AS season, count(*) AS flights FROM cf GROUP BY ALL"""))
+def season_q(spark, sf):
+    df = cleaned(spark, sf)
+    return df.groupBy("Month", X.season("Month").alias("season")).agg(F.count(F.lit(1)).alias("flights"))
+
+
+@register("hhmm_split", O.flights_sql("""
+SELECT CRSDepTime, dep_hour, dep_minute, count(*) AS flights FROM cf GROUP BY ALL"""))
+def hhmm_split(spark, sf):
+    df = cleaned(spark, sf)
+    return df.groupBy("CRSDepTime", "dep_hour", "dep_minute").agg(F.count(F.lit(1)).alias("flights"))
+
+
+@register("date_parts", O.flights_sql("""
+SELECT Year, Month, DayofMonth + 3 AS day,
+  CAST(floor((Month - 1) / 3) + 1 AS INT) AS quarter,
+  try_cast(printf('%04d-%02d-%02d', Year, Month, DayofMonth + 3) AS DATE) AS shifted_date,
+  count(*) AS flights
+FROM flights_raw GROUP BY ALL"""))
+def date_parts(spark, sf):
+    """R1 + R2 on the flight calendar parts, with the day moved 3 ahead so that
+    impossible dates (Feb 30, Apr 31, day 34) occur and become null."""
+    raw = T.flights_raw(spark, sf)
+    day = (F.col("DayofMonth") + 3).alias("day")
+    return (raw.groupBy("Year", "Month", day)
+               .agg(F.count(F.lit(1)).alias("flights"))
+               .withColumn("quarter", X.quarter_of_month("Month"))
+               .withColumn("shifted_date", X.date_from_parts("Year", "Month", "day")))
+
+
+@register("valid_dates", O.flights_sql("""
+SELECT count(*) AS rows_in,
+  count(try_cast(printf('%04d-%02d-%02d', Year, Month, DayofMonth + 3) AS DATE)) AS rows_kept
+FROM flights_raw"""))
+def valid_dates(spark, sf):
+    """R2 'then dropped': rows whose shifted date is impossible are removed."""
+    raw = T.flights_raw(spark, sf).withColumn(
+        "shifted_date", X.date_from_parts("Year", "Month", F.col("DayofMonth") + 3))
+    # One pass: count(shifted_date) is the row count after dropna(subset=[date]).
+    return raw.agg(F.count(F.lit(1)).alias("rows_in"),
+                   F.count("shifted_date").alias("rows_kept"))
+
+
+@register("clamp_minutes", O.flights_sql("""
+SELECT flight_key, DepDelay, DepDelayMinutes, ArrDelay, ArrDelayMinutes FROM flights_raw"""))
+def clamp_minutes(spark, sf):
+    return T.flights_raw(spark, sf).select("flight_key", "DepDelay", "DepDelayMinutes",
+                                           "ArrDelay", "ArrDelayMinutes")
+
+
+_RISK_SQL = """round(least(greatest(0.20e0
+  + coalesce(CASE Reporting_Airline WHEN 'AA' THEN 0.02e0 WHEN 'DL' THEN -0.03e0
+      WHEN 'UA' THEN 0.01e0 WHEN 'WN' THEN 0.03e0 WHEN 'B6' THEN 0.04e0 WHEN 'AS' THEN -0.02e0
+      WHEN 'NK' THEN 0.06e0 WHEN 'F9' THEN 0.05e0 WHEN 'G4' THEN 0.07e0 WHEN 'HA' THEN -0.04e0 END, 0e0)
+  + CASE WHEN dep_hour BETWEEN 14 AND 20 THEN 0.08e0 ELSE 0e0 END
+  + CASE WHEN dep_hour < 9 THEN -0.05e0 ELSE 0e0 END
+  + CASE WHEN Month IN (6, 7, 8, 12) THEN 0.05e0 ELSE 0e0 END
+  + CASE WHEN DayOfWeek >= 6 THEN 0.02e0 ELSE 0e0 END, 0.05e0), 0.50e0), 9)"""
+
+
+@register("risk_score", O.flights_sql(f"""
+SELECT flight_key, {_RISK_SQL} AS delay_risk FROM cf"""))
+def risk_score(spark, sf):
+    df = cleaned(spark, sf)
+    return df.select("flight_key", F.round(X.delay_risk(), 9).alias("delay_risk"))
+
+
+@register("cause_allocation", O.flights_sql("""
+SELECT flight_key, ArrDelay, CarrierDelay, WeatherDelay, NASDelay, SecurityDelay,
+  LateAircraftDelay FROM flights_raw"""))
+def cause_allocation(spark, sf):
+    return T.flights_raw(spark, sf).select("flight_key", "ArrDelay", *K.CAUSE_COLUMNS)
+
+
+@register("elapsed_parts", O.flights_sql("""
+SELECT flight_key, TaxiOut, AirTime, TaxiIn, ActualElapsedTime, CRSElapsedTime FROM flights_raw"""))
+def elapsed_parts(spark, sf):
+    return T.flights_raw(spark, sf).select("flight_key", "TaxiOut", "AirTime", "TaxiIn",
+                                           "ActualElapsedTime", "CRSElapsedTime")
+
+
+@register("endpoint_check", O.flights_sql("""
+SELECT Origin, count(*) AS flights, count(*) FILTER (WHERE Origin = Dest) AS same_endpoints
+FROM flights_raw GROUP BY Origin"""))
+def endpoint_check(spark, sf):
+    """Per origin, how many rows break the different-endpoints rule."""
+    raw = T.flights_raw(spark, sf)
+    return raw.groupBy("Origin").agg(
+        F.count(F.lit(1)).alias("flights"),
+        F.count_if(F.col("Origin") == F.col("Dest")).alias("same_endpoints"))
+
+
+@register("dataset_summary", O.flights_sql("""
+SELECT count(*) AS rows, 29 AS columns, round(avg(CAST(ArrDelay > 15 AS INT)), 9) AS delay_rate,
+  count(DISTINCT Reporting_Airline) AS carriers, count(DISTINCT Origin) AS origins,
+  count(DISTINCT Dest) AS dests, min(FlightDate) AS first_date, max(FlightDate) AS last_date
+FROM flights_raw"""))
+def dataset_summary(spark, sf):
+    return A.dataset_summary(T.flights_raw(spark, sf))
+
+
+@register("extract_profile", O.flights_sql("""
+SELECT count(*) AS rows, 29 AS columns, min(FlightDate) AS first_date, max(FlightDate) AS last_date,
+  count(DISTINCT Reporting_Airline) AS carriers FROM flights_raw"""))
+def extract_profile(spark, sf):
+    return A.extract_profile(T.flights_raw(spark, sf))
+
+
+@register("column_contract", O.flights_sql("""
+SELECT e.column_name AS column_name, d.column_name IS NOT NULL AS present
+FROM (SELECT unnest([""" + ", ".join(f"'{c}'" for c in K.RAW_COLUMNS) + """]) AS column_name) e
+LEFT JOIN (DESCRIBE SELECT * FROM flights_raw) d ON e.column_name = d.column_name"""))
+def column_contract(spark, sf):
+    from tarmac.sources.files import column_contract as contract
+    return contract(T.flights_raw(spark, sf), K.RAW_COLUMNS)
+
+
+# --- step 3: encoders and the full transform --------------------------------
+
+def processed(spark, sf, keep_key: bool = True):
+    from tarmac.plans.features import transform
+    df, _model = transform(T.flights_raw(spark, sf), keep_key=keep_key)
+    return df
+
+
+def category_model(spark, sf):
+    from tarmac.operators.encoders import CategoryModel
+    return CategoryModel.fit(cleaned(spark, sf))
+
+
+@register("label_codes", O.flights_sql(O.PROCESSED_ONLY + """
+SELECT v AS Reporting_Airline, carrier_encoded FROM codes""", processed=True))
+def label_codes(spark, sf):
+    m = category_model(spark, sf)
+    return m.lookup("carrier", "Reporting_Airline", {"code": "carrier_encoded"})
+
+
+@register("share_codes", O.flights_sql("""
+SELECT 'origin' AS kind, v AS value, origin_freq AS share FROM osh
+UNION ALL SELECT 'dest', v, dest_freq FROM dsh""", processed=True))
+def share_codes(spark, sf):
+    m = category_model(spark, sf)
+    return m.table.filter(F.col("kind") != "carrier").select("kind", "value", "share")
+
+
+@register("one_hot", O.flights_sql("""
+SELECT flight_key, time_of_day_morning, time_of_day_afternoon, time_of_day_evening,
+  season_spring, season_summer, season_winter, distance_group_medium, distance_group_long,
+  distance_group_ultra_long FROM pf""", processed=True))
+def one_hot(spark, sf):
+    from tarmac.plans.features import ONE_HOT_COLUMNS
+    return processed(spark, sf).select("flight_key", *ONE_HOT_COLUMNS)
+
+
+def _scaler_sql():
+    from tarmac.plans.features import FEATURES
+    parts = [f"SELECT '{c}' AS feature, round(avg({c}), 9) AS mean, "
+             f"round(stddev_pop({c}), 9) AS std, "
+             f"round(CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END, 9) AS scale "
+             f"FROM pf" for c in FEATURES]
+    return O.flights_sql("\nUNION ALL\n".join(parts), processed=True)
+
+
+@register("scaled_features", _scaler_sql())
+def scaled_features(spark, sf):
+    """E4 fitted state: per feature mean, population std and the divisor used."""
+    from tarmac.operators.encoders import ScalerModel
+    from tarmac.plans.features import FEATURES
+    m = ScalerModel.fit(processed(spark, sf, keep_key=False), FEATURES)
+    return m.to_frame(spark).select(
+        "feature", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"),
+        F.round("scale", 9).alias("scale"))
+
+
+def _features_full_sql():
+    from tarmac.plans.features import PROCESSED_COLUMNS
+    cols = ["flight_key"] + [("round(log_distance, 9) AS log_distance" if c == "log_distance" else c)
+                             for c in PROCESSED_COLUMNS]
+    return O.flights_sql("SELECT " + ", ".join(cols) + " FROM pf", processed=True)
+
+
+@register("features_full", _features_full_sql())
+def features_full(spark, sf):
+    """The whole 32-column processed table (plus the row key)."""
+    df = processed(spark, sf)
+    return df.withColumn("log_distance", F.round("log_distance", 9))
+
+
+@register("carrier_names", O.flights_sql("""
+SELECT Reporting_Airline, n.carrier_name, round(avg(is_delayed), 9) AS delay_rate,
+  count(*) AS flights
+FROM cf LEFT JOIN (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in K.CARRIER_NAMES.items())
++ """) n(code, carrier_name) ON cf.Reporting_Airline = n.code
+GROUP BY ALL"""))
+def carrier_names(spark, sf):
+    """Delay rate by carrier with the carrier's name from the carrier dimension."""
+    from tarmac.operators.joins import lookup_join
+    dim = spark.createDataFrame(list(K.CARRIER_NAMES.items()),
+                                "Reporting_Airline string, carrier_name string")
+    rates = A.delay_rate_by(cleaned(spark, sf), "Reporting_Airline")
+    return lookup_join(rates, dim, "Reporting_Airline", "left", dim_rows=len(K.CARRIER_NAMES))

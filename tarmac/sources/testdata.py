@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# Input tables are immutable within a run: their row counts (the size check
+# before a broadcast) are taken once per path.
+_ROWS: dict[str, int] = {}
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if path not in _ROWS:
+        _ROWS[path] = spark.read.parquet(path).count()
+    return _ROWS[path]
+
+
 def carrier_from_key(key) -> F.Column:
     col = F.col(key) if isinstance(key, str) else key
     return F.substring(F.lit(CARRIER_STRIP), ((col % 10) * 2 + 1).cast("int"), 2)
@@ -44,16 +56,23 @@ def flights_raw(spark: SparkSession, sf_dir: str, with_key: bool = True) -> Data
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     # Dimensions: nation names folded into supplier and customer first, so
     # only one narrow column per side crosses the large joins.
+    n_nation = table_rows(spark, sf_dir, "nation")
     supp = lookup_join(
         table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nk")),
-        _nation_names(spark, sf_dir, "nk", "Origin"), "nk", "inner").drop("nk")
+        _nation_names(spark, sf_dir, "nk", "Origin"), "nk", "inner", dim_rows=n_nation).drop("nk")
     cust = lookup_join(
         table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nk")),
-        _nation_names(spark, sf_dir, "nk", "Dest"), "nk", "inner").drop("nk")
-
+        _nation_names(spark, sf_dir, "nk", "Dest"), "nk", "inner", dim_rows=n_nation).drop("nk")
+
+    # Customer -> orders first (orders are ~1/4 of the fact rows), then the one
+    # large join fact x orders, a shuffle on the order key.  The customer and
+    # supplier sides are broadcast only if their checked row counts are under
+    # the bound (the inner nation join keeps their row counts).
+    orders = lookup_join(orders, cust, orders.o_custkey == cust.c_custkey, "inner",
+                         dim_rows=table_rows(spark, sf_dir, "customer"))
     fact = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
-    fact = lookup_join(fact, cust, fact.o_custkey == cust.c_custkey, "inner")
-    fact = lookup_join(fact, supp, fact.l_suppkey == supp.s_suppkey, "inner")
+    fact = lookup_join(fact, supp, fact.l_suppkey == supp.s_suppkey, "inner",
+                       dim_rows=table_rows(spark, sf_dir, "supplier"))
 
     d = F.col("o_orderdate")
     dep_delay = F.when(F.col("l_discount") > 0.075, F.lit(15.0) + F.col("l_quantity")) \
@@ -105,8 +124,9 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     ev = ev.withColumn("_ok", (F.col("user_id") % 25).cast("int")) \
            .withColumn("_dk", ((F.col("user_id") + F.col("event_id")) % 25).cast("int"))
-    ev = lookup_join(ev, _nation_names(spark, sf_dir, "_ok", "origin"), "_ok", "left")
-    ev = lookup_join(ev, _nation_names(spark, sf_dir, "_dk", "dest"), "_dk", "left")
+    n_nation = table_rows(spark, sf_dir, "nation")
+    ev = lookup_join(ev, _nation_names(spark, sf_dir, "_ok", "origin"), "_ok", "left", dim_rows=n_nation)
+    ev = lookup_join(ev, _nation_names(spark, sf_dir, "_dk", "dest"), "_dk", "left", dim_rows=n_nation)
     return ev.select(
         "event_id",
         F.col("ts").alias("timestamp"),
