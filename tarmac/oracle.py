@@ -168,6 +168,35 @@ scored AS (
 
 PROCESSED_ONLY = ""
 
+REQUESTS = """
+req AS (
+  SELECT flight_key AS request_id, Month AS month, DayofMonth AS day_of_month,
+    DayOfWeek AS day_of_week, CAST(floor(CRSDepTime / 100) AS INT) AS dep_hour,
+    CAST(CRSDepTime - 100 * floor(CRSDepTime / 100) AS INT) AS dep_minute,
+    Reporting_Airline AS carrier, Origin AS origin, Dest AS dest, Distance AS distance,
+    DepDelay AS dep_delay, TaxiOut AS taxi_out, CRSElapsedTime AS crs_elapsed_time
+  FROM flights_raw
+),
+chk AS (
+  SELECT *, concat_ws(',',
+    CASE WHEN month IS NULL THEN 'month:missing' END,
+    CASE WHEN day_of_month IS NULL THEN 'day_of_month:missing' END,
+    CASE WHEN day_of_week IS NULL THEN 'day_of_week:missing' END,
+    CASE WHEN dep_hour IS NULL THEN 'dep_hour:missing' END,
+    CASE WHEN carrier IS NULL THEN 'carrier:missing' END,
+    CASE WHEN origin IS NULL THEN 'origin:missing' END,
+    CASE WHEN dest IS NULL THEN 'dest:missing' END,
+    CASE WHEN distance IS NULL THEN 'distance:missing' END,
+    CASE WHEN month < 1 OR month > 12 THEN 'month:range' END,
+    CASE WHEN day_of_month < 1 OR day_of_month > 31 THEN 'day_of_month:range' END,
+    CASE WHEN day_of_week < 1 OR day_of_week > 7 THEN 'day_of_week:range' END,
+    CASE WHEN dep_hour < 0 OR dep_hour > 23 THEN 'dep_hour:range' END,
+    CASE WHEN dep_minute < 0 OR dep_minute > 59 THEN 'dep_minute:range' END,
+    CASE WHEN distance < 50 OR distance > 6000 THEN 'distance:range' END,
+    CASE WHEN taxi_out < 0 THEN 'taxi_out:range' END) AS reasons
+  FROM req
+)"""
+
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n"

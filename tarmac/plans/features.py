@@ -88,7 +88,8 @@ REQUEST_COLUMNS = ["month", "day_of_month", "day_of_week", "dep_hour", "dep_minu
 
 
 def serving_features(req: DataFrame, mode: str = "fitted",
-                     model: CategoryModel | None = None) -> DataFrame:
+                     model: CategoryModel | None = None, suffix: str = "",
+                     keep_request: bool = False) -> DataFrame:
     """Request rows -> the training feature columns (FEATURES order) plus pass-through columns.
 
     ``fitted``: the same rules and fitted tables as training (unseen -> 0).
@@ -97,7 +98,11 @@ def serving_features(req: DataFrame, mode: str = "fitted",
     a fall indicator in place of winter (so winter is absent -> 0 after alignment).
     Request names differ from feature names only by case, so the request
     columns are moved aside first (Spark resolves names case-insensitively).
+    With a ``suffix`` the feature columns are renamed and ``keep_request`` may
+    carry the request columns through (to build both modes in one pass).
     """
+    if keep_request and not suffix:
+        raise ValueError("keep_request needs a suffix (names would collide)")
     taken = {c.lower() for c in REQUEST_COLUMNS + FEATURES}
     keep = [c for c in req.columns if c.lower() not in taken]
     df = request_defaults(req).select(*keep, *[F.col(c).alias("_r_" + c) for c in REQUEST_COLUMNS])
@@ -135,8 +140,10 @@ def serving_features(req: DataFrame, mode: str = "fitted",
             X.weekend_flag(r["day_of_week"]), X.positive_flag(r["dep_delay"]),
             r["dep_delay"].cast("double"), r["taxi_out"].cast("int"),
             r["crs_elapsed_time"].cast("int")]
-    out = df.select(*keep, *[e.alias(n) for e, n in zip(base, K.BASE_FEATURES)], *onehots)
-    return fill_numeric_nulls(out, 0, subset=K.BASE_FEATURES)
+    carried = [F.col("_r_" + c).alias(c) for c in REQUEST_COLUMNS] if keep_request else []
+    out = df.select(*keep, *carried, *[e.alias(n + suffix) for e, n in zip(base, K.BASE_FEATURES)],
+                    *[o.alias(n + suffix) for o, n in zip(onehots, ONE_HOT_COLUMNS)])
+    return fill_numeric_nulls(out, 0, subset=[c + suffix for c in K.BASE_FEATURES])
 
 
 def align(df: DataFrame, feature_order: list[str], keep: list[str] | None = None) -> DataFrame:

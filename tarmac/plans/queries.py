@@ -329,3 +329,344 @@ def carrier_names(spark, sf):
                                 "Reporting_Airline string, carrier_name string")
     rates = A.delay_rate_by(cleaned(spark, sf), "Reporting_Airline")
     return lookup_join(rates, dim, "Reporting_Airline", "left", dim_rows=len(K.CARRIER_NAMES))
+
+
+# --- step 5: prediction log ---------------------------------------------------
+
+def plog_sql(body: str) -> str:
+    return O.with_ctes(O.PREDICTION_LOG) + body
+
+
+@register("log_kpis", plog_sql("""
+SELECT count(*) AS total_predictions, round(avg(prediction), 9) AS delayed_rate,
+  round(avg(probability), 9) AS avg_probability FROM plog"""))
+def log_kpis(spark, sf):
+    return A.log_kpis(T.prediction_log(spark, sf))
+
+
+@register("prediction_stats", plog_sql("""
+SELECT count(*) AS total_predictions, round(avg(prediction), 9) AS delayed_rate,
+  round(avg(probability), 9) AS avg_probability, min(timestamp) AS first_prediction,
+  max(timestamp) AS last_prediction FROM plog"""))
+def prediction_stats(spark, sf):
+    return A.prediction_stats(T.prediction_log(spark, sf))
+
+
+@register("log_by_carrier", plog_sql("""
+SELECT carrier, count(*) AS predictions FROM plog GROUP BY carrier"""))
+def log_by_carrier(spark, sf):
+    return A.predictions_by_carrier(T.prediction_log(spark, sf))
+
+
+@register("log_history", plog_sql("""
+SELECT *, (SELECT count(*) FROM plog) AS total
+FROM (SELECT * FROM plog ORDER BY event_id DESC LIMIT 50)"""))
+def log_history(spark, sf):
+    from tarmac.operators.topk import history
+    return history(T.prediction_log(spark, sf), 50)
+
+
+@register("log_recent", plog_sql("""
+SELECT * FROM plog ORDER BY event_id DESC LIMIT 20"""))
+def log_recent(spark, sf):
+    from tarmac.operators.topk import recent
+    return recent(T.prediction_log(spark, sf), 20)
+
+
+def _hist_sql(source: str, value: str, by: str | None = None) -> str:
+    by_sel = f", {by}" if by else ""
+    return f"""
+, b AS (SELECT min({value}) AS lo, max({value}) AS hi FROM {source})
+, h AS (
+  SELECT CAST(CASE WHEN hi > lo THEN least(29, floor(({value} - lo) * 30 / (hi - lo))) ELSE 0 END AS INT)
+    AS bin{by_sel}, lo, hi
+  FROM {source}, b WHERE {value} IS NOT NULL)
+SELECT bin{by_sel}, count(*) AS n,
+  round(lo + bin * (CASE WHEN hi > lo THEN (hi - lo) / 30 ELSE 1 END), 9) AS bin_start,
+  round(lo + (bin + 1) * (CASE WHEN hi > lo THEN (hi - lo) / 30 ELSE 1 END), 9) AS bin_end
+FROM h GROUP BY ALL"""
+
+
+@register("prob_histogram", O.with_ctes(O.PREDICTION_LOG).rstrip() + _hist_sql("plog", "probability"))
+def prob_histogram(spark, sf):
+    return A.histogram(T.prediction_log(spark, sf), "probability", 30)
+
+
+@register("distance_histogram", O.flights_sql("").rstrip() + _hist_sql("cf", "Distance", "is_delayed"))
+def distance_histogram(spark, sf):
+    return A.histogram(cleaned(spark, sf), "Distance", 30, by=K.TARGET)
+
+
+# --- step 6: requests, labels, split, metrics -----------------------------------
+
+def req_sql(body: str, processed: bool = False) -> str:
+    parts = [O.FLIGHTS_RAW, O.CLEAN] + ([O.PROCESSED] if processed else []) + [O.REQUESTS]
+    return O.with_ctes(*parts) + body
+
+
+@register("request_validation", req_sql("""
+SELECT request_id, reasons, reasons = '' AS valid FROM chk"""))
+def request_validation(spark, sf):
+    from tarmac.operators.requests import validate
+    return validate(T.score_requests(spark, sf)).select("request_id", "reasons", "valid")
+
+
+def _request_features_sql():
+    return req_sql("""
+SELECT request_id, month AS Month, day_of_month AS DayofMonth, day_of_week AS DayOfWeek,
+  dep_hour, coalesce(dep_minute, 0) AS dep_minute,
+  coalesce(codes.carrier_encoded, 0) AS carrier_encoded,
+  CAST(coalesce(osh.origin_freq, 0) AS DOUBLE) AS origin_freq,
+  CAST(coalesce(dsh.dest_freq, 0) AS DOUBLE) AS dest_freq,
+  distance AS Distance, round(ln(1 + distance), 9) AS log_distance,
+  CAST(day_of_week >= 6 AS INT) AS is_weekend,
+  CAST(coalesce(dep_delay, 0) > 0 AS INT) AS dep_delay_flag,
+  CAST(coalesce(dep_delay, 0) AS DOUBLE) AS DepDelay, coalesce(taxi_out, 15) AS TaxiOut,
+  CAST(coalesce(nullif(crs_elapsed_time, 0), CAST(trunc(distance / 8 + 30) AS INT)) AS INT) AS CRSElapsedTime,
+  CAST(dep_hour > 6 AND dep_hour <= 12 AS INT) AS time_of_day_morning,
+  CAST(dep_hour > 12 AND dep_hour <= 18 AS INT) AS time_of_day_afternoon,
+  CAST(dep_hour > 18 AND dep_hour <= 24 AS INT) AS time_of_day_evening,
+  CAST(month IN (3, 4, 5) AS INT) AS season_spring,
+  CAST(month IN (6, 7, 8) AS INT) AS season_summer,
+  CAST(month IN (12, 1, 2) AS INT) AS season_winter,
+  CAST(distance > 500 AND distance <= 1000 AS INT) AS distance_group_medium,
+  CAST(distance > 1000 AND distance <= 2000 AS INT) AS distance_group_long,
+  CAST(distance > 2000 AND distance <= 6000 AS INT) AS distance_group_ultra_long
+FROM chk
+LEFT JOIN codes ON chk.carrier = codes.v
+LEFT JOIN osh ON chk.origin = osh.v
+LEFT JOIN dsh ON chk.dest = dsh.v
+WHERE reasons = ''""", processed=True)
+
+
+@register("request_features", _request_features_sql())
+def request_features(spark, sf):
+    """B12 + B13 + fitted serving features for the valid requests."""
+    from tarmac.operators.requests import split_valid
+    from tarmac.plans.features import serving_features
+    valid, _rejected = split_valid(T.score_requests(spark, sf))
+    out = serving_features(valid, "fitted", category_model(spark, sf))
+    return out.withColumn("log_distance", F.round("log_distance", 9))
+
+
+def _parity_sql():
+    from tarmac.plans.features import FEATURES
+    compat = {
+        "carrier_encoded": "coalesce(CASE upper(carrier_raw) " + " ".join(
+            f"WHEN '{k}' THEN {v}" for k, v in K.SERVING_CARRIER_CODES.items()) + " END, 0)",
+        "origin_freq": f"{1 / len(K.AIRPORTS)!r}",
+        "dest_freq": f"{1 / len(K.AIRPORTS)!r}",
+        "season_winter": "0",
+        "distance_group_ultra_long": "CAST(Distance > 2000 AS INT)",
+    }
+    inner = _request_features_sql().replace(
+        "SELECT request_id, month AS Month", "SELECT request_id, carrier AS carrier_raw, month AS Month", 1)
+    body = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS DISTINCT FROM {compat.get(c, c)}) "
+        f"AS differing_rows FROM rf" for c in FEATURES)
+    return f"WITH rf AS ({inner})\n{body}"
+
+
+@register("feature_parity", _parity_sql())
+def feature_parity(spark, sf):
+    """Both feature builders on the same valid requests; rows that differ, per feature."""
+    from tarmac.operators.requests import split_valid
+    from tarmac.plans.features import FEATURES, serving_features
+    valid, _rejected = split_valid(T.score_requests(spark, sf))
+    both = serving_features(valid, "fitted", category_model(spark, sf), suffix="_fit",
+                            keep_request=True)
+    both = serving_features(both, "serving_compat", suffix="_cmp")
+    counts = both.agg(*[F.count_if(~F.col(c + "_fit").eqNullSafe(F.col(c + "_cmp"))).alias(c)
+                        for c in FEATURES])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("differing_rows"))
+                               for c in FEATURES]))
+    return counts.select(rows.alias("r")).select("r.*")
+
+
+@register("score_labels", plog_sql("""
+SELECT event_id, CASE WHEN prediction = 1 THEN 'DELAYED' ELSE 'ON TIME' END AS prediction_label,
+  round(probability, 4) AS delay_probability, prediction AS is_delayed,
+  round(greatest(probability, 1 - probability), 4) AS confidence FROM plog"""))
+def score_labels(spark, sf):
+    from tarmac.operators.requests import decorate
+    return decorate(T.prediction_log(spark, sf)).select(
+        "event_id", "prediction_label", "delay_probability", "is_delayed", "confidence")
+
+
+_HASH_SQL = ("CAST(('0x' || substr(md5(concat(flight_key, '42')), 1, 8))::BIGINT % 5 = 0 AS INT)")
+
+
+@register("hash_split", O.flights_sql(f"""
+SELECT {_HASH_SQL} AS is_test, is_delayed, count(*) AS n FROM cf GROUP BY ALL"""))
+def hash_split(spark, sf):
+    from tarmac.plans.training import hash_split_flag
+    df = cleaned(spark, sf)
+    return df.groupBy(hash_split_flag("flight_key").alias("is_test"), K.TARGET) \
+             .agg(F.count(F.lit(1)).alias("n"))
+
+
+def scored_sql(body: str) -> str:
+    return O.with_ctes(O.SCORED) + body
+
+
+_PRED = "CAST(score >= 50 AS INT)"
+
+
+@register("confusion", scored_sql(f"""
+SELECT count(*) FILTER (WHERE label = 0 AND {_PRED} = 0) AS tn,
+  count(*) FILTER (WHERE label = 0 AND {_PRED} = 1) AS fp,
+  count(*) FILTER (WHERE label = 1 AND {_PRED} = 0) AS fn,
+  count(*) FILTER (WHERE label = 1 AND {_PRED} = 1) AS tp, count(*) AS n FROM scored"""))
+def confusion_q(spark, sf):
+    from tarmac.operators.metrics import confusion
+    return confusion(_thresholded(spark, sf))
+
+
+def _thresholded(spark, sf):
+    s = T.scored(spark, sf)
+    return s.withColumn("prediction", (F.col("score") >= 50).cast("int"))
+
+
+_CONF = f"""
+, c AS (SELECT count(*) FILTER (WHERE label = 0 AND {_PRED} = 0) AS tn,
+  count(*) FILTER (WHERE label = 0 AND {_PRED} = 1) AS fp,
+  count(*) FILTER (WHERE label = 1 AND {_PRED} = 0) AS fn,
+  count(*) FILTER (WHERE label = 1 AND {_PRED} = 1) AS tp FROM scored)"""
+
+
+@register("class_metrics", scored_sql(_CONF + """
+SELECT round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1_score FROM c"""))
+def class_metrics_q(spark, sf):
+    from tarmac.operators.metrics import class_metrics, confusion
+    return class_metrics(confusion(_thresholded(spark, sf)), digits=9)
+
+
+@register("class_report", scored_sql(_CONF + """
+, m AS (SELECT *, tn + fp + fn + tp AS n,
+  coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
+  coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1,
+  coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) AS f0,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c)
+SELECT 'On-Time' AS class, round(p0, 9) AS precision, round(r0, 9) AS recall, round(f0, 9) AS f1_score, tn + fp AS support FROM m
+UNION ALL SELECT 'Delayed', round(p1, 9), round(r1, 9), round(f1, 9), tp + fn FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round((tp + tn) / n, 9), n FROM m
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 9), round((r0 + r1) / 2, 9), round((f0 + f1) / 2, 9), n FROM m
+UNION ALL SELECT 'weighted avg', round(p0 * (tn + fp) / n + p1 * (tp + fn) / n, 9),
+  round(r0 * (tn + fp) / n + r1 * (tp + fn) / n, 9), round(f0 * (tn + fp) / n + f1 * (tp + fn) / n, 9), n FROM m"""))
+def class_report_q(spark, sf):
+    from tarmac.operators.metrics import class_report, confusion
+    r = class_report(confusion(_thresholded(spark, sf)))
+    return r.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1_score")],
+                    "support")
+
+
+@register("auc", scored_sql("""
+, r AS (SELECT label, rank() OVER (ORDER BY score) AS lo,
+        count(*) OVER (PARTITION BY score) AS ties FROM scored WHERE score IS NOT NULL)
+SELECT round((sum(CASE WHEN label = 1 THEN lo + (ties - 1) / 2.0 ELSE 0 END)
+   - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+   / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 9) AS roc_auc,
+  count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives
+FROM r"""))
+def auc(spark, sf):
+    from tarmac.operators.metrics import roc_auc
+    r = roc_auc(T.scored(spark, sf))
+    return r.withColumn("roc_auc", F.round("roc_auc", 9))
+
+
+# --- step 7: drift ---------------------------------------------------------------
+
+def _ks_sql(ref_src: str, prod_src: str, pairs: list[tuple[str, str]], gate: bool = False) -> str:
+    union = "\n  UNION ALL ".join(
+        [f"SELECT '{p}' AS feature, CAST({r} AS DOUBLE) AS value, 'ref' AS side FROM {ref_src}"
+         for p, r in pairs] +
+        [f"SELECT '{p}', CAST({p} AS DOUBLE), 'prod' FROM {prod_src}" for p, r in pairs])
+    where_gate = f"AND (SELECT count(*) FROM {prod_src}) >= {K.DRIFT_MIN_ROWS}" if gate else ""
+    return f"""
+, lf AS (SELECT * FROM ({union}) WHERE value IS NOT NULL)
+, mom AS (
+  SELECT feature, count(*) FILTER (WHERE side = 'ref') AS n_ref,
+    count(*) FILTER (WHERE side = 'prod') AS n_prod,
+    avg(value) FILTER (WHERE side = 'ref') AS ref_mean, avg(value) FILTER (WHERE side = 'prod') AS prod_mean,
+    stddev_pop(value) FILTER (WHERE side = 'ref') AS ref_std,
+    stddev_pop(value) FILTER (WHERE side = 'prod') AS prod_std
+  FROM lf GROUP BY feature)
+, pv AS (SELECT feature, value, count(*) FILTER (WHERE side = 'ref') AS c_ref,
+    count(*) FILTER (WHERE side = 'prod') AS c_prod FROM lf GROUP BY ALL)
+, cum AS (SELECT feature, value,
+    sum(c_ref) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cr,
+    sum(c_prod) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp
+  FROM pv)
+, dd AS (SELECT cum.feature, max(abs(cr / n_ref - cp / n_prod)) AS d FROM cum JOIN mom USING (feature)
+  GROUP BY cum.feature)
+, r AS (SELECT dd.feature, d, mom.*, d * sqrt(CAST(n_ref AS DOUBLE) * n_prod / (n_ref + n_prod)) AS lam
+  FROM dd JOIN mom ON dd.feature = mom.feature WHERE n_ref > 0 AND n_prod > 0 {where_gate})
+, pr AS (SELECT *, CASE WHEN lam < 0.2 THEN 1e0 ELSE least(1e0, greatest(0e0, list_sum(
+    [2e0 * (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * k * k * lam * lam)
+     for k in range(1, 101)]))) END AS p FROM r)
+SELECT feature, p < {K.DRIFT_ALPHA} AS drift, round(p, 6) AS p_value, round(d, 6) AS ks_statistic,
+  round(ref_mean, 4) AS ref_mean, round(prod_mean, 4) AS prod_mean,
+  round(ref_std, 4) AS ref_std, round(prod_std, 4) AS prod_std
+FROM pr"""
+
+
+def _drift_sql(gate: bool = False) -> str:
+    return (O.with_ctes(O.FLIGHTS_RAW, O.CLEAN, O.PROCESSED, O.PREDICTION_LOG).rstrip()
+            + _ks_sql("pf", "plog", K.DRIFT_FEATURES, gate))
+
+
+def _drift_inputs(spark, sf):
+    # The monitored training columns need no fitted encoder: the cleaned rows
+    # (the processed table's rows) carry them directly.
+    return cleaned(spark, sf), T.prediction_log(spark, sf)
+
+
+@register("ks_drift", _drift_sql())
+def ks_drift_q(spark, sf):
+    """Training table against the prediction log on the four monitored features."""
+    from tarmac.operators.drift import ks_drift
+    ref, prod = _drift_inputs(spark, sf)
+    return ks_drift(ref, prod)
+
+
+@register("drift_gate", _drift_sql(gate=True))
+def drift_gate(spark, sf):
+    """The same test behind the minimum-sample gate."""
+    from tarmac.operators.drift import gated_drift
+    ref, prod = _drift_inputs(spark, sf)
+    return gated_drift(ref, prod)
+
+
+@register("drift_report", _drift_sql().replace(
+    "SELECT feature, p < ", ", res AS (SELECT feature, p < ", 1) + """)
+SELECT (SELECT count(*) FROM pf) AS n_reference, (SELECT count(*) FROM plog) AS n_production,
+  count(*) AS n_features, coalesce(bool_or(drift), false) AS any_drift,
+  string_agg(CASE WHEN drift THEN feature END, ',' ORDER BY feature) AS drifted_features
+FROM res""")
+def drift_report_q(spark, sf):
+    """The report's scalar part; the nested JSON form is the A12 sink."""
+    from tarmac.operators.drift import ks_drift
+    ref, prod = _drift_inputs(spark, sf)
+    res = ks_drift(ref, prod)
+    return res.agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.coalesce(F.bool_or("drift"), F.lit(False)).alias("any_drift"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("drift"), F.col("feature")))), ",")
+        .alias("drifted_features"),
+    ).select(F.lit(ref.count()).cast("long").alias("n_reference"),
+             F.lit(prod.count()).cast("long").alias("n_production"), "*") \
+     .withColumn("drifted_features", F.nullif(F.col("drifted_features"), F.lit("")))
+
+
+@register("ks_value_split", O.with_ctes("""
+ev AS (SELECT event_id, value FROM events)""").rstrip() + _ks_sql(
+    "(SELECT value FROM ev WHERE event_id < 5000)", "(SELECT value FROM ev WHERE event_id >= 5000)",
+    [("value", "value")]))
+def ks_value_split(spark, sf):
+    """J1 on one column: early events (id < 5000) against later ones."""
+    from tarmac.operators.drift import ks_drift
+    ref, prod = T.drift_pair(spark, sf)
+    return ks_drift(ref, prod, features=[("value", "value")])

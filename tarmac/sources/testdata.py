@@ -154,3 +154,21 @@ def drift_pair(spark: SparkSession, sf_dir: str, split_id: int = 5000):
     ev = table(spark, sf_dir, "events").select("event_id", "value")
     return (ev.filter(F.col("event_id") < split_id).select("value"),
             ev.filter(F.col("event_id") >= split_id).select("value"))
+
+
+def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests built from every flight row (cancelled ones included).
+
+    Distances 0 and 6500 fall outside the accepted range, null taxi-out times
+    take the default: both validation paths are exercised.
+    """
+    raw = flights_raw(spark, sf_dir)
+    return raw.select(
+        F.col("flight_key").alias("request_id"),
+        F.col("Month").alias("month"), F.col("DayofMonth").alias("day_of_month"),
+        F.col("DayOfWeek").alias("day_of_week"),
+        X.hhmm_hour("CRSDepTime").alias("dep_hour"), X.hhmm_minute("CRSDepTime").alias("dep_minute"),
+        F.col("Reporting_Airline").alias("carrier"), F.col("Origin").alias("origin"),
+        F.col("Dest").alias("dest"), F.col("Distance").alias("distance"),
+        F.col("DepDelay").alias("dep_delay"), F.col("TaxiOut").alias("taxi_out"),
+        F.col("CRSElapsedTime").alias("crs_elapsed_time"))
