@@ -670,3 +670,152 @@ def ks_value_split(spark, sf):
     from tarmac.operators.drift import ks_drift
     ref, prod = T.drift_pair(spark, sf)
     return ks_drift(ref, prod, features=[("value", "value")])
+
+
+# --- step 8/9: models, runs, attributions (no SQL form: checked by invariants) ---
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf, preset: str = "quick"):
+    """Train once per (application, input, preset); later queries reuse the artifacts."""
+    from tarmac.plans.features import transform
+    from tarmac.plans.training import train_all
+    from tarmac.session import shared_path
+    key = (spark.sparkContext.applicationId, sf, preset)
+    if key not in _TRAINED:
+        proc, cats = transform(T.flights_raw(spark, sf), keep_key=True)
+        root = shared_path(spark, "models", unique=True)
+        res = train_all(proc, root, preset, runs_path=f"{root}/runs")
+        _TRAINED[key] = (res, root, cats, proc)
+    return _TRAINED[key]
+
+
+@register("train_compare")
+def train_compare(spark, sf):
+    """H6 + G9 + G10: fit the three models, hold-out metrics, best marked."""
+    res, _root, _cats, _proc = trained(spark, sf)
+    return res.comparison.drop("train_time_seconds")
+
+
+@register("best_run")
+def best_run_q(spark, sf):
+    """Best logged run by F1 (ties: earliest start)."""
+    from tarmac.plans.runs import best_run, read_runs
+    _res, root, _cats, _proc = trained(spark, sf)
+    return best_run(read_runs(spark, f"{root}/runs")).select("run_name", "params", "metrics")
+
+
+@register("evaluate_model")
+def evaluate_model(spark, sf):
+    """H7: reload the best model and artifacts, class report on the re-derived hold-out."""
+    from tarmac.plans.training import evaluate_job
+    _res, root, _cats, proc = trained(spark, sf)
+    _metrics, _conf, report = evaluate_job(proc, root, runs_path=f"{root}/runs")
+    return report
+
+
+@register("score_batch")
+def score_batch(spark, sf):
+    """H8: validate, feature, scale, score and decorate every request row."""
+    from tarmac.plans.scoring import score_requests
+    from tarmac.plans.training import load_artifacts, load_best
+    _res, root, cats, _proc = trained(spark, sf)
+    name, model = load_best(spark, root)
+    scaler, feats = load_artifacts(spark, root)
+    scored, _rejected = score_requests(T.score_requests(spark, sf), model, name, scaler, feats, cats)
+    return scored.select("request_id", "prediction_label", "delay_probability", "is_delayed",
+                         "confidence", "model_type", "features_used")
+
+
+def _forest(spark, sf):
+    from tarmac.plans.training import load_artifacts, load_model
+    res, root, _cats, _proc = trained(spark, sf)
+    _scaler, feats = load_artifacts(spark, root)
+    return load_model("RandomForest", res.model_paths["RandomForest"]), feats
+
+
+@register("importances")
+def importances_q(spark, sf):
+    """Top-10 forest importances, descending."""
+    from tarmac.operators.topk import top_values
+    from tarmac.plans.scoring import importances
+    model, feats = _forest(spark, sf)
+    return top_values(importances(spark, model, feats), "feature", "importance", 10)
+
+
+@register("importance_table")
+def importance_table(spark, sf):
+    """Ranked importance table with 4-digit text values."""
+    from tarmac.operators.topk import ranked_table
+    from tarmac.plans.scoring import importances
+    model, feats = _forest(spark, sf)
+    return ranked_table(importances(spark, model, feats), "feature", "importance")
+
+
+@register("model_info")
+def model_info_q(spark, sf):
+    """H9: description of the selected model."""
+    from tarmac.plans.scoring import model_info
+    from tarmac.plans.training import load_artifacts, load_best
+    _res, root, _cats, _proc = trained(spark, sf)
+    name, model = load_best(spark, root)
+    _scaler, feats = load_artifacts(spark, root)
+    return model_info(spark, model, name, feats)
+
+
+def _assembled_requests(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from tarmac.operators.requests import split_valid
+    from tarmac.plans.features import align, serving_features
+    from tarmac.plans.training import load_artifacts
+    _res, root, cats, _proc = trained(spark, sf)
+    scaler, feats = load_artifacts(spark, root)
+    valid, _rej = split_valid(T.score_requests(spark, sf))
+    f = align(serving_features(valid, "fitted", cats), feats, keep=["request_id"])
+    x = VectorAssembler(inputCols=feats, outputCol="features").transform(
+        f.select("request_id", *scaler.columns()))
+    return x, feats
+
+
+@register("attributions_linear")
+def attributions_linear(spark, sf):
+    """H10 (linear): exact contributions; base + sum = margin."""
+    from tarmac.operators.attributions import feature_means, linear_attributions
+    from tarmac.plans.training import load_model
+    res, _root, _cats, _proc = trained(spark, sf)
+    model = load_model("LogisticRegression", res.model_paths["LogisticRegression"])
+    x, feats = _assembled_requests(spark, sf)
+    train = res.prepared.data.filter(F.col("is_test") == 0)
+    ref = feature_means(train, len(feats))
+    return linear_attributions(x, model, reference_mean=ref).select(
+        "request_id", "base", "contributions", "margin")
+
+
+@register("attributions_tree")
+def attributions_tree(spark, sf):
+    """H10 (trees): path contributions of the boosted model; base + sum = margin."""
+    from tarmac.operators.attributions import tree_attributions
+    res, _root, _cats, _proc = trained(spark, sf)
+    x, feats = _assembled_requests(spark, sf)
+    return tree_attributions(x, res.model_paths["GradientBoosting"], len(feats), "gbt")
+
+
+@register("top_attributions")
+def top_attributions(spark, sf):
+    """Per row, the 15 largest |contributions| (sorted inside the row, no shuffle)."""
+    from tarmac.operators.topk import top_k_by_abs
+    from tarmac.plans.training import load_artifacts
+    _res, root, _cats, _proc = trained(spark, sf)
+    _scaler, feats = load_artifacts(spark, root)
+    a = attributions_tree(spark, sf)
+    return a.select("request_id", top_k_by_abs("contributions", feats, 15).alias("top"))
+
+
+@register("background_sample")
+def background_sample_q(spark, sf):
+    """A repeatable 50-row background set of the feature columns."""
+    from tarmac.operators.topk import background_sample
+    from tarmac.plans.features import FEATURES
+    proc = processed(spark, sf)
+    return background_sample(proc.select("flight_key", *FEATURES), "flight_key", 50)
