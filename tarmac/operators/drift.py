@@ -67,19 +67,20 @@ def ks_drift(reference: DataFrame, production: DataFrame,
     # centred on the mean in a second small pass (numerically stable).
     sums = per_value.groupBy("feature").agg(
         F.sum("c_ref").alias("n_ref"), F.sum("c_prod").alias("n_prod"),
-        (F.sum(F.col("c_ref") * F.col("value")) / F.sum("c_ref")).alias("ref_mean"),
-        (F.sum(F.col("c_prod") * F.col("value")) / F.sum("c_prod")).alias("prod_mean"))
+        F.try_divide(F.sum(F.col("c_ref") * F.col("value")), F.sum("c_ref")).alias("ref_mean"),
+        F.try_divide(F.sum(F.col("c_prod") * F.col("value")), F.sum("c_prod")).alias("prod_mean"))
     centred = per_value.join(F.broadcast(sums), "feature").groupBy("feature").agg(
-        F.sqrt(F.sum(F.col("c_ref") * (F.col("value") - F.col("ref_mean")) ** 2)
-               / F.first("n_ref")).alias("ref_std"),
-        F.sqrt(F.sum(F.col("c_prod") * (F.col("value") - F.col("prod_mean")) ** 2)
-               / F.first("n_prod")).alias("prod_std"))
+        F.sqrt(F.try_divide(F.sum(F.col("c_ref") * (F.col("value") - F.col("ref_mean")) ** 2),
+                            F.first("n_ref"))).alias("ref_std"),
+        F.sqrt(F.try_divide(F.sum(F.col("c_prod") * (F.col("value") - F.col("prod_mean")) ** 2),
+                            F.first("n_prod"))).alias("prod_std"))
     moments = sums.join(F.broadcast(centred), "feature")
 
     cum = exclusive_prefix(per_value, "value", ["c_ref", "c_prod"], groups=["feature"],
                            buckets=buckets)
     # one row per feature: broadcast the sizes.
-    gaps = cum.join(F.broadcast(sums.select("feature", "n_ref", "n_prod")), "feature").withColumn(
+    sizes = sums.select("feature", "n_ref", "n_prod").filter((F.col("n_ref") > 0) & (F.col("n_prod") > 0))
+    gaps = cum.join(F.broadcast(sizes), "feature").withColumn(
         "gap", F.abs((F.col("cum_c_ref") + F.col("c_ref")) / F.col("n_ref")
                      - (F.col("cum_c_prod") + F.col("c_prod")) / F.col("n_prod")))
     d = gaps.groupBy("feature").agg(F.max("gap").alias("d"))

@@ -819,3 +819,42 @@ def background_sample_q(spark, sf):
     from tarmac.plans.features import FEATURES
     proc = processed(spark, sf)
     return background_sample(proc.select("flight_key", *FEATURES), "flight_key", 50)
+
+
+# --- step 10: streams ---------------------------------------------------------------
+
+def _stage_requests(spark, sf):
+    """Land the request rows as files in a fresh folder (the stream's source)."""
+    from tarmac.session import shared_path
+    base = shared_path(spark, "stream", unique=True)
+    T.score_requests(spark, sf).write.mode("overwrite").parquet(f"{base}/requests")
+    return base
+
+
+@register("stream_score")
+def stream_score(spark, sf):
+    """K1: request files -> streaming validate/feature/score -> file sink (availableNow)."""
+    from tarmac.streaming.scoring import run_scoring_stream
+    _res, root, cats, _proc = trained(spark, sf)
+    base = _stage_requests(spark, sf)
+    q = run_scoring_stream(spark, f"{base}/requests", f"{base}/scored", f"{base}/ckpt", root, cats)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/scored").select(
+        "request_id", "prediction_label", "delay_probability", "is_delayed", "confidence",
+        "model_type", "features_used")
+
+
+@register("stream_log")
+def stream_log(spark, sf):
+    """K2: micro-batches append accepted rows to the log and rejects to quarantine."""
+    from tarmac.streaming.scoring import run_log_stream
+    _res, root, cats, _proc = trained(spark, sf)
+    base = _stage_requests(spark, sf)
+    q = run_log_stream(spark, f"{base}/requests", f"{base}/log", f"{base}/quarantine",
+                       f"{base}/ckpt", root, cats)
+    q.awaitTermination()
+    log = spark.read.parquet(f"{base}/log")
+    bad = spark.read.parquet(f"{base}/quarantine")
+    return A.log_kpis(log).select(
+        "total_predictions", "delayed_rate", "avg_probability",
+        F.lit(bad.count()).cast("long").alias("quarantined"))
