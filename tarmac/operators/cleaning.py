@@ -36,10 +36,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def fill_numeric_nulls(df: DataFrame, value=0, subset: list[str] | None = None) -> DataFrame:
     """Every numeric column (or the subset) null -> ``value``."""
-    cols = subset if subset is not None else numeric_columns(df)
+    cols = set(subset if subset is not None else numeric_columns(df))
     if not cols:
         return df
-    return df.na.fill(value, subset=cols)
+    # One projection: coalesce(c, value) keeps each column's type and name.
+    return df.select(*[F.coalesce(F.col(c), F.lit(value).cast(t)).alias(c) if c in cols
+                       else F.col(c) for c, t in df.dtypes])
 
 
 def clean_flights(raw: DataFrame, arr_delay: str = "ArrDelay") -> DataFrame:
@@ -48,4 +50,4 @@ def clean_flights(raw: DataFrame, arr_delay: str = "ArrDelay") -> DataFrame:
     The fill comes before the target, so a null arrival delay is on time.
     """
     df = fill_numeric_nulls(keep_operated(raw))
-    return df.withColumn(K.TARGET, X.delay_target(arr_delay))
+    return df.withColumns({K.TARGET: X.delay_target(arr_delay)})

@@ -28,15 +28,17 @@ PROCESSED_COLUMNS = K.META_COLUMNS + FEATURES + [K.TARGET]
 
 def derived_columns(df: DataFrame) -> DataFrame:
     """Calendar, clock, distance and flag features (C1-C5, B5, B6) plus categorical bins."""
-    return (df
-            .withColumn("dep_hour", X.hhmm_hour("CRSDepTime"))
-            .withColumn("dep_minute", X.hhmm_minute("CRSDepTime"))
-            .withColumn("time_of_day", X.time_of_day("dep_hour"))
-            .withColumn("is_weekend", X.weekend_flag("DayOfWeek"))
-            .withColumn("season", X.season("Month"))
-            .withColumn("distance_group", X.distance_group("Distance"))
-            .withColumn("dep_delay_flag", X.positive_flag("DepDelay"))
-            .withColumn("log_distance", X.log_distance("Distance")))
+    hour = X.hhmm_hour("CRSDepTime")
+    return df.withColumns({
+        "dep_hour": hour,
+        "dep_minute": X.hhmm_minute("CRSDepTime"),
+        "time_of_day": X.time_of_day(hour),
+        "is_weekend": X.weekend_flag("DayOfWeek"),
+        "season": X.season("Month"),
+        "distance_group": X.distance_group("Distance"),
+        "dep_delay_flag": X.positive_flag("DepDelay"),
+        "log_distance": X.log_distance("Distance"),
+    })
 
 
 def one_hot_columns(group_cols: dict[str, str] | None = None) -> list:
@@ -72,14 +74,14 @@ def transform(raw: DataFrame, model: CategoryModel | None = None,
 
 def request_defaults(req: DataFrame) -> DataFrame:
     """Defaults: minute 0, dep_delay 0, taxi_out 15; elapsed missing or 0 -> int(d/8+30)."""
-    return (req
-            .withColumn("dep_minute", F.coalesce(F.col("dep_minute"), F.lit(K.REQUEST_DEFAULTS["dep_minute"])))
-            .withColumn("dep_delay", F.coalesce(F.col("dep_delay").cast("double"),
-                                                F.lit(K.REQUEST_DEFAULTS["dep_delay"])))
-            .withColumn("taxi_out", F.coalesce(F.col("taxi_out"), F.lit(K.REQUEST_DEFAULTS["taxi_out"])))
-            .withColumn("crs_elapsed_time",
-                        F.coalesce(F.nullif(F.col("crs_elapsed_time"), F.lit(0)),
-                                   X.elapsed_estimate("distance")).cast("int")))
+    return req.withColumns({
+        "dep_minute": F.coalesce(F.col("dep_minute"), F.lit(K.REQUEST_DEFAULTS["dep_minute"])),
+        "dep_delay": F.coalesce(F.col("dep_delay").cast("double"),
+                                F.lit(K.REQUEST_DEFAULTS["dep_delay"])),
+        "taxi_out": F.coalesce(F.col("taxi_out"), F.lit(K.REQUEST_DEFAULTS["taxi_out"])),
+        "crs_elapsed_time": F.coalesce(F.nullif(F.col("crs_elapsed_time"), F.lit(0)),
+                                       X.elapsed_estimate("distance")).cast("int"),
+    })
 
 
 REQUEST_COLUMNS = ["month", "day_of_month", "day_of_week", "dep_hour", "dep_minute",
@@ -107,8 +109,7 @@ def serving_features(req: DataFrame, mode: str = "fitted",
     keep = [c for c in req.columns if c.lower() not in taken]
     df = request_defaults(req).select(*keep, *[F.col(c).alias("_r_" + c) for c in REQUEST_COLUMNS])
     r = {c: F.col("_r_" + c) for c in REQUEST_COLUMNS}
-    df = (df.withColumn("_tod", X.time_of_day(r["dep_hour"]))
-            .withColumn("_season", X.season(r["month"])))
+    df = df.withColumns({"_tod": X.time_of_day(r["dep_hour"]), "_season": X.season(r["month"])})
     if mode == "fitted":
         if model is None:
             raise ValueError("fitted mode needs a CategoryModel")

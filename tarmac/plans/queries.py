@@ -17,10 +17,11 @@ from tarmac.operators.cleaning import clean_flights, removed_rows
 from tarmac.sources import testdata as T
 
 
+@T.per_session
 def cleaned(spark, sf):
     df = clean_flights(T.flights_raw(spark, sf))
-    return df.withColumn("dep_hour", X.hhmm_hour("CRSDepTime")) \
-             .withColumn("dep_minute", X.hhmm_minute("CRSDepTime"))
+    return df.withColumns({"dep_hour": X.hhmm_hour("CRSDepTime"),
+                           "dep_minute": X.hhmm_minute("CRSDepTime")})
 
 
 # --- step 1: dashboard aggregates -------------------------------------------
