@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.operators.joins import spread_for_heavy_work
+
 # A forest of 200 trees of depth 15 has up to ~13M nodes; beyond this the
 # tables are not broadcast.
 MAX_BROADCAST_NODES = 20_000_000
@@ -120,6 +122,6 @@ def tree_attributions(df: DataFrame, model_path: str, n_features: int, kind: str
                                 "contributions": list(contrib),
                                 "output": base + contrib.sum(axis=1)})
 
-    inp = df.select(key, vector_to_array(features_col).alias("x"))
+    inp = spread_for_heavy_work(df.select(key, vector_to_array(features_col).alias("x")))
     return inp.mapInPandas(walk, f"{key} string, base double, contributions array<double>, "
                                  f"output double")

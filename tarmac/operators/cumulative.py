@@ -39,11 +39,14 @@ def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
     probs = [i / buckets for i in range(1, buckets)]
     cuts = F.array_distinct(F.percentile_approx(F.col(order), probs, 10 * buckets)).alias("_cuts")
     if groups:
-        # One row of cut points per group (e.g. per monitored feature);
-        # the row count is checked before the broadcast.
-        with_cuts = lookup_join(df, df.groupBy(*groups).agg(cuts), groups, "inner")
+        # One row of cut points per group (e.g. per monitored feature); the
+        # row count is checked before the broadcast.
+        cut_rows = df.groupBy(*groups).agg(cuts)
+        n_groups = cut_rows.count()
+        with_cuts = lookup_join(df, cut_rows, groups, "inner", dim_rows=n_groups)
         below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     else:
+        n_groups = 1
         # A single row of at most ``buckets - 1`` numbers: read it and inline it.
         row = df.agg(cuts).first()
         points = [F.lit(float(x)) for x in (row["_cuts"] or [])]
@@ -59,8 +62,8 @@ def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[
         F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums])
-    # offsets has at most groups x buckets rows: a bounded broadcast.
-    joined = bucketed.join(F.broadcast(offsets), keys, "inner")
+    # offsets has at most groups x buckets rows: broadcast under the usual check.
+    joined = lookup_join(bucketed, offsets, keys, "inner", dim_rows=n_groups * buckets)
     inside = Window.partitionBy(*keys).orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, -1)
     out = joined

@@ -65,6 +65,8 @@ def ks_drift(reference: DataFrame, production: DataFrame,
 
     # mean and population std per (feature, side) from the weighted values,
     # centred on the mean in a second small pass (numerically stable).
+    # ``sums``, ``centred``, ``moments`` and ``sizes`` hold one row per monitored
+    # feature - at most len(features) rows - so broadcasting them is bounded.
     sums = per_value.groupBy("feature").agg(
         F.sum("c_ref").alias("n_ref"), F.sum("c_prod").alias("n_prod"),
         F.try_divide(F.sum(F.col("c_ref") * F.col("value")), F.sum("c_ref")).alias("ref_mean"),

@@ -57,6 +57,7 @@ def ordinal_codes(values: DataFrame, rows: int, value: str = "value",
         "_offset",
         F.coalesce(F.sum("_size").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row per partition of the sorted copy: bounded by the partition count
     ranked = ranked.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
     pos = F.col("_offset") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     return ranked.withColumn(code, pos.cast("int")).drop("_pid", "_mid", "_offset")
@@ -65,6 +66,7 @@ def ordinal_codes(values: DataFrame, rows: int, value: str = "value",
 def shares(counts: DataFrame) -> DataFrame:
     """Per kind: n / total of non-null rows (value_counts(normalize=True))."""
     totals = counts.groupBy("kind").agg(F.sum("n").alias("_total"))
+    # one row per kind (one per counted column): a bounded broadcast
     return counts.join(F.broadcast(totals), "kind") \
                  .withColumn("share", F.col("n") / F.col("_total")).drop("_total")
 

@@ -35,3 +35,18 @@ def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left",
     if n <= max_rows:
         dim = F.broadcast(dim)
     return df.join(dim, on, how)
+
+
+def spread_for_heavy_work(df: DataFrame) -> DataFrame:
+    """Give a table at least one partition per core before heavy per-row work.
+
+    Used only in front of expensive steps (model fitting passes, ensemble
+    scoring, the attribution walk).  A table that arrives in fewer partitions
+    than the cluster has cores (a few small input files) is re-partitioned
+    round-robin once; a large table already has more partitions and is left
+    untouched, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -47,6 +47,11 @@ def one_hot_columns(group_cols: dict[str, str] | None = None) -> list:
             for g, lvls in ONE_HOT_LEVELS.items() for lvl in lvls]
 
 
+def prefixed_columns(df: DataFrame, prefixes: list[str] = K.ONE_HOT_PREFIXES) -> list[str]:
+    """Columns whose name starts with any of the prefixes, in table order."""
+    return [c for c in df.columns if any(c.startswith(p) for p in prefixes)]
+
+
 def project_processed(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """B7 + B9: meta, base features, one-hots, target - in that order, types pinned."""
     casts = {"ArrDelay": "double", "DepDelay": "double", "origin_freq": "double",

@@ -859,3 +859,68 @@ def stream_log(spark, sf):
     return A.log_kpis(log).select(
         "total_predictions", "delayed_rate", "avg_probability",
         F.lit(bad.count()).cast("long").alias("quarantined"))
+
+
+# --- sources, sinks and SQL tables (A4-A9, P1, G3) --------------------------------
+
+@register("preview", plog_sql("""
+SELECT * FROM plog ORDER BY event_id LIMIT 5"""))
+def preview_q(spark, sf):
+    """The first rows after a stable order."""
+    from tarmac.operators.topk import preview
+    return preview(T.prediction_log(spark, sf), ["event_id"], 5)
+
+
+@register("etl_roundtrip", O.flights_sql("""
+SELECT Reporting_Airline, count(*) AS flights, round(avg(is_delayed), 9) AS delay_rate,
+  round(sum(log_distance), 6) AS sum_log_distance, sum(carrier_encoded) AS sum_codes,
+  round(sum(origin_freq), 9) AS sum_origin_freq
+FROM pf GROUP BY Reporting_Airline""", processed=True))
+def etl_roundtrip(spark, sf):
+    """P1 + A4 + A9: run the ETL job to Parquet, re-read it column-pruned, aggregate."""
+    from tarmac.plans.etl import run_etl
+    from tarmac.session import shared_path
+    out = shared_path(spark, "etl", unique=True)
+    run_etl(spark, f"{out}/processed", raw=T.flights_raw(spark, sf))
+    from tarmac.sources.files import read_processed
+    df = read_processed(spark, f"{out}/processed",
+                        ["Reporting_Airline", K.TARGET, "log_distance", "carrier_encoded",
+                         "origin_freq"])
+    return df.groupBy("Reporting_Airline").agg(
+        F.count(F.lit(1)).alias("flights"), F.round(F.avg(K.TARGET), 9).alias("delay_rate"),
+        F.round(F.sum("log_distance"), 6).alias("sum_log_distance"),
+        F.sum("carrier_encoded").alias("sum_codes"),
+        F.round(F.sum("origin_freq"), 9).alias("sum_origin_freq"))
+
+
+@register("sql_table_stats", O.flights_sql("""
+SELECT count(*) AS total_flights, round(avg(is_delayed), 9) AS delay_rate,
+  round(avg(CASE WHEN is_delayed = 1 THEN ArrDelay END), 9) AS avg_delay,
+  count(DISTINCT Reporting_Airline) AS carriers, count(DISTINCT Origin) AS airports
+FROM pf""", processed=True))
+def sql_table_stats(spark, sf):
+    """A5 + A7 + F2: load the processed table as a SQL table, then the summary in SQL."""
+    from tarmac.session import shared_path
+    from tarmac.sources.files import load_table, query
+    name = "flights_" + T.short_id(sf)
+    load_table(processed(spark, sf), name, path=shared_path(spark, "tables", name, unique=True))
+    return query(spark, f"""
+        SELECT count(*) AS total_flights, round(avg(is_delayed), 9) AS delay_rate,
+          round(avg(CASE WHEN is_delayed = 1 THEN ArrDelay END), 9) AS avg_delay,
+          count(DISTINCT Reporting_Airline) AS carriers, count(DISTINCT Origin) AS airports
+        FROM {name}""")
+
+
+def _declared_sql():
+    from tarmac.sources.files import DECLARED_SCHEMA
+    sel = ", ".join("round(log_distance, 9) AS log_distance" if c == "log_distance" else c
+                    for c in DECLARED_SCHEMA.fieldNames())
+    return O.flights_sql(f"SELECT {sel} FROM pf", processed=True)
+
+
+@register("declared_flights", _declared_sql())
+def declared_flights(spark, sf):
+    """The processed rows conformed to the declared 23-column table schema."""
+    from tarmac.sources.files import DECLARED_SCHEMA, conform
+    out = conform(processed(spark, sf, keep_key=False), DECLARED_SCHEMA)
+    return out.withColumn("log_distance", F.round("log_distance", 9))

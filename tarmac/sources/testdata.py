@@ -58,6 +58,12 @@ def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _ROWS[path]
 
 
+def short_id(sf_dir: str) -> str:
+    """A stable identifier-safe tag for an input folder (for table names)."""
+    import hashlib
+    return hashlib.md5(sf_dir.encode()).hexdigest()[:10]
+
+
 def carrier_from_key(key) -> F.Column:
     col = F.col(key) if isinstance(key, str) else key
     return F.substring(F.lit(CARRIER_STRIP), ((col % 10) * 2 + 1).cast("int"), 2)

@@ -129,3 +129,10 @@ def test_delay_risk_clip(spark):
                                "c string, h int, m int, d int")
     got = col_values(df.select(F.round(X.delay_risk("c", "h", "m", "d"), 6).alias("r")), "r")
     assert got == [0.42, 0.11]
+
+
+def test_prefixed_columns(spark):
+    from tarmac.plans.features import prefixed_columns
+    df = spark.createDataFrame([(1, 0, 1, 0)], "season_spring int, x int, time_of_day_evening int, "
+                                               "distance_group_long int")
+    assert prefixed_columns(df) == ["season_spring", "time_of_day_evening", "distance_group_long"]
