@@ -248,17 +248,21 @@ def column_contract(spark, sf):
 
 # --- step 3: encoders and the full transform --------------------------------
 
-def processed(spark, sf, keep_key: bool = True):
-    from tarmac.plans.features import transform
-    df, _model = transform(T.flights_raw(spark, sf), keep_key=keep_key)
-    return df
-
-
+@T.per_session
 def category_model(spark, sf):
+    """Fitted once per session and input (the fitted table is checkpointed)."""
     from tarmac.operators.encoders import CategoryModel
     return CategoryModel.fit(cleaned(spark, sf))
 
 
+@T.per_session
+def processed(spark, sf, keep_key: bool = True):
+    from tarmac.plans.features import transform
+    df, _model = transform(T.flights_raw(spark, sf), model=category_model(spark, sf),
+                           keep_key=keep_key)
+    return df
+
+
 @register("label_codes", O.flights_sql(O.PROCESSED_ONLY + """
 SELECT v AS Reporting_Airline, carrier_encoded FROM codes""", processed=True))
 def label_codes(spark, sf):
@@ -663,11 +667,12 @@ def drift_report_q(spark, sf):
 
 
 @register("ks_value_split", O.with_ctes("""
-ev AS (SELECT event_id, value FROM events)""").rstrip() + _ks_sql(
-    "(SELECT value FROM ev WHERE event_id < 5000)", "(SELECT value FROM ev WHERE event_id >= 5000)",
+ev AS (SELECT event_id, value FROM events),
+mid AS (SELECT (min(event_id) + max(event_id) + 1) // 2 AS m FROM events)""").rstrip() + _ks_sql(
+    "(SELECT value FROM ev, mid WHERE event_id < m)", "(SELECT value FROM ev, mid WHERE event_id >= m)",
     [("value", "value")]))
 def ks_value_split(spark, sf):
-    """J1 on one column: early events (id < 5000) against later ones."""
+    """J1 on one column: the earlier half of the event log against the later half."""
     from tarmac.operators.drift import ks_drift
     ref, prod = T.drift_pair(spark, sf)
     return ks_drift(ref, prod, features=[("value", "value")])

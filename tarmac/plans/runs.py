@@ -55,17 +55,17 @@ def scan_run_store(spark: SparkSession, root: str) -> DataFrame:
     line wins), ``<run>/params/<name>`` and ``<run>/tags/<name>`` a bare value,
     ``<run>/meta.yaml`` the run name and times (epoch millis).
     """
-    files = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-             .text(root).select(F.col("value").alias("text"),
-                                F.col("_metadata.file_path").alias("path")))
+    files = (spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+             .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
     rel = F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 0)
     kv = (files.filter(rel != "")
           .select(F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 1).alias("run_id"),
                   F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 2).alias("kind"),
                   F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 3).alias("name"),
-                  F.trim("text").alias("text")))
-    last_line = F.element_at(F.split(F.col("text"), r"\n"), -1)
-    metric_value = F.element_at(F.split(F.trim(last_line), r"\s+"), 2).cast("double")
+                  F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")))  # trim() keeps newlines
+    lines = F.filter(F.split(F.col("text"), r"\n"), lambda ln: F.length(F.trim(ln)) > 0)
+    last_line = F.try_element_at(lines, F.lit(-1))
+    metric_value = F.try_element_at(F.split(F.trim(last_line), r"\s+"), F.lit(2)).cast("double")
     per_run = kv.groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "params",
                                                  F.struct("name", "text")))).alias("params"),

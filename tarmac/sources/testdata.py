@@ -185,9 +185,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.round("value", 1).alias("score"))
 
 
-def drift_pair(spark: SparkSession, sf_dir: str, split_id: int = 5000):
-    """Reference sample (event_id < split) and production sample (the rest) of ``value``."""
+def drift_pair(spark: SparkSession, sf_dir: str, split_id: int | None = None):
+    """Earlier half of the event log (reference) against the later half (production).
+
+    The cut is the midpoint of the append-order range, read from the data
+    (one aggregate row), unless given.
+    """
     ev = table(spark, sf_dir, "events").select("event_id", "value")
+    if split_id is None:
+        b = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+        split_id = (int(b["lo"]) + int(b["hi"]) + 1) // 2 if b["lo"] is not None else 0
     return (ev.filter(F.col("event_id") < split_id).select("value"),
             ev.filter(F.col("event_id") >= split_id).select("value"))
 

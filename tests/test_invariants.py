@@ -149,3 +149,11 @@ def test_drift_report_shape(spark, sf):
     rep = drift_report(res, ref.count(), prod.count()).first()
     assert set(rep["features"].keys()) == {"distance", "dep_delay", "dep_hour", "month"}
     assert isinstance(rep["any_drift"], bool)
+
+
+def test_empty_log_stats(spark):
+    from tarmac.sources.files import LOG_SCHEMA
+    empty = spark.createDataFrame([], LOG_SCHEMA)
+    k = A.prediction_stats(empty).first()
+    assert k["total_predictions"] == 0 and k["first_prediction"] is None
+    assert A.predictions_by_carrier(empty).count() == 0
