@@ -157,3 +157,12 @@ def test_empty_log_stats(spark):
     k = A.prediction_stats(empty).first()
     assert k["total_predictions"] == 0 and k["first_prediction"] is None
     assert A.predictions_by_carrier(empty).count() == 0
+
+
+def test_auc_matches_spark_evaluator(spark, sf):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    s = T.scored(spark, sf).select(F.col("label").cast("double").alias("label"),
+                                   F.col("score").cast("double").alias("rawPrediction"))
+    ours = roc_auc(T.scored(spark, sf)).first()["roc_auc"]
+    theirs = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(s)
+    assert ours == pytest.approx(theirs, abs=1e-9)

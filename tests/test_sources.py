@@ -32,6 +32,7 @@ def test_load_table_and_declared(spark, sf, tmp):
     n = S.load_table(df, "flights_t", path=f"{tmp}/flights_t")
     assert n == df.count()
     assert S.query(spark, "SELECT count(*) AS n FROM flights_t").first()["n"] == n
+    assert S.training_data(spark, "flights_t").count() == n
     d = S.create_declared_table(spark, "flights_declared_t")
     S.create_declared_table(spark, "flights_declared_t")  # idempotent
     assert len(d.columns) == 23
