@@ -818,13 +818,25 @@ def top_attributions(spark, sf):
     return a.select("request_id", top_k_by_abs("contributions", feats, 15).alias("top"))
 
 
-@register("background_sample")
+def _background_sql():
+    from tarmac.plans.features import FEATURES
+    cols = ", ".join("round(log_distance, 9) AS log_distance" if c == "log_distance" else c
+                     for c in FEATURES)
+    order = ", ".join(FEATURES)
+    return O.flights_sql(f"""
+SELECT flight_key, {cols} FROM pf
+ORDER BY ('0x' || substr(md5(concat(flight_key, '42')), 1, 8))::BIGINT, flight_key, {order}
+LIMIT 50""", processed=True)
+
+
+@register("background_sample", _background_sql())
 def background_sample_q(spark, sf):
     """A repeatable 50-row background set of the feature columns."""
     from tarmac.operators.topk import background_sample
     from tarmac.plans.features import FEATURES
     proc = processed(spark, sf)
-    return background_sample(proc.select("flight_key", *FEATURES), "flight_key", 50)
+    out = background_sample(proc.select("flight_key", *FEATURES), "flight_key", 50)
+    return out.withColumn("log_distance", F.round("log_distance", 9))
 
 
 # --- step 10: streams ---------------------------------------------------------------
