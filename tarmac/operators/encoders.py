@@ -140,17 +140,32 @@ class ScalerModel:
     means: list[float]
     stds: list[float]
 
-    @classmethod
-    def fit(cls, df: DataFrame, features: list[str]) -> "ScalerModel":
+    @staticmethod
+    def aggregates(features: list[str], where=None) -> list:
+        """Mean and population std of each feature (optionally of the rows in ``where``).
+
+        Returned as aggregate columns so callers can fuse them with other
+        statistics into one pass.
+        """
         aggs = []
         for i, c in enumerate(features):
             x = F.col(c).cast("double")
+            if where is not None:
+                x = F.when(where, x)
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-        row = df.agg(*aggs).first()  # one row: two numbers per feature
+        return aggs
+
+    @classmethod
+    def from_row(cls, row, features: list[str]) -> "ScalerModel":
         means = [float(row[f"m{i}"] or 0.0) for i in range(len(features))]
         stds = [float(row[f"s{i}"] or 0.0) for i in range(len(features))]
         return cls(list(features), means, stds)
 
+    @classmethod
+    def fit(cls, df: DataFrame, features: list[str]) -> "ScalerModel":
+        row = df.agg(*cls.aggregates(features)).first()  # one row: two numbers per feature
+        return cls.from_row(row, features)
+
     def scale(self) -> list[float]:
         return [s if s > 0 else 1.0 for s in self.stds]
 

@@ -131,12 +131,14 @@ def prepare(processed: DataFrame, key: str = "flight_key", scaler_fit: str = "tr
     """
     feats = feature_columns(processed)
     df = processed.withColumn("is_test", hash_split_flag(key))
-    train = df.filter(F.col("is_test") == 0)
-    scaler = ScalerModel.fit(df if scaler_fit == "all" else train, feats)
-    counts = {r["is_test"] * 10 + r[K.TARGET]: r["n"] for r in
-              df.groupBy("is_test", K.TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    n_train, n_test = n0 + n1, counts.get(10, 0) + counts.get(11, 0)
+    # One pass for the scaler moments (of the fitting rows) and the class counts.
+    in_fit = None if scaler_fit == "all" else (F.col("is_test") == 0)
+    counts_aggs = [F.count_if((F.col("is_test") == t) & (F.col(K.TARGET) == y)).alias(f"n{t}{y}")
+                   for t in (0, 1) for y in (0, 1)]
+    row = df.agg(*ScalerModel.aggregates(feats, in_fit), *counts_aggs).first()
+    scaler = ScalerModel.from_row(row, feats)
+    n0, n1 = row["n00"], row["n01"]
+    n_train, n_test = n0 + n1, row["n10"] + row["n11"]
     w = {0: n_train / (2.0 * n0) if n0 else 0.0, 1: n_train / (2.0 * n1) if n1 else 0.0}
     scaled = df.select(key, "is_test", F.col(K.TARGET).cast("double").alias("label"),
                        F.when(F.col(K.TARGET) == 1, F.lit(w[1])).otherwise(F.lit(w[0])).alias("weight"),
