@@ -941,3 +941,24 @@ def declared_flights(spark, sf):
     from tarmac.sources.files import DECLARED_SCHEMA, conform
     out = conform(processed(spark, sf, keep_key=False), DECLARED_SCHEMA)
     return out.withColumn("log_distance", F.round("log_distance", 9))
+
+
+_STRAT_HASH = "('0x' || substr(md5(concat(flight_key, '42')), 1, 8))::BIGINT"
+
+
+@register("stratified_split", O.flights_sql(f"""
+, h AS (SELECT is_delayed, {_STRAT_HASH} AS hh FROM cf)
+, per AS (SELECT is_delayed, hh, count(*) AS n FROM h GROUP BY ALL)
+, cum AS (SELECT is_delayed, hh,
+    coalesce(sum(n) OVER (PARTITION BY is_delayed ORDER BY hh
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(n) OVER (PARTITION BY is_delayed) AS tot FROM per)
+, cut AS (SELECT is_delayed, min(hh) AS c FROM cum WHERE before >= (tot + 4) // 5 GROUP BY is_delayed)
+SELECT CAST(h.hh < cut.c AS INT) AS is_test, h.is_delayed, count(*) AS n
+FROM h JOIN cut ON h.is_delayed = cut.is_delayed GROUP BY ALL"""))
+def stratified_split(spark, sf):
+    """H1 exact-count mode: per class ceil(20 %) hold-out rows by hash order."""
+    from tarmac.plans.training import stratified_split_flag
+    df = cleaned(spark, sf)
+    return df.groupBy(stratified_split_flag(df).alias("is_test"), K.TARGET) \
+             .agg(F.count(F.lit(1)).alias("n"))

@@ -45,6 +45,40 @@ def hash_split_flag(key: str = "flight_key", seed: int = K.SPLIT_SEED,
     return (hash_bucket(key, seed) % folds == 0).cast("int")
 
 
+def stratified_split_flag(df: DataFrame, key: str = "flight_key", label: str = K.TARGET,
+                          seed: int = K.SPLIT_SEED, test_fraction: float = K.TEST_FRACTION):
+    """Exact-count stratified hold-out flag (per class ceil(fraction * n_c) rows).
+
+    Rows are ordered by the md5 hash of their key within each class; the cut
+    for a class is the first hash at which the number of rows before it
+    reaches the target.  Per-(class, hash) counts feed the bucketed prefix sum,
+    so no task sorts a whole class; the cuts (one number per class) come back
+    to the driver and the flag is a plain column expression - no join back.
+    Equal keys stay on one side, so a class may exceed its target by the size
+    of one duplicate group.
+    """
+    from fractions import Fraction
+
+    from tarmac.operators.cumulative import exclusive_prefix
+    frac = Fraction(test_fraction).limit_denominator(1000)
+    h = hash_bucket(key, seed)
+    per = df.groupBy(F.col(label).alias("_y"), h.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = {r["_y"]: r["_t"] for r in per.groupBy("_y").agg(F.sum("_n").alias("_t")).collect()}
+    targets = {y: (t * frac.numerator + frac.denominator - 1) // frac.denominator
+               for y, t in totals.items()}
+    cum = exclusive_prefix(per.withColumn("_hd", F.col("_h").cast("double")), "_hd", ["_n"],
+                           groups=["_y"])
+    target_col = F.lit(None).cast("long")
+    for y, t in targets.items():
+        target_col = F.when(F.col("_y") == y, F.lit(t)).otherwise(target_col)
+    cuts = {r["_y"]: r["_c"] for r in cum.filter(F.col("cum__n") >= target_col)
+            .groupBy("_y").agg(F.min("_h").alias("_c")).collect()}   # one row per class
+    flag = F.lit(0)
+    for y, c in cuts.items():
+        flag = F.when(F.col(label) == y, (h < F.lit(c)).cast("int")).otherwise(flag)
+    return flag
+
+
 # --- presets and estimators (H2-H5) ---------------------------------------------
 
 @dataclass
@@ -124,13 +158,17 @@ class Prepared:
     n_test: int
 
 
-def prepare(processed: DataFrame, key: str = "flight_key", scaler_fit: str = "train") -> Prepared:
+def prepare(processed: DataFrame, key: str = "flight_key", scaler_fit: str = "train",
+            split: str = "hash") -> Prepared:
     """Split flag, balanced weights, scaler fit, assembled vector - one cached table.
 
     ``scaler_fit='all'`` reproduces the original (the scaler also sees test rows).
+    ``split='stratified'`` uses exact per-class hold-out counts instead of the
+    row-local hash threshold.
     """
     feats = feature_columns(processed)
-    df = processed.withColumn("is_test", hash_split_flag(key))
+    flag = stratified_split_flag(processed, key) if split == "stratified" else hash_split_flag(key)
+    df = processed.withColumn("is_test", flag)
     # One pass for the scaler moments (of the fitting rows) and the class counts.
     in_fit = None if scaler_fit == "all" else (F.col("is_test") == 0)
     counts_aggs = [F.count_if((F.col("is_test") == t) & (F.col(K.TARGET) == y)).alias(f"n{t}{y}")

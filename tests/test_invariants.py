@@ -166,3 +166,16 @@ def test_auc_matches_spark_evaluator(spark, sf):
     ours = roc_auc(T.scored(spark, sf)).first()["roc_auc"]
     theirs = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(s)
     assert ours == pytest.approx(theirs, abs=1e-9)
+
+
+def test_stratified_split_exact_counts(spark, sf):
+    from tarmac.plans.training import stratified_split_flag
+    df = Q.cleaned(spark, sf)
+    flagged = df.withColumn("t", stratified_split_flag(df))
+    dup = df.groupBy("flight_key").count().agg(F.max("count")).first()[0]
+    for r in flagged.groupBy("is_delayed").agg(F.count(F.lit(1)).alias("n"),
+                                               F.sum("t").alias("k")).collect():
+        target = -(-r["n"] // 5)
+        assert target <= r["k"] < target + dup
+    again = df.withColumn("t", stratified_split_flag(df))
+    assert flagged.exceptAll(again).count() == 0
