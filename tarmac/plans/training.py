@@ -243,7 +243,7 @@ def load_artifacts(spark: SparkSession, root: str) -> tuple[ScalerModel, list[st
 
 def train_all(processed: DataFrame, root: str, preset: str | Preset = "quick",
               runs_path: str | None = None, models: list[str] | None = None,
-              scaler_fit: str = "train") -> TrainResult:
+              scaler_fit: str = "train", split: str = "hash") -> TrainResult:
     """Fit each model, time it, evaluate on the hold-out, log the run, keep the best F1.
 
     Selection is strict ``>`` on F1 in training order (first wins a tie; an
@@ -251,7 +251,7 @@ def train_all(processed: DataFrame, root: str, preset: str | Preset = "quick",
     """
     spark = processed.sparkSession
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    prep = prepare(processed, scaler_fit=scaler_fit)
+    prep = prepare(processed, scaler_fit=scaler_fit, split=split)
     save_artifacts(spark, root, prep)
     train = prep.data.filter(F.col("is_test") == 0)
     test = prep.data.filter(F.col("is_test") == 1)
