@@ -890,7 +890,7 @@ def preview_q(spark, sf):
 
 @register("etl_roundtrip", O.flights_sql("""
 SELECT Reporting_Airline, count(*) AS flights, round(avg(is_delayed), 9) AS delay_rate,
-  round(sum(log_distance), 6) AS sum_log_distance, sum(carrier_encoded) AS sum_codes,
+  round(sum(log_distance), 6) AS sum_log_distance, CAST(sum(carrier_encoded) AS BIGINT) AS sum_codes,
   round(sum(origin_freq), 9) AS sum_origin_freq
 FROM pf GROUP BY Reporting_Airline""", processed=True))
 def etl_roundtrip(spark, sf):
