@@ -166,8 +166,6 @@ scored AS (
 )"""
 
 
-PROCESSED_ONLY = ""
-
 REQUESTS = """
 req AS (
   SELECT flight_key AS request_id, Month AS month, DayofMonth AS day_of_month,

@@ -263,9 +263,10 @@ def processed(spark, sf, keep_key: bool = True):
     return df
 
 
-@register("label_codes", O.flights_sql(O.PROCESSED_ONLY + """
+@register("label_codes", O.flights_sql("""
 SELECT v AS Reporting_Airline, carrier_encoded FROM codes""", processed=True))
 def label_codes(spark, sf):
+    """Carrier -> 0-based code in sorted order of the carriers left after cleaning."""
     m = category_model(spark, sf)
     return m.lookup("carrier", "Reporting_Airline", {"code": "carrier_encoded"})
 
