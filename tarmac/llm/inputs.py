@@ -47,6 +47,13 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string (on the driver; tasks get it with their function)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
 def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
     """Parts of a batch whose texts hold about ``most`` bytes (one text at least)."""
     _, offsets = raw_bytes(batch.column(name))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarmac.llm import line_dedup
+from tarmac.llm import decontam, line_dedup
 
 QUERIES = {
+    "op1_decontam": decontam.query,
     "op10_line_dedup": line_dedup.query,
 }
 
