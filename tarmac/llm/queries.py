@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarmac.llm import decontam, line_dedup
+from tarmac.llm import decontam, line_dedup, minhash
 
 QUERIES = {
     "op1_decontam": decontam.query,
+    "op3_minhash": minhash.query,
     "op10_line_dedup": line_dedup.query,
 }
 
