@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarmac.llm import decontam, line_dedup, minhash
+from tarmac.llm import crf, decontam, line_dedup, minhash
 
 QUERIES = {
     "op1_decontam": decontam.query,
     "op3_minhash": minhash.query,
+    "op7_toxicity": crf.query,
     "op10_line_dedup": line_dedup.query,
 }
 
