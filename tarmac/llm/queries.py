@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarmac.llm import crf, decontam, line_dedup, minhash, pieces
+from tarmac.llm import crf, decontam, html_text, line_dedup, minhash, pieces
 
 QUERIES = {
     "op1_decontam": decontam.query,
     "op2_sentencepiece": pieces.query,
     "op3_minhash": minhash.query,
     "op7_toxicity": crf.query,
+    "op8_html_extract": html_text.query,
     "op10_line_dedup": line_dedup.query,
 }
 
