@@ -22,12 +22,10 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import arrow_schema, keyed_text, slices, table
+from tarmac.llm.inputs import keyed_text, slices, table, with_results
 
 SAMPLE = 4000
 PREFIXES = (3, 4, 5, 6)
@@ -284,40 +282,36 @@ def char_spans(text: bytes, marginal: np.ndarray) -> list[dict]:
             for a, b in zip(edge[::2], edge[1::2])]
 
 
-SCORED = ("doc_id long, score double, top_marginal double, toxic_words double, "
+SCORED = ("score double, top_marginal double, toxic_words double, "
           "spans array<struct<start:int,stop:int>>")
 
 
-def score_documents(docs: DataFrame, model: Tagger, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """doc_id, score, largest marginal, expected toxic words, spans (character offsets)."""
-    schema = arrow_schema(SCORED)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def annotate(df: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
+    """All columns of ``df`` plus score, largest marginal, expected toxic words and spans
+    (character offsets); columns of these names are replaced."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(batch):
         tagger = sent.value
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                texts = [None if x is None else x.encode() for x in part.column("text").to_pylist()]
-                top, total, owner, found = tagger.score(texts)
-                cuts: list[list] = [[] for _ in texts]
-                pieces: dict[int, list] = {}
-                for k, m in zip(owner, found):
-                    if top[k] >= 0.5:
-                        pieces.setdefault(k, []).append(m)
-                for k, m in pieces.items():
-                    cuts[k] = char_spans(texts[k], np.concatenate(m))
-                out = pd.DataFrame({"doc_id": pd.Series(part.column("doc_id").to_pylist(), dtype="Int64"),
-                                    "score": tagger.probability(top, total), "top_marginal": top,
-                                    "toxic_words": total, "spans": cuts})
-                yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
-
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, SCORED)
+        for part in slices(batch, text_col, 4 << 20):
+            texts = [None if x is None else x.encode() for x in part.column(text_col).to_pylist()]
+            top, total, owner, found = tagger.score(texts)
+            cuts: list[list] = [[] for _ in texts]
+            pieces: dict[int, list] = {}
+            for k, m in zip(owner, found):
+                if top[k] >= 0.5:
+                    pieces.setdefault(k, []).append(m)
+            for k, m in pieces.items():
+                cuts[k] = char_spans(texts[k], np.concatenate(m))
+            yield part, {"score": tagger.probability(top, total), "top_marginal": top,
+                         "toxic_words": total, "spans": cuts}
+
+    return with_results(df, SCORED, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).select(
+    return annotate(docs.select("doc_id", "text"), model).select(
         "doc_id", (held_out(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "top_marginal", "toxic_words", "spans")

@@ -18,20 +18,17 @@ same result; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import WORD_TABLE, arrow_schema, keyed_text, slices, table
+from tarmac.llm.inputs import WORD_TABLE, slices, table, with_results, written
 
 
-RESULT = ("doc_id long, n_words long, n_hit long, n_items long, items array<string>, "
+RESULT = ("n_words long, n_hit long, n_items long, items array<string>, "
           "spans array<struct<start:int,stop:int>>")
 
 
@@ -149,8 +146,8 @@ def _split(data: bytes) -> list[bytes]:
     return data.translate(WORD_TABLE).split()
 
 
-def scan_shard(ids: list, texts: list[bytes | None], bench: Benchmark) -> pd.DataFrame:
-    """One shard: word ids, index, search, locate, merged spans of every document."""
+def scan_shard(texts: list[bytes | None], bench: Benchmark):
+    """One shard: word ids, index, search, locate; words, merged spans and items of every text."""
     get = bench.vocabulary.get
     n_words, parts = np.zeros(len(texts), np.int64), []
     for k, text in enumerate(texts):
@@ -192,66 +189,57 @@ def scan_shard(ids: list, texts: list[bytes | None], bench: Benchmark) -> pd.Dat
             for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
                 d = int(np.searchsorted(doc_start, a, side="right")) - 1
                 spans[d].append((int(a - doc_start[d]), int(b - doc_start[d])))
-    names = [sorted(x) for x in items]
-    return pd.DataFrame({
-        "doc_id": pd.Series(ids, dtype="Int64"), "n_words": n_words,
-        "n_hit": [sum(b - a for a, b in x) for x in spans], "n_items": [len(x) for x in names],
-        "items": names, "spans": [[{"start": a, "stop": b} for a, b in x] for x in spans]})
-
-
-def _merge(frames: pd.DataFrame) -> pd.DataFrame:
-    """Results of the same document from several blocks of items."""
-    merged = []
-    for a, b in sorted((s["start"], s["stop"]) for x in frames["spans"] for s in x):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+    return n_words, spans, items
+
+
+def _merged(spans: list) -> list[tuple[int, int]]:
+    out: list = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            merged.append([a, b])
-    names = sorted({y for x in frames["items"] for y in x})
-    first = frames.iloc[0]
-    return pd.DataFrame({"doc_id": [first["doc_id"]], "n_words": [first["n_words"]],
-                         "n_hit": [sum(b - a for a, b in merged)], "n_items": [len(names)],
-                         "items": [names], "spans": [[{"start": a, "stop": b} for a, b in merged]]})
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
-                       text_col: str = "text", item_col: str = "item_id",
-                       item_text_col: str = "text", width: int = 13,
-                       block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans (hit words, from and to).
-
-    With more items than one block holds, each block scans the documents once and the results
-    of a document (by doc_id and text) are merged.
+            out.append((a, b))
+    return out
+
+
+def annotate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+             item_text_col: str = "text", width: int = 13, block_bytes: int = 16 << 20,
+             shard_bytes: int = 8 << 20) -> DataFrame:
+    """All columns of ``df`` plus n_words, n_hit, n_items, items (sorted ids) and spans of hit
+    words (from, to); of the same name, theirs are replaced.
+
+    With more items than one block holds, the table is written after each block and the next
+    pass adds to its results.
     """
-    spark = docs.sparkSession
+    spark = df.sparkSession
     rows = (items.select(F.col(item_col).cast("string").alias("item"),
                          F.col(item_text_col).cast("string").alias("text"))
             .filter("item is not null and text is not null"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    source = keyed_text(docs, id_col, text_col)
-    found = None
     for k in range(blocks):
         mine = rows.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else rows
         sent = spark.sparkContext.broadcast(
             Benchmark([(r[0], r[1].encode()) for r in mine.collect()], width))
 
-        schema = arrow_schema(RESULT + (", digest string" if blocks > 1 else ""))
-
-        def scan(batches, sent=sent, schema=schema):
-            for batch in batches:
-                for part in slices(batch, "text", shard_bytes):
-                    texts = [None if x is None else x.encode() for x in part.column("text").to_pylist()]
-                    out = scan_shard(part.column("doc_id").to_pylist(), texts, sent.value)
-                    if blocks > 1:
-                        out["digest"] = [hashlib.md5(x or b"").hexdigest() for x in texts]
-                    yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
-
-        part = source.mapInArrow(scan, RESULT + (", digest string" if blocks > 1 else ""))
-        found = part if found is None else found.unionByName(part)
-    if blocks > 1:
-        found = (found.groupBy("doc_id", "digest").applyInPandas(lambda x: _merge(x), RESULT))
-    return found
+        def scan(batch, sent=sent, again=k > 0):
+            for part in slices(batch, text_col, shard_bytes):
+                texts = [None if x is None else x.encode() for x in part.column(text_col).to_pylist()]
+                n_words, spans, names = scan_shard(texts, sent.value)
+                if again:
+                    before = part.column("spans").to_pylist(), part.column("items").to_pylist()
+                    spans = [x + [(s["start"], s["stop"]) for s in y] for x, y in zip(spans, before[0])]
+                    names = [x | set(y) for x, y in zip(names, before[1])]
+                spans = [_merged(x) for x in spans]
+                yield part, {
+                    "n_words": n_words, "n_hit": [sum(b - a for a, b in x) for x in spans],
+                    "n_items": [len(x) for x in names], "items": [sorted(x) for x in names],
+                    "spans": [[{"start": a, "stop": b} for a, b in x] for x in spans]}
+
+        df = with_results(df, RESULT, scan)
+        if k < blocks - 1:
+            df = written(df, "decontam")
+    return df
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -260,8 +248,8 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return annotate(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"), "items", "spans")

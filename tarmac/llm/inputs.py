@@ -7,6 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+from pyspark.sql.types import _parse_datatype_string as _parse
 
 from tarmac.session import shared_path
 
@@ -49,9 +52,31 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string (on the driver; tasks get it with their function)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    return to_arrow_schema(_parse_datatype_string(ddl))
+    return to_arrow_schema(_parse(ddl))
+
+
+def with_results(df: DataFrame, ddl: str, make) -> DataFrame:
+    """``df`` with the columns of ``ddl`` that ``make(batch)`` yields for its rows, part by part.
+
+    ``make(part)`` gives a dict of Arrow arrays or lists by name, one value a row of ``part``;
+    a column of ``df`` named like a result is replaced.
+    """
+    results = _parse(ddl)
+    kept = [f for f in df.schema.fields if f.name not in results.fieldNames()]
+    whole = StructType(kept + results.fields)
+    schema = to_arrow_schema(whole)
+    names = [f.name for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            for part, found in make(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(n).cast(schema.field(n).type) for n in names]
+                    + [found[n] if isinstance(found[n], pa.Array) and found[n].type == schema.field(n).type
+                       else pa.array(found[n], schema.field(n).type) for n in results.fieldNames()],
+                    schema=schema)
+
+    return df.mapInArrow(run, whole)
 
 
 def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):

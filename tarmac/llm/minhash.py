@@ -12,9 +12,10 @@ search on.
 
 Bands of the signature are joined: in each bucket all members are compared with a leader
 (another one in each band, by hash), exactly, on whole shingle multisets.  Members below the
-threshold stay in the bucket and meet the next leader until none is left, so no bucket is
-cut short and no group of n ever makes n * n pairs of copies.  Links are closed to groups by
-repeated joins; nothing about all documents comes to the driver.
+threshold stay in the bucket and meet the next leaders, four times as many in each turn, until
+none is left: no bucket is cut short, members that are linked leave at once, and copies make
+no pairs at all.  Links are closed to groups by repeated joins; nothing about all documents
+comes to the driver.
 
 Defined results: texts with the same word sequence are one node whatever their number (a
 group of copies costs one signature); documents without words (null, empty, only marks) are
@@ -28,16 +29,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, keyed_text, mix64, raw_bytes,
-                               slices, spans, table, written)
+                               slices, spans, table, with_results, written)
 
 BANDS, ROWS = 25, 5
 SALTS = 16
+#: Leaders of a bucket in turn t: at most GROWTH ** t.
+GROWTH = 4
 _LOWER = np.frombuffer(WORD_TABLE, np.uint8)
 #: Poisson(1) and Poisson(1/4) counts by inverting the cumulative probability of a uniform.
 _POISSON = {w: np.cumsum([math.exp(-w) * w ** i / math.factorial(i) for i in range(16)])
@@ -206,10 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id (its group's smallest doc_id), class_size
-    (rows of the group), n_texts (different texts in it), kept (the row that stays)."""
+def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     docs = keyed_text(df, id_col, text_col)
     signed = written(sign(docs), "signatures")
     node = F.struct("k1", "k2")
@@ -222,50 +221,75 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = written(split(bucket).join(spread(sizes.drop("n")), ["band", "value", "salt"]).drop("salt"), "buckets")
     # The cells of all texts that share a bucket, once.
     wanted = members.groupBy("node").agg(F.first("rep").alias("rep"))
+    members = members.drop("rep")
     found = docs.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     cells = (_multisets(found).dropDuplicates(["k1", "k2"])
              .select(node.alias("node"), "cells").join(wanted.select("node"), "node"))
     cells = written(cells, "cells")
-    links = None
+    links, turn = None, 0
     while True:
-        leader = members.groupBy("band", "value").agg(F.min_by(
-            "node", F.struct(F.xxhash64("band", "node"), "node")).alias("leader"), F.count("*").alias("n"))
-        leader = leader.filter("n > 1").drop("n")
-        rest = written(split(members).join(spread(leader), ["band", "value", "salt"])
-                       .filter("node != leader").drop("salt"), "rest")
-        if rest.isEmpty():
-            break
+        # At most ``leads`` leaders a bucket: the least member of each part by hash.
+        leads = GROWTH ** turn
+        leaders = (members.groupBy("band", "value", F.pmod(F.xxhash64("band", "node", F.lit(turn)), F.lit(leads)).alias("part"))
+                   .agg(F.min("node").alias("leader")).drop("part"))
+        rest = written(split(members).join(spread(leaders), ["band", "value", "salt"]).drop("salt"), "rest")
         # A hot leader's pairs are narrow rows: the adaptive skew join splits them by size.
-        pairs = (rest.select("node", "leader").distinct()
+        pairs = (rest.filter("node != leader").select("node", "leader").distinct()
                  .join(cells.select(F.col("node").alias("leader"), F.col("cells").alias("b_cells")), "leader")
                  .join(cells.withColumnRenamed("cells", "a_cells"), "node"))
         pairs = pairs.select(F.col("node").alias("a"), F.col("leader").alias("b"), "a_cells", "b_cells")
         similar = written(_verify(pairs, threshold), "similar")
         links = similar if links is None else links.unionByName(similar)
-        # Those below the threshold meet the next leader of the bucket.
-        members = rest.join(similar, (rest["node"] == similar["a"]) & (rest["leader"] == similar["b"]),
-                            "left_anti").select("node", "rep", "band", "value")
-        members = written(members, "buckets")
+        # Leaders have met their whole bucket and leave it, and so do those linked to one.
+        joined = rest.join(similar.withColumn("linked", F.lit(True)),
+                           (rest["node"] == similar["a"]) & (rest["leader"] == similar["b"]), "left")
+        members = written(joined.groupBy("band", "value", "node").agg(
+            F.max(F.coalesce("linked", F.col("node") == F.col("leader"))).alias("over")).filter("not over").drop("over"),
+            "buckets")
+        turn += 1
+        if members.isEmpty():
+            break
     rows = signed.select("doc_id", "n_words", node.alias("node"))
-    if links is None:
-        rows = rows.withColumn("root", F.col("node"))
-    else:
-        rows = (rows.join(components(links), "node", "left")
-                .withColumn("root", F.coalesce("root", "node")))
+    rows = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     alone = F.col("n_words") == 0
+    # The row that stays: smallest id, rows without one last.
+    mark = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     group = (rows.filter(~alone).groupBy("root")
-             .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
+             .agg(F.min(mark).alias("first"), F.count("*").alias("class_size"),
                   F.countDistinct("node").alias("n_texts")))
-    spread_group = spread(group)
     salted = rows.filter(~alone).withColumn("salt", F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int"))
-    grouped = salted.join(spread_group, ["root", "salt"]).select(
-        "doc_id", "class_id", "class_size", "n_texts",
-        F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    grouped = salted.join(spread(group), ["root", "salt"]).select(
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts",
+        (F.col("first") == mark).alias("kept"), "node")
     single = rows.filter(alone).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-        F.lit(1).cast("long").alias("n_texts"), F.lit(True).alias("kept"))
+        F.lit(1).cast("long").alias("n_texts"), F.lit(True).alias("kept"), "node")
     return grouped.unionByName(single)
 
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``df``: doc_id, class_id (its group's smallest doc_id), class_size
+    (rows of the group), n_texts (different texts in it), kept (the row that stays)."""
+    return classes(df, id_col, text_col, threshold).drop("node")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             threshold: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay: one of each group, and all without words."""
+    def keys(batch):
+        for part in slices(batch, text_col, 4 << 20):
+            _, _, words, found = shingles(part.select([text_col]).rename_columns(["text"]))
+            yield part, {"__n": words, "__1": found[0].view(np.int64), "__2": found[1].view(np.int64)}
+
+    kept = (classes(df, id_col, text_col, threshold).filter("kept")
+            .select(F.struct("doc_id", F.col("node.k1"), F.col("node.k2")).alias("__key")).distinct())
+    rows = with_results(df, "__n long, __1 long, __2 long", keys).withColumn(
+        "__key", F.struct(F.col(id_col).alias("doc_id"), F.col("__1").alias("k1"), F.col("__2").alias("k2")))
+    stay = rows.join(kept, rows["__key"].eqNullSafe(kept["__key"]), "left_semi")
+    worded = stay.filter("__n > 0").dropDuplicates(["__key"])
+    return worded.unionByName(stay.filter("__n = 0")).drop("__n", "__1", "__2", "__key")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
