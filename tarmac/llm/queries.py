@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import crf, decontam, html_text, line_dedup, minhash, pieces
+from tarmac.llm import crf, decontam, html_text, line_dedup, minhash, orc_tokens, pieces
 
 QUERIES = {
     "op1_decontam": decontam.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash": minhash.query,
     "op7_toxicity": crf.query,
     "op8_html_extract": html_text.query,
+    "op9_orc_tokens": orc_tokens.query,
     "op10_line_dedup": line_dedup.query,
 }
 
