@@ -36,7 +36,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of the input (from file sizes; starts no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
