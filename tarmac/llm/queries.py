@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarmac.llm import crf, decontam, hashing_index, html_text, line_dedup, minhash, orc_tokens, pieces
+from tarmac.llm import context_tree, crf, decontam, hashing_index, html_text, line_dedup, minhash, orc_tokens, pieces
 
 QUERIES = {
     "op1_decontam": decontam.query,
     "op2_sentencepiece": pieces.query,
     "op3_minhash": minhash.query,
     "op5_nearest": hashing_index.query,
+    "op6_context_tree": context_tree.query,
     "op7_toxicity": crf.query,
     "op8_html_extract": html_text.query,
     "op9_orc_tokens": orc_tokens.query,
