@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarmac.llm import context_tree, crf, decontam, hashing_index, html_text, line_dedup, minhash, orc_tokens, pieces
+from tarmac.llm import context_tree, crf, decontam, hashing_index, html_text, line_dedup, minhash, orc_tokens, pieces, suffix_dedup
 
 QUERIES = {
     "op1_decontam": decontam.query,
     "op2_sentencepiece": pieces.query,
     "op3_minhash": minhash.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_nearest": hashing_index.query,
     "op6_context_tree": context_tree.query,
     "op7_toxicity": crf.query,
