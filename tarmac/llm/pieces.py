@@ -8,9 +8,11 @@ hypotheses that belong to the N best paths are ever expanded.
 
 No piece crosses from a character to a following blank (checked when the model is read), nor
 covers a newline, so the lattice of a text falls into units: blanks with the word after them,
-and newlines.  Units repeat: each distinct one of a shard is searched once, many at a time in
-numpy (forward pass and a search front of at most N hypotheses a unit), and the N best paths
-of the text are merged from the N best of its units, lowest loss first.
+and newlines.  Units repeat: each distinct one of a task has its forward pass once, many at a
+time in numpy, with a backward pass that tells how much its second-best path loses.  The N
+best paths of a text can differ from the best one only in the N - 1 units that lose least, so
+these are searched (a front of at most N hypotheses a unit) and the N best paths of the text
+merged from theirs, lowest loss first.
 
 Decoding joins the pieces, turns byte pieces into bytes and blanks back, and drops the blank
 put before the text.  It restores every text that holds no U+2581 (the mark for a blank) and
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from itertools import count
 
 import numpy as np
@@ -38,7 +41,6 @@ BLANK = "▁".encode()
 NEWLINE_OR_UNIT = re.compile(rb"\n|(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81)[^\n])+|(?:\xe2\x96\x81)+")
 #: Added to the lowest piece score for a character that only byte pieces can write.
 UNKNOWN_PENALTY = 10.0
-NONE = np.float32(-np.inf)
 
 
 def default_model() -> str:
@@ -100,62 +102,121 @@ class Lexicon:
         return out
 
 
-def search_units(units: list[bytes], lex: Lexicon, n_best: int) -> list[list[tuple[float, list[int]]]]:
-    """The N best (score, ids) of each unit, best first."""
-    out: list = [None] * len(units)
+def _groups(units: list[bytes], cells: int):
+    """Numbers of units of about one length, as many as ``cells`` lattice cells allow."""
     order = sorted(range(len(units)), key=lambda i: len(units[i]))
     start = 0
-    while start < len(order):  # units of about one length together
+    while start < len(order):
         longest = len(units[order[start]]) + 2
-        most = max(1, 400_000 // (longest * 2))
+        most = max(1, cells // (longest * min(longest, 48)))
         end = start
         while end < len(order) and end - start < most and len(units[order[end]]) <= longest:
             end += 1
-        some = order[start:end]
-        for i, found in zip(some, _search([units[i] for i in some], lex, n_best)):
-            out[i] = found
+        yield order[start:end]
         start = end
+
+
+class Lattice:
+    """Pieces and scores of some units; forward Viterbi scores and the steps they take."""
+
+    def __init__(self, units: list[bytes], lex: Lexicon):
+        n = len(units)
+        self.units, self.lex = units, lex
+        self.lengths = lengths = np.array([len(u) for u in units])
+        size = int(lengths.max())
+        data = np.frombuffer(b"".join(units), np.uint8)
+        base = np.cumsum(lengths) - lengths
+        hashes = PrefixHash(data, 7)
+        char = np.ones(len(data) + 1, bool)
+        char[:-1] = (data & 0xC0) != 0x80
+        self.span = span = min(size, lex.longest)
+        # piece[u, e, l - 1]: the piece of length l that ends at e, or -1; score likewise.
+        self.piece = piece = np.full((n, size + 1, span), -1, np.int32)
+        rows = np.repeat(np.arange(n), lengths)
+        ends = np.arange(len(data)) - base[rows] + 1
+        for length in range(1, span + 1):
+            fits = np.flatnonzero(ends >= length)
+            stop = fits + 1
+            fits = fits[char[stop - length] & char[stop]]
+            piece[rows[fits], ends[fits], length - 1] = lex.find(hashes.of(fits + 1 - length, fits + 1))
+        # A character without a piece of its own is written by byte pieces (marked -2).
+        for length in range(1, min(4, span) + 1):
+            fits = np.flatnonzero(ends >= length)
+            whole = char[fits + 1 - length] & char[fits + 1]
+            for k in range(1, length):
+                whole &= ~char[fits + 1 - k]
+            fits = fits[whole]
+            fits = fits[piece[rows[fits], ends[fits], length - 1] < 0]
+            piece[rows[fits], ends[fits], length - 1] = -2
+        self.score = score = np.append(lex.scores, [lex.lowest, -np.inf])[piece]
+        # Forward Viterbi: the exact best score of a path to each position.
+        self.best = best = np.full((n, size + 1), -np.inf)
+        best[:, 0] = 0.0
+        self.step = np.zeros((n, size + 1), np.int64)
+        every = np.arange(n)
+        for e in range(1, size + 1):
+            k = min(e, span)
+            to = best[:, e - k:e][:, ::-1] + score[:, e, :k]
+            # Equal scores go to the longer last piece.
+            self.step[:, e] = k - np.argmax(to[:, ::-1], axis=1)
+            best[:, e] = to[every, self.step[:, e] - 1]
+
+    def best_paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the best paths in turn, ids a unit, scores, losses of second-best paths."""
+        n, size = self.best.shape
+        every, at, trail = np.arange(n), self.lengths.copy(), []
+        on_path = np.zeros(self.score.shape, bool)
+        while (at > 0).any():
+            take = np.where(at > 0, self.step[every, at], 0)
+            live = np.flatnonzero(take)
+            on_path[live, at[live], take[live] - 1] = True
+            ids = np.full(n, -1, np.int64)
+            ids[live] = self.piece[live, at[live], take[live] - 1]
+            trail.append((ids, take, at.copy()))
+            at = at - take
+        # A second path leaves the best one at some piece: forward, piece and backward scores.
+        back = np.full((n, size), -np.inf)
+        back[every, self.lengths] = 0.0
+        second = np.full(n, -np.inf)
+        for e in range(size - 1, 0, -1):
+            k = min(e, self.span)
+            via = back[:, e:e + 1] + self.score[:, e, :k]
+            other = np.where(on_path[:, e, :k], -np.inf, via + self.best[:, e - k:e][:, ::-1]).max(axis=1)
+            np.maximum(second, other, out=second)
+            back[:, e - k:e] = np.maximum(back[:, e - k:e], via[:, ::-1])
+        total = self.best[every, self.lengths]
+        ids = np.stack([t[0] for t in reversed(trail)], axis=1)
+        counts = (ids != -1).sum(axis=1)
+        flat = ids[ids != -1]
+        if (flat == -2).any():  # some characters are bytes
+            lists, edge = [], np.concatenate([[0], np.cumsum(counts)])
+            odd = np.flatnonzero((ids == -2).any(axis=1))
+            for u in range(n):
+                lists.append(flat[edge[u]:edge[u + 1]])
+            for u in odd:
+                out = []
+                for x, take, stop in reversed(trail):
+                    if take[u]:
+                        out += [int(x[u])] if x[u] >= 0 else \
+                            self.lex.byte_id[np.frombuffer(self.units[u][stop[u] - take[u]:stop[u]], np.uint8)].tolist()
+                lists[u] = np.array(out, np.int64)
+            flat, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+        return flat.astype(np.int32), counts, total, total - second
+
+
+def search_units(units: list[bytes], lex: Lexicon, n_best: int) -> list[list[tuple[float, list[int]]]]:
+    """The N best (score, ids) of each unit, best first."""
+    out: list = [None] * len(units)
+    for some in _groups(units, 400_000 // n_best):
+        for i, found in zip(some, _search(Lattice([units[i] for i in some], lex), n_best)):
+            out[i] = found
     return out
 
 
-def _search(units: list[bytes], lex: Lexicon, n_best: int):
+def _search(lattice: Lattice, n_best: int):
+    units, lex, lengths = lattice.units, lattice.lex, lattice.lengths
+    piece, score, best, span = lattice.piece, lattice.score, lattice.best, lattice.span
     n = len(units)
-    lengths = np.array([len(u) for u in units])
-    size = int(lengths.max())
-    data = np.frombuffer(b"".join(units), np.uint8)
-    base = np.cumsum(lengths) - lengths
-    hashes = PrefixHash(data, 7)
-    char = np.ones(len(data) + 1, bool)
-    char[:-1] = (data & 0xC0) != 0x80
-    span = min(size, lex.longest)
-    # piece[u, e, l - 1]: the piece of length l that ends at e, or -1; score likewise.
-    piece = np.full((n, size + 1, span), -1, np.int32)
-    rows = np.repeat(np.arange(n), lengths)
-    ends = np.arange(len(data)) - base[rows] + 1
-    for length in range(1, span + 1):
-        fits = np.flatnonzero(ends >= length)
-        stop = fits + 1
-        fits = fits[char[stop - length] & char[stop]]
-        found = lex.find(hashes.of(fits + 1 - length, fits + 1))
-        piece[rows[fits], ends[fits], length - 1] = found
-    score = np.where(piece >= 0, lex.scores[piece], -np.inf)
-    # A character without a piece of its own is written by byte pieces (marked -2).
-    for length in range(1, min(4, span) + 1):
-        fits = np.flatnonzero(ends >= length)
-        whole = char[fits + 1 - length] & char[fits + 1]
-        for k in range(1, length):
-            whole &= ~char[fits + 1 - k]
-        fits = fits[whole]
-        alone = piece[rows[fits], ends[fits], length - 1] < 0
-        fits = fits[alone]
-        piece[rows[fits], ends[fits], length - 1] = -2
-        score[rows[fits], ends[fits], length - 1] = lex.lowest
-    # Forward Viterbi: the exact best score of a path to each position.
-    best = np.full((n, size + 1), -np.inf)
-    best[:, 0] = 0.0
-    for e in range(1, size + 1):
-        k = min(e, span)
-        best[:, e] = (best[:, e - k:e][:, ::-1] + score[:, e, :k]).max(axis=1)
     # Backward A*: fronts of at most N hypotheses, ordered by score so far plus heuristic.
     at = np.zeros((n, n_best), np.int64)
     at[:, 0] = lengths
@@ -239,10 +300,54 @@ def text_units(text: bytes | None) -> list[bytes]:
     return NEWLINE_OR_UNIT.findall(BLANK + text.replace(b" ", BLANK)) if text else []
 
 
+def decode_bytes(ids, lex: Lexicon) -> bytes:
+    raw = b"".join(map(lex.texts.__getitem__, ids)).replace(BLANK, b" ")
+    return raw[1:] if raw[:1] == b" " else raw
+
+
 def decode_ids(ids, lex: Lexicon) -> str:
     """The text of piece ids."""
-    raw = b"".join([lex.texts[i] for i in ids]).replace(BLANK, b" ")
-    return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
+    return decode_bytes(ids, lex).decode("utf-8", "replace")
+
+
+class UnitCache:
+    """Best paths of the distinct units a task has met, as flat arrays."""
+
+    def __init__(self, lex: Lexicon, most: int):
+        self.lex, self.most = lex, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends = array("i"), array("q")
+        self.scores, self.loss = array("d"), array("d")
+
+    def numbers(self, cut: list[list[bytes]]) -> list[np.ndarray]:
+        """The number of each unit of each text."""
+        known = self.known
+        new = {u for units in cut for u in units if u not in known}
+        if len(known) + len(new) > self.most and known:
+            self._forget()
+            known = self.known
+            new = {u for units in cut for u in units}
+        new = sorted(new)
+        for some in _groups(new, 1_500_000):
+            flat, counts, total, loss = Lattice([new[i] for i in some], self.lex).best_paths()
+            first = len(self.ends)
+            base = len(self.flat)
+            for k, i in enumerate(some):
+                known[new[i]] = first + k
+            self.flat.frombytes(flat.tobytes())
+            self.ends.frombytes((base + np.cumsum(counts)).astype(np.int64).tobytes())
+            self.scores.frombytes(total.astype(np.float64).tobytes())
+            self.loss.frombytes(loss.astype(np.float64).tobytes())
+        get = known.__getitem__
+        return [np.fromiter(map(get, units), np.int64, len(units)) for units in cut]
+
+    def arrays(self):
+        """ids in turn, where each unit's end, scores, losses (copies: the cache still grows)."""
+        return (np.array(self.flat, np.int32), np.array(self.ends, np.int64),
+                np.array(self.scores, np.float64), np.array(self.loss, np.float64))
 
 
 ENCODED = ("doc_id long, ids array<int>, n_pieces long, score double, "
@@ -251,7 +356,7 @@ ENCODED = ("doc_id long, ids array<int>, n_pieces long, score double, "
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = 3,
-                     id_col: str = "doc_id", text_col: str = "text", cache: int = 200_000) -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000) -> DataFrame:
     """doc_id, ids of the best path, n_pieces, score, n_best, decoded (ids give back the text).
 
     Each of ``n_best`` has its score, its number of pieces and where it differs from the best
@@ -263,47 +368,41 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = 3,
 
     def run(batches):
         lex = Lexicon(path)
-        known: dict[bytes, int] = {}
-        found: list = []
-        packed: list = []
+        units_of = UnitCache(lex, cache)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 texts = [None if x is None else x.encode() for x in part.column("text").to_pylist()]
                 cut = [text_units(x) for x in texts]
-                new = list({u for units in cut for u in units if u not in known})
-                if len(known) + len(new) > cache and known:
-                    known.clear(), found.clear(), packed.clear()
-                    new = list({u for units in cut for u in units})
-                for u, paths in zip(new, search_units(new, lex, n_best)):
-                    known[u] = len(found)
-                    found.append(paths)
-                    packed.append(np.array(paths[0][1], np.int32))
-                second = np.array([p[0][0] - p[1][0] if len(p) > 1 else np.inf for p in found])
-                rows = []
-                for text, units in zip(texts, cut):
-                    at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-                    ids = np.concatenate([packed[i] for i in at]) if len(at) else np.zeros(0, np.int32)
-                    score = sum(found[i][0][0] for i in at)
-                    # Only these places can differ in an N-best path.
-                    k = min(n_best - 1, len(at))
-                    near = np.sort(np.argpartition(second[at], k - 1)[:k]) if k else []
-                    paths = []
-                    for lost, changes in merge_paths([found[at[i]] for i in near], n_best):
-                        changes = {int(near[i]): found[at[near[i]]][c][1] for i, c in changes.items()}
-                        size = len(ids) + sum(len(x) - len(packed[at[i]]) for i, x in changes.items())
-                        paths.append({"score": score - lost, "n_pieces": size,
-                                      "changes": [{"unit": i, "ids": x} for i, x in sorted(changes.items())]})
-                    whole = (text or b"").decode().replace("▁", " ")
-                    rows.append((ids, score, paths, decode_ids(ids.tolist(), lex) == whole))
-                sizes = [len(r[0]) for r in rows]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
-                    pa.array(np.concatenate([r[0] for r in rows]) if rows else [], pa.int32()))
+                at = units_of.numbers(cut)
+                flat, ends, scores, loss = units_of.arrays()
+                sizes = np.diff(ends, prepend=0)
+                # Only the places of smallest loss can differ in an N-best path.
+                near = []
+                for x in at:
+                    k = min(n_best - 1, len(x))
+                    near.append(np.sort(np.argpartition(loss[x], k - 1)[:k]) if k else np.zeros(0, np.int64))
+                wanted = list({cut[d][i] for d, places in enumerate(near) for i in places})
+                found = dict(zip(wanted, search_units(wanted, lex, n_best)))
+                whole = np.concatenate(at) if at else np.zeros(0, np.int64)
+                n = sizes[whole]
+                ids = flat[np.repeat(ends[whole] - np.cumsum(n), n) + np.arange(n.sum())]
+                counts = np.array([int(sizes[x].sum()) for x in at], np.int64)
+                edge = np.concatenate([[0], np.cumsum(counts)])
+                total, paths, good = [], [], []
+                for d, (text, x) in enumerate(zip(texts, at)):
+                    total.append(float(scores[x].sum()))
+                    here, mine = [], [found[cut[d][i]] for i in near[d]]
+                    for lost, changes in merge_paths(mine, n_best):
+                        size = int(counts[d]) + sum(len(mine[j][c][1]) - len(mine[j][0][1]) for j, c in changes.items())
+                        here.append({"score": total[-1] - lost, "n_pieces": size, "changes": [
+                            {"unit": int(near[d][j]), "ids": mine[j][c][1]} for j, c in sorted(changes.items())]})
+                    paths.append(here)
+                    plain = (text or b"").replace(BLANK, b" ")
+                    good.append(decode_bytes(ids[edge[d]:edge[d + 1]].tolist(), lex) == plain)
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), lists, pa.array(sizes, pa.int64()),
-                     pa.array([r[1] for r in rows], pa.float64()),
-                     pa.array([r[2] for r in rows], schema.field("n_best").type),
-                     pa.array([r[3] for r in rows], pa.bool_())], schema=schema)
+                    [part.column("doc_id").cast(pa.int64()), lists, pa.array(counts), pa.array(total, pa.float64()),
+                     pa.array(paths, schema.field("n_best").type), pa.array(good, pa.bool_())], schema=schema)
 
     return keyed_text(docs, id_col, text_col).mapInArrow(run, ENCODED)
 
