@@ -35,8 +35,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of the input (from file sizes; starts no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own size estimate of the input (from file sizes; starts no job).
+
+    Where Spark has none (rows that Python or an RDD makes), 64 MB a shuffle partition.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 26
+    return size
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
