@@ -28,14 +28,33 @@ from tarmac.operators.joins import lookup_join
 DEFAULT_BUCKETS = 256
 
 
+def range_count(df: DataFrame, range_bytes: int = 32 << 20, most: int = 65_536) -> int:
+    """Ranges by Spark's size estimate of the input, about 32 MB each (starts no job)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # no estimate
+        return DEFAULT_BUCKETS
+    return min(most, max(DEFAULT_BUCKETS, size // range_bytes))
+
+
+def _cuts_below(value, buckets: int):
+    """How many of the sorted ``_cuts`` are smaller than ``value``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in range(max(1, buckets.bit_length()) - 1, -1, -1)])
+
+    def walk(at, step):
+        nxt = at + step
+        return F.when((nxt <= F.size("_cuts")) & (F.try_element_at(F.col("_cuts"), nxt) < value), nxt).otherwise(at)
+    return F.aggregate(steps, F.lit(0), walk)
+
+
 def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
                      groups: list[str] | None = None,
-                     buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_") -> DataFrame:
+                     buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same group with a smaller ``order``.
 
     ``order`` must be unique within a group (aggregate by value first).
     """
     groups = list(groups or [])
+    buckets = buckets or range_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = F.array_distinct(F.percentile_approx(F.col(order), probs, 10 * buckets)).alias("_cuts")
     if groups:
@@ -44,7 +63,7 @@ def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
         cut_rows = df.groupBy(*groups).agg(cuts)
         n_groups = cut_rows.count()
         with_cuts = lookup_join(df, cut_rows, groups, "inner", dim_rows=n_groups)
-        below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+        below = _cuts_below(F.col(order), buckets)
     else:
         n_groups = 1
         # A single row of at most ``buckets - 1`` numbers: read it and inline it.
@@ -52,7 +71,7 @@ def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
         points = [F.lit(float(x)) for x in (row["_cuts"] or [])]
         with_cuts = df.withColumn("_cuts", F.array(*points) if points else
                                   F.array().cast("array<double>"))
-        below = F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))
+        below = _cuts_below(F.col(order).cast("double"), buckets)
     bucketed = with_cuts.withColumn("_bucket", below).drop("_cuts")
 
     keys = groups + ["_bucket"]

@@ -44,9 +44,14 @@ def spread_for_heavy_work(df: DataFrame) -> DataFrame:
     scoring, the attribution walk).  A table that arrives in fewer partitions
     than the cluster has cores (a few small input files) is re-partitioned
     round-robin once; a large table already has more partitions and is left
-    untouched, so no shuffle is added at scale.
+    untouched, so no shuffle is added at scale.  No job is started to decide.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # From Spark's size estimate of the plan: counting the partitions of an adaptive plan would
+    # run its shuffles.
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size < cores * split:
         return df.repartition(cores)
     return df

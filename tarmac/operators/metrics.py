@@ -13,20 +13,28 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import constants as K
 from tarmac.operators.cumulative import exclusive_prefix
+from tarmac.operators.joins import materialize
 
 
 def _div(a, b):
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """tn, fp, fn, tp (and n) in one pass."""
+def _count(condition, weight: str | None):
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0)).cast("long")
+
+
+def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction",
+              weight: str | None = None) -> DataFrame:
+    """tn, fp, fn, tp (and n) in one pass; ``weight`` counts rows that stand for several."""
     y, p = F.col(label), F.col(prediction)
     return df.agg(
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
+        _count((y == 0) & (p == 0), weight).alias("tn"),
+        _count((y == 0) & (p == 1), weight).alias("fp"),
+        _count((y == 1) & (p == 0), weight).alias("fn"),
+        _count((y == 1) & (p == 1), weight).alias("tp"),
     ).withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
 
 
@@ -73,7 +81,7 @@ def class_report(conf: DataFrame, names=K.CLASS_NAMES) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 256) -> DataFrame:
+            buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """F16: exact ROC AUC with ties counted half (Mann-Whitney form).
 
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s)/2) / (P * N).
@@ -82,8 +90,10 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     """
     per_score = (df.filter(F.col(score).isNotNull())
                    .groupBy(F.col(score).cast("double").alias("s"))
-                   .agg(F.count_if(F.col(label) == 1).alias("pos"),
-                        F.count_if(F.col(label) == 0).alias("neg")))
+                   .agg(_count(F.col(label) == 1, weight).alias("pos"),
+                        _count(F.col(label) == 0, weight).alias("neg")))
+    # Kept: the cuts and the sums below read it, not the input.
+    per_score, _n = materialize(per_score)
     ranked = exclusive_prefix(per_score, "s", ["neg"], buckets=buckets)
     return ranked.agg(
         F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0)).alias("_u"),

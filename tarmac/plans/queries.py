@@ -222,28 +222,51 @@ def endpoint_check(spark, sf):
 
 
 @register("dataset_summary", O.flights_sql("""
-SELECT count(*) AS rows, 29 AS columns, round(avg(CAST(ArrDelay > 15 AS INT)), 9) AS delay_rate,
+SELECT count(*) AS rows, 28 AS columns, round(avg(CAST(ArrDelay > 15 AS INT)), 9) AS delay_rate,
   count(DISTINCT Reporting_Airline) AS carriers, count(DISTINCT Origin) AS origins,
   count(DISTINCT Dest) AS dests, min(FlightDate) AS first_date, max(FlightDate) AS last_date
 FROM flights_raw"""))
 def dataset_summary(spark, sf):
-    return A.dataset_summary(T.flights_raw(spark, sf))
+    return A.dataset_summary(T.flights_raw(spark, sf, with_key=False))
 
 
 @register("extract_profile", O.flights_sql("""
-SELECT count(*) AS rows, 29 AS columns, min(FlightDate) AS first_date, max(FlightDate) AS last_date,
+SELECT count(*) AS rows, 28 AS columns, min(FlightDate) AS first_date, max(FlightDate) AS last_date,
   count(DISTINCT Reporting_Airline) AS carriers FROM flights_raw"""))
 def extract_profile(spark, sf):
-    return A.extract_profile(T.flights_raw(spark, sf))
+    return A.extract_profile(T.flights_raw(spark, sf, with_key=False))
 
 
-@register("column_contract", O.flights_sql("""
-SELECT e.column_name AS column_name, d.column_name IS NOT NULL AS present
-FROM (SELECT unnest([""" + ", ".join(f"'{c}'" for c in K.RAW_COLUMNS) + """]) AS column_name) e
-LEFT JOIN (DESCRIBE SELECT * FROM flights_raw) d ON e.column_name = d.column_name"""))
+def _csv_of_flights(spark, sf):
+    """The raw flights as CSV, columns reversed, without AirTime, TaxiOut written as 15.0."""
+    from tarmac.session import shared_path
+    raw = T.flights_raw(spark, sf, with_key=False).drop("AirTime").withColumn("TaxiOut", F.col("TaxiOut").cast("double"))
+    path = shared_path(spark, "csv", unique=True)
+    raw.select(*reversed(raw.columns)).write.option("header", True).csv(path)
+    return path
+
+
+@register("column_contract", "SELECT unnest([" + ", ".join(f"'{c}'" for c in K.RAW_COLUMNS)
+          + "]) AS column_name, unnest([" + ", ".join(str(c != "AirTime").lower() for c in K.RAW_COLUMNS) + "]) AS present")
 def column_contract(spark, sf):
-    from tarmac.sources.files import column_contract as contract
-    return contract(T.flights_raw(spark, sf), K.RAW_COLUMNS)
+    """A2 over the header of a CSV that lacks one expected column."""
+    from tarmac.sources.files import column_contract as contract, read_raw_csv
+    return contract(read_raw_csv(spark, _csv_of_flights(spark, sf)), K.RAW_COLUMNS)
+
+
+@register("csv_roundtrip", O.flights_sql("""
+SELECT Reporting_Airline, count(*) AS flights, CAST(sum(Year) AS BIGINT) AS sum_year,
+  CAST(sum(TaxiOut) AS BIGINT) AS sum_taxi_out, CAST(sum(Distance) AS BIGINT) AS sum_distance,
+  CAST(sum(Cancelled) AS BIGINT) AS cancelled, min(FlightDate) AS first_date, max(Origin) AS last_origin
+FROM flights_raw GROUP BY Reporting_Airline"""))
+def csv_roundtrip(spark, sf):
+    """A1: a CSV with reordered columns, one missing and one float-form integer, bound by name."""
+    from tarmac.sources.files import read_raw_csv
+    return read_raw_csv(spark, _csv_of_flights(spark, sf)).groupBy("Reporting_Airline").agg(
+        F.count(F.lit(1)).alias("flights"), F.sum("Year").alias("sum_year"),
+        F.sum("TaxiOut").alias("sum_taxi_out"), F.sum("Distance").alias("sum_distance"),
+        F.sum("Cancelled").alias("cancelled"), F.min("FlightDate").alias("first_date"),
+        F.max("Origin").alias("last_origin"))
 
 
 # --- step 3: encoders and the full transform --------------------------------
@@ -872,13 +895,38 @@ def stream_log(spark, sf):
     q = run_log_stream(spark, f"{base}/requests", f"{base}/log", f"{base}/quarantine",
                        f"{base}/ckpt", root, cats)
     q.awaitTermination()
-    log = spark.read.parquet(f"{base}/log")
+    from tarmac.sources.files import read_log
+    log = read_log(spark, f"{base}/log")
     bad = spark.read.parquet(f"{base}/quarantine")
     return A.log_kpis(log).select(
         "total_predictions", "delayed_rate", "avg_probability",
         F.lit(bad.count()).cast("long").alias("quarantined"))
 
 
+@register("log_written", plog_sql("""
+SELECT * EXCLUDE (event_id) FROM plog ORDER BY event_id DESC LIMIT 20"""))
+def log_written(spark, sf):
+    """The log appended in two parts, read back, its last 20 rows."""
+    from tarmac.operators.topk import recent
+    from tarmac.session import shared_path
+    from tarmac.sources.files import append_log, read_log
+    path = shared_path(spark, "log", unique=True)
+    log = T.prediction_log(spark, sf)
+    middle = log.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (log.filter(F.col("event_id") <= middle), log.filter(F.col("event_id") > middle)):
+        append_log(part.repartitionByRange("event_id").sortWithinPartitions("event_id"), path)
+    return recent(read_log(spark, path), 20).drop("event_id")
+
+
+@register("training_scan", O.flights_sql("""
+SELECT is_delayed, count(*) AS n FROM pf GROUP BY is_delayed""", processed=True))
+def training_scan(spark, sf):
+    """The SQL table that training reads, one column of it."""
+    from tarmac.sources.files import load_table, training_data
+    load_table(processed(spark, sf, keep_key=False), "flights_training")
+    return training_data(spark, "flights_training").groupBy(K.TARGET).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sources, sinks and SQL tables (A4-A9, P1, G3) --------------------------------
 
 @register("preview", plog_sql("""

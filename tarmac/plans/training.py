@@ -12,8 +12,8 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
+from fractions import Fraction
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
                                        LogisticRegression, LogisticRegressionModel,
                                        RandomForestClassificationModel,
@@ -25,28 +25,46 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import constants as K
 from tarmac.operators.encoders import ScalerModel
-from tarmac.operators.joins import spread_for_heavy_work
+from tarmac.operators.joins import materialize, spread_for_heavy_work
 from tarmac.operators.metrics import class_metrics, class_report, confusion, roc_auc
 from tarmac.plans import runs as R
+from tarmac.session import shared_path
 
 # --- H1: keyed hash split -------------------------------------------------------
 
 
 def hash_bucket(key, seed: int = K.SPLIT_SEED):
     """First 32 bits of md5(key || seed) as a non-negative integer."""
-    text = F.concat(F.col(key).cast("string"), F.lit(str(seed)))
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def hash_split_flag(key: str = "flight_key", seed: int = K.SPLIT_SEED,
                     test_fraction: float = K.TEST_FRACTION):
-    """1 for the hold-out rows: hash % (1/fraction) == 0.  Equal keys share a side."""
-    folds = int(round(1 / test_fraction))
-    return (hash_bucket(key, seed) % folds == 0).cast("int")
+    """1 for the hold-out rows: hash % d < n for a fraction of n / d (d up to 1000).
+
+    Equal keys share a side, rows without a key too.
+    """
+    part = Fraction(test_fraction).limit_denominator(1000)
+    return (hash_bucket(key, seed) % part.denominator < part.numerator).cast("int")
 
 
 def stratified_split_flag(df: DataFrame, key: str = "flight_key", label: str = K.TARGET,
                           seed: int = K.SPLIT_SEED, test_fraction: float = K.TEST_FRACTION):
+    """The flag of ``stratified_cuts``; rows without a label are not held out."""
+    return cuts_flag(stratified_cuts(df, key, label, seed, test_fraction), key, label, seed)
+
+
+def cuts_flag(cuts: dict, key: str = "flight_key", label: str = K.TARGET, seed: int = K.SPLIT_SEED):
+    """1 where the row's hash is below its class's cut."""
+    flag = F.lit(0)
+    for y, c in cuts.items():
+        flag = F.when(F.col(label) == y, (hash_bucket(key, seed) < F.lit(c)).cast("int")).otherwise(flag)
+    return flag
+
+
+def stratified_cuts(df: DataFrame, key: str = "flight_key", label: str = K.TARGET,
+                    seed: int = K.SPLIT_SEED, test_fraction: float = K.TEST_FRACTION) -> dict:
     """Exact-count stratified hold-out flag (per class ceil(fraction * n_c) rows).
 
     Rows are ordered by the md5 hash of their key within each class; the cut
@@ -55,14 +73,13 @@ def stratified_split_flag(df: DataFrame, key: str = "flight_key", label: str = K
     so no task sorts a whole class; the cuts (one number per class) come back
     to the driver and the flag is a plain column expression - no join back.
     Equal keys stay on one side, so a class may exceed its target by the size
-    of one duplicate group.
+    of one duplicate group; a class that is one group is held out whole.
     """
-    from fractions import Fraction
-
     from tarmac.operators.cumulative import exclusive_prefix
     frac = Fraction(test_fraction).limit_denominator(1000)
     h = hash_bucket(key, seed)
-    per = df.groupBy(F.col(label).alias("_y"), h.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    per = (df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_y"), h.alias("_h"))
+           .agg(F.count(F.lit(1)).alias("_n")))
     totals = {r["_y"]: r["_t"] for r in per.groupBy("_y").agg(F.sum("_n").alias("_t")).collect()}
     targets = {y: (t * frac.numerator + frac.denominator - 1) // frac.denominator
                for y, t in totals.items()}
@@ -73,10 +90,8 @@ def stratified_split_flag(df: DataFrame, key: str = "flight_key", label: str = K
         target_col = F.when(F.col("_y") == y, F.lit(t)).otherwise(target_col)
     cuts = {r["_y"]: r["_c"] for r in cum.filter(F.col("cum__n") >= target_col)
             .groupBy("_y").agg(F.min("_h").alias("_c")).collect()}   # one row per class
-    flag = F.lit(0)
-    for y, c in cuts.items():
-        flag = F.when(F.col(label) == y, (h < F.lit(c)).cast("int")).otherwise(flag)
-    return flag
+    # No hash with enough rows before it: the target takes the last group too.
+    return {y: int(cuts.get(y, 1 << 32)) for y in targets}
 
 
 # --- presets and estimators (H2-H5) ---------------------------------------------
@@ -150,25 +165,35 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 @dataclass
 class Prepared:
-    data: DataFrame              # key, is_test, label, weight, features (cached)
+    data: DataFrame              # key, is_test, label, weight, features (written)
     features: list[str]
     scaler: ScalerModel
     class_weights: dict
     n_train: int
     n_test: int
+    split: dict = field(default_factory=dict)
+
+
+def split_flag(split: dict):
+    """The hold-out flag of saved split settings."""
+    if split["mode"] == "stratified":
+        return cuts_flag({int(y): c for y, c in split["cuts"].items()}, split["key"], seed=split["seed"])
+    return hash_split_flag(split["key"], split["seed"], split["fraction"])
 
 
 def prepare(processed: DataFrame, key: str = "flight_key", scaler_fit: str = "train",
-            split: str = "hash") -> Prepared:
-    """Split flag, balanced weights, scaler fit, assembled vector - one cached table.
+            split: str = "hash", test_fraction: float = K.TEST_FRACTION) -> Prepared:
+    """Split flag, balanced weights, scaler fit, assembled vector - one table in shared storage.
 
     ``scaler_fit='all'`` reproduces the original (the scaler also sees test rows).
     ``split='stratified'`` uses exact per-class hold-out counts instead of the
     row-local hash threshold.
     """
     feats = feature_columns(processed)
-    flag = stratified_split_flag(processed, key) if split == "stratified" else hash_split_flag(key)
-    df = processed.withColumn("is_test", flag)
+    settings = {"mode": split, "key": key, "seed": K.SPLIT_SEED, "fraction": test_fraction}
+    if split == "stratified":
+        settings["cuts"] = stratified_cuts(processed, key, test_fraction=test_fraction)
+    df = processed.withColumn("is_test", split_flag(settings))
     # One pass for the scaler moments (of the fitting rows) and the class counts.
     in_fit = None if scaler_fit == "all" else (F.col("is_test") == 0)
     counts_aggs = [F.count_if((F.col("is_test") == t) & (F.col(K.TARGET) == y)).alias(f"n{t}{y}")
@@ -184,12 +209,14 @@ def prepare(processed: DataFrame, key: str = "flight_key", scaler_fit: str = "tr
     assembled = VectorAssembler(inputCols=feats, outputCol="features").transform(scaled) \
         .select(key, "is_test", "label", "weight", "features")
     # Every estimator makes many passes over this table: spread it over all
-    # cores before caching (a no-op for a table that is already large).
+    # cores before writing it (a no-op for a table that is already large).
     assembled = spread_for_heavy_work(assembled)
-    # The one cache in the package: all three estimators read it.
-    assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
-    assembled.count()  # fill the cache now, so fit times measure the fits only
-    return Prepared(assembled, feats, scaler, w, n_train, n_test)
+    # Written once to shared storage: every estimator reads it, a lost executor costs nothing,
+    # and nothing stays cached when the job is over.
+    path = shared_path(processed.sparkSession, "training-set", unique=True)
+    assembled.write.parquet(path)
+    assembled = processed.sparkSession.read.parquet(path)
+    return Prepared(assembled, feats, scaler, w, n_train, n_test, settings)
 
 
 # --- evaluation (F14-F17 on model output) ----------------------------------------
@@ -206,9 +233,11 @@ def evaluate_predictions(pred: DataFrame, digits: int | None = 4) -> dict:
     scored = positive_probability(pred).select(
         F.col("label").cast("int").alias("label"),
         F.col("prediction").cast("int").alias("prediction"), F.col("p").alias("score"))
-    conf = confusion(scored)
+    # The model runs once over the hold-out: its answers are counted and the counts kept.
+    counts, _n = materialize(scored.groupBy("label", "prediction", "score").agg(F.count(F.lit(1)).alias("rows")))
+    conf = confusion(counts, weight="rows")
     m = class_metrics(conf).first().asDict()
-    auc = roc_auc(scored).first()["roc_auc"]
+    auc = roc_auc(counts, weight="rows").first()["roc_auc"]
     m["roc_auc"] = float(auc) if auc is not None else 0.0
     if digits is not None:
         m = {k: round(v, digits) for k, v in m.items()}
@@ -233,6 +262,12 @@ def save_artifacts(spark: SparkSession, root: str, prepared: Prepared) -> None:
     prepared.scaler.to_frame(spark).write.mode("overwrite").parquet(f"{root}/scaler")
     spark.createDataFrame([(json.dumps(prepared.features),)], "features string") \
         .write.mode("overwrite").json(f"{root}/feature_columns")
+    spark.createDataFrame([(json.dumps(prepared.split),)], "split string") \
+        .write.mode("overwrite").json(f"{root}/split")
+
+
+def load_split(spark: SparkSession, root: str) -> dict:
+    return json.loads(spark.read.json(f"{root}/split").first()["split"])
 
 
 def load_artifacts(spark: SparkSession, root: str) -> tuple[ScalerModel, list[str]]:
@@ -320,7 +355,8 @@ def evaluate_job(processed: DataFrame, root: str, runs_path: str | None = None):
     spark = processed.sparkSession
     name, model = load_best(spark, root)
     scaler, feats = load_artifacts(spark, root)
-    test = processed.withColumn("is_test", hash_split_flag("flight_key")).filter(F.col("is_test") == 1)
+    # The rows that training held out, by its own settings.
+    test = processed.withColumn("is_test", split_flag(load_split(spark, root))).filter(F.col("is_test") == 1)
     x = VectorAssembler(inputCols=feats, outputCol="features").transform(
         test.select(F.col(K.TARGET).cast("double").alias("label"), *scaler.columns()))
     pred = positive_probability(model.transform(x))

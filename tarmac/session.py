@@ -61,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         # Unset: a local test session.  Pick a private folder for it.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="tarmac-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

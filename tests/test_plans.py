@@ -66,5 +66,27 @@ def test_reread_is_column_pruned(spark, sf, tmp):
 def test_spread_only_small_partition_counts(spark):
     one = spark.range(100).coalesce(1)
     assert spread_for_heavy_work(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    many = spark.range(10 ** 12)
     assert spread_for_heavy_work(many) is many
+
+
+def test_spread_starts_no_job(spark, sf):
+    sc = spark.sparkContext
+    shuffled = Q.delay_rate_by_carrier(spark, sf).repartition(3, "Reporting_Airline")
+    sc.setJobGroup("spread", "no job")
+    spread_for_heavy_work(shuffled)
+    jobs = sc.statusTracker().getJobIdsForGroup("spread")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0
+
+
+def test_auc_reads_its_input_once(spark, tmp):
+    from tarmac.operators.metrics import roc_auc
+    spark.range(5000).selectExpr("id % 2 AS label", "(id % 97) / 97.0D AS score").write.parquet(f"{tmp}/scores")
+    plan = roc_auc(spark.read.parquet(f"{tmp}/scores"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 0  # what is left reads the kept counts
+
+
+def test_range_count_follows_the_input(spark):
+    from tarmac.operators.cumulative import range_count
+    assert range_count(spark.range(10 ** 11)) > range_count(spark.range(1000)) == 256

@@ -46,7 +46,7 @@ def test_log_append_by_name_and_csv_parse(spark, sf, tmp):
     S.append_log(log, f"{tmp}/log")
     S.append_log(reordered, f"{tmp}/log")
     back = S.read_log(spark, f"{tmp}/log")
-    assert back.columns == K.LOG_COLUMNS
+    assert back.drop("event_id").columns == K.LOG_COLUMNS
     assert back.count() == 2 * log.count()
     log.limit(5).write.option("header", True).csv(f"{tmp}/log_csv")
     parsed = S.read_log(spark, f"{tmp}/log_csv", fmt="csv")
@@ -94,3 +94,48 @@ def test_run_store_scan(spark, tmp):
     assert row["metrics"]["f1_score"] == pytest.approx(0.8912)
     assert row["params"]["max_depth"] == "15" and row["tags"]["model_type"] == "RandomForest"
     assert (row["end_time"] - row["start_time"]).total_seconds() == pytest.approx(14.1)
+
+
+def test_csv_is_bound_by_name(spark, sf, tmp):
+    raw = T.flights_raw(spark, sf, with_key=False)
+    odd = raw.drop("AirTime").withColumn("TaxiOut", F.col("TaxiOut").cast("double"))
+    odd = odd.withColumn("Distance", F.when(F.col("Month") == 1, F.lit("far")).otherwise(F.col("Distance").cast("string")))
+    odd.select(*reversed(odd.columns)).withColumn("more", F.lit("x")).coalesce(1).write.option("header", True).csv(f"{tmp}/odd")
+    back = S.read_raw_csv(spark, f"{tmp}/odd")
+    assert "AirTime" not in back.columns and back.columns[-1] == "more"
+    assert [r["column_name"] for r in S.column_contract(back).filter("not present").collect()] == ["AirTime"]
+    same = [c for c in raw.columns if c not in ("AirTime", "Distance")]
+    assert back.select(*same).exceptAll(raw.select(*same)).count() == 0
+    failed = {r["column_name"]: r["failures"] for r in S.parse_failures(spark, f"{tmp}/odd").collect()}
+    assert failed.pop("Distance") == raw.filter("Month = 1").count() and set(failed.values()) == {0}
+    raw.select(*sorted(raw.columns)).coalesce(1).write.option("header", True).mode("append").csv(f"{tmp}/odd")
+    with pytest.raises(Exception):
+        S.read_raw_csv(spark, f"{tmp}/odd").collect()
+
+
+@pytest.mark.parametrize("split", ["hash", "stratified"])
+def test_csv_to_training_without_a_key(spark, sf, tmp, split):
+    from tarmac.plans.etl import run_etl
+    from tarmac.plans.training import evaluate_job, load_split, split_flag, train_all
+    S.write_processed(T.flights_raw(spark, sf, with_key=False), f"{tmp}/csv", fmt="csv")
+    run_etl(spark, f"{tmp}/processed", input_path=f"{tmp}/csv")
+    processed = spark.read.parquet(f"{tmp}/processed")
+    res = train_all(processed, f"{tmp}/models", models=["LogisticRegression"], split=split)
+    flagged = processed.withColumn("is_test", split_flag(load_split(spark, f"{tmp}/models")))
+    trained = res.prepared.data.filter("is_test = 0").select("flight_key")
+    assert flagged.filter("is_test = 1").join(trained, "flight_key", "left_semi").count() == 0
+    _metrics, conf, _report = evaluate_job(processed, f"{tmp}/models")
+    assert conf.first()["n"] == res.prepared.n_test == flagged.filter("is_test = 1").count()
+
+
+def test_log_keeps_every_append(spark, sf, tmp):
+    from tarmac.operators.topk import history, recent
+    log = T.prediction_log(spark, sf).drop("event_id").limit(30).cache()
+    S.append_log(log, f"{tmp}/log")
+    for _ in range(2):  # a replayed batch
+        S.append_log(log.limit(7), f"{tmp}/log", run="stream-a", batch=0)
+    S.append_log(log.limit(5), f"{tmp}/log", run="stream-b", batch=0)
+    back = S.read_log(spark, f"{tmp}/log")
+    assert back.count() == 30 + 7 + 5
+    last = history(back, 5).drop("total", "event_id")
+    assert last.exceptAll(log.limit(5)).count() == 0 and recent(back, 5).count() == 5
