@@ -6,7 +6,7 @@ every stripe, and Bloom filters on doc_id, so that readers take stripes in paral
 stripes and row groups that cannot hold an id.
 
 White space parts words for the tokenizer and is dropped, so a text's ids are its words' ids
-in turn (a word: a run without white space; the file's added tokens hold none).  Each task
+in turn (a word: a run without white space; the file's added tokens hold none).  Each worker
 encodes a distinct word once and looks it up from then on.
 
 Defined results: a null or empty text has the end id alone; a null doc_id sorts first; rows
@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,14 @@ class Encoder:
     #: falls into two pieces at most, which go straight to the tokenizer's model.
     PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str, cache: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.most = cache
         bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -59,46 +63,51 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.ends = array("i"), array("q")
 
-    def _piece(self, text: str) -> list[int]:
-        found = self.pieces.get(text)
-        if found is None:
-            found = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.letters))]
-            self.pieces[text] = found
-        return found
+    def _add(self, word: str, ids) -> None:
+        self.words[word] = len(self.ends)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def _piece(self, text: str):
+        """Ids of lower-case letters or of marks, which are words themselves."""
+        at = self.words.get(text)
+        if at is None:
+            self._add(text, [t.id for t in self.model.tokenize(text.translate(self.letters))])
+            at = len(self.ends) - 1
+        return self.flat[self.ends[at - 1] if at else 0:self.ends[at]]
 
     def _learn(self, words: list[str]) -> None:
         odd = []
         for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if m is None:
+            letters = w.rstrip(self.MARKS)
+            if not (letters.isascii() and letters.isalpha()) and not self.PLAIN.fullmatch(w):
                 odd.append(w)
                 continue
-            self.words[w] = len(self.ends)
-            self.flat.extend(self._piece(m[1].lower()))
-            if m[2]:
-                self.flat.extend(self._piece(m[2]))
-            self.ends.append(len(self.flat))
+            ids = self._piece(letters.lower())
+            if len(letters) < len(w):
+                ids = ids + self._piece(w[len(letters):])
+            if w not in self.words:
+                self._add(w, ids)
         for lo in range(0, len(odd), 20_000):
             some = odd[lo:lo + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[w] = len(self.ends)
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
+                if w not in self.words:
+                    self._add(w, e.ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and how many each text has."""
         cut = [((SPACE.findall(x) if ODD_SPACE.search(x) else x.split()) if x else []) for x in texts]
-        known = self.words
-        new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > self.most and known:
+        if len(self.words) > self.most:
             self._forget()
-            new = {w for words in cut for w in words}
-        self._learn(sorted(new))
-        get = self.words.__getitem__
-        at = [np.fromiter(map(get, words), np.int64, len(words)) for words in cut]
+        get = self.words.get
+        at = [np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)) for words in cut]
+        unknown = [np.flatnonzero(x < 0) for x in at]
+        self._learn(list(dict.fromkeys(words[i] for words, places in zip(cut, unknown) for i in places)))
+        for x, words, places in zip(at, cut, unknown):
+            if len(places):
+                x[places] = [get(words[i]) for i in places]
         # Copies: an array that numpy looks into cannot grow.
         flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
         sizes = np.diff(ends, prepend=0)
@@ -108,14 +117,24 @@ class Encoder:
         return flat[place], np.array([int(sizes[x].sum()) for x in at], np.int64)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process: its words serve the next task too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenize(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each text with the end id."""
+    """(doc_id, ids): the ids of each text with the end id, in the order of the rows."""
     path = tokenizer or default_tokenizer()
     schema = arrow_schema("doc_id long, ids array<int>")
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 ids, counts = encoder.encode(part.column("text").to_pylist())
@@ -128,13 +147,17 @@ def tokenize(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def write_tokens(tokens: DataFrame, path: str, partition_bytes: int = 64 << 20,
-                 size: int | None = None) -> None:
-    """Write (doc_id, ids) as ORC in ascending doc_id order: files hold disjoint id ranges."""
-    size = input_bytes(tokens) if size is None else size
-    parts = max(1, -(-size // partition_bytes))
-    (tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.hash("ids"))
-     .write.option("compression", "zstd")
+def write_tokens(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
+                 id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = 16 << 20) -> None:
+    """Tokenize and write as ORC in ascending doc_id order: files hold disjoint id ranges.
+
+    Texts are dealt by id range before they are encoded, so finding the ranges samples ids of
+    the scan and encodes nothing twice.
+    """
+    docs = keyed_text(df, id_col, text_col)
+    parts = max(1, -(-input_bytes(df) // partition_bytes))
+    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    (tokenize(ordered, tokenizer, end_id).write.option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", "1000")
      .option("orc.stripe.size", str(16 << 20)).orc(path))
@@ -189,5 +212,5 @@ def offsets_of(rows: DataFrame, block_rows: int = 100_000) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = shared_path(spark, "token-files", unique=True)
-    write_tokens(tokenize(docs), path, size=input_bytes(docs))
+    write_tokens(docs, path)
     return with_starts(read_tokens(spark, path))

@@ -336,7 +336,7 @@ def test_html_pages_equal_article(spark, sf):
 def test_token_files_equal_tokenizer(spark, docs, frame, empty, tmp):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(orc_tokens.default_tokenizer())
-    orc_tokens.write_tokens(orc_tokens.tokenize(frame), f"{tmp}/t", partition_bytes=1 << 14)
+    orc_tokens.write_tokens(frame, f"{tmp}/t", partition_bytes=1 << 14)
     got = orc_tokens.with_starts(orc_tokens.read_tokens(spark, f"{tmp}/t")).collect()
     ids = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in docs]
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
@@ -347,7 +347,7 @@ def test_token_files_equal_tokenizer(spark, docs, frame, empty, tmp):
     assert [r.start for r in order] == np.cumsum([0] + [r.n_tokens for r in order])[:-1].tolist()
     one = orc_tokens.read_tokens(spark, f"{tmp}/t").filter("doc_id = 9005").collect()
     assert len(one) == 1 and one[0].ids[-1] == 2
-    orc_tokens.write_tokens(orc_tokens.tokenize(empty), f"{tmp}/e")
+    orc_tokens.write_tokens(empty, f"{tmp}/e")
     assert orc_tokens.with_starts(orc_tokens.read_tokens(spark, f"{tmp}/e")).collect() == []
 
 
