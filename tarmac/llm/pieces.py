@@ -204,12 +204,119 @@ class Lattice:
         return flat.astype(np.int32), counts, total, total - second
 
 
+class LongUnit:
+    """The same searches over one very long unit (no blank or newline for ``BLOCK`` bytes and
+    more), holding the lattice of one block of positions at a time."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, unit: bytes, lex: Lexicon, block: int = BLOCK):
+        self.unit, self.lex, self.block, self.span = unit, lex, block, lex.longest
+        n = len(unit)
+        self.best = np.full(n + 1, -np.inf)
+        self.best[0] = 0.0
+        self.step = np.zeros(n + 1, np.int64)
+        for lo in range(0, n, block):
+            scores = self._scores(lo)
+            for e in range(lo + 1, min(n, lo + block) + 1):
+                k = min(e, self.span)
+                to = self.best[e - k:e][::-1] + scores[e - lo - 1, :k]
+                at = k - 1 - int(np.argmax(to[::-1]))
+                self.step[e], self.best[e] = at + 1, to[at]
+
+    def piece(self, e: int, length: int) -> list[int] | None:
+        """Ids of the piece of some length that ends at ``e``, or None."""
+        sub = self.unit[e - length:e]
+        found = self.lex.ids.get(sub)
+        if found is not None:
+            return [found]
+        first = sub[0]
+        size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+        alone = (first & 0xC0) != 0x80 and size == length
+        return self.lex.byte_id[np.frombuffer(sub, np.uint8)].tolist() if alone else None
+
+    def _scores(self, lo: int) -> np.ndarray:
+        """Scores of the pieces that end at lo + 1 ... lo + block, by length."""
+        n, span = len(self.unit), self.span
+        start, stop = max(0, lo - span - 4), min(n, lo + self.block)
+        data = np.frombuffer(self.unit[start:stop + 4], np.uint8)
+        char = np.append((data & 0xC0) != 0x80, True)
+        hashes = PrefixHash(data, 7)
+        ends = np.arange(lo + 1, stop + 1) - start
+        out = np.full((stop - lo, span), -np.inf)
+        known = np.append(self.lex.scores, -np.inf)
+        for length in range(1, span + 1):
+            rows = np.flatnonzero(ends >= length)
+            rows = rows[char[ends[rows] - length] & char[ends[rows]]]
+            e = ends[rows]
+            found = self.lex.find(hashes.of(e - length, e))
+            score = known[found]
+            if length <= 4:
+                whole = found < 0
+                for k in range(1, length):
+                    whole &= ~char[e - k]
+                score = np.where(whole, self.lex.lowest, score)
+            out[rows, length - 1] = score
+        return out
+
+    def best_path(self) -> tuple[list[int], float, float]:
+        """ids, score, and the loss of the second-best path."""
+        n, span = len(self.unit), self.span
+        e, ids = n, []
+        taken = np.zeros(n + 1, np.int64)
+        while e:
+            taken[e] = length = int(self.step[e])
+            ids.append(self.piece(e, length))
+            e -= length
+        back = np.full(n + 1, -np.inf)
+        back[n], second = 0.0, -np.inf
+        for lo in range((n - 1) // self.block * self.block, -1, -self.block):
+            scores = self._scores(lo)
+            for e in range(min(n, lo + self.block), lo, -1):
+                k = min(e, span)
+                via = back[e] + scores[e - lo - 1, :k]
+                total = via + self.best[e - k:e][::-1]
+                if taken[e]:
+                    total[taken[e] - 1] = -np.inf
+                second = max(second, float(total.max()))
+                back[e - k:e] = np.maximum(back[e - k:e], via[::-1])
+        return [i for x in reversed(ids) for i in x], float(self.best[n]), float(self.best[n] - second)
+
+    def search(self, n_best: int) -> list[tuple[float, list[int]]]:
+        """The N best (score, ids): backward A* with a front of at most N hypotheses."""
+        front, done = [(float(self.best[-1]), 0.0, len(self.unit), None)], []
+        while front:
+            grown = list(done)
+            for _, g, e, trail in front:
+                for length in range(min(e, self.span), 0, -1):
+                    ids = self.piece(e, length)
+                    if ids is not None and self.best[e - length] > -np.inf:
+                        step = self.lex.scores[ids[0]] if self.unit[e - length:e] in self.lex.ids else self.lex.lowest
+                        grown.append((g + step + self.best[e - length], g + step, e - length, (ids, trail)))
+            grown.sort(key=lambda x: -x[0])
+            done = [x for x in grown[:n_best] if x[2] == 0]
+            front = [x for x in grown[:n_best] if x[2] > 0]
+        out = []
+        for _, g, _, trail in done:
+            ids = []
+            while trail is not None:
+                ids += trail[0]
+                trail = trail[1]
+            out.append((g, ids))
+        return out
+
+
 def search_units(units: list[bytes], lex: Lexicon, n_best: int) -> list[list[tuple[float, list[int]]]]:
     """The N best (score, ids) of each unit, best first."""
     out: list = [None] * len(units)
-    for some in _groups(units, 400_000 // n_best):
+    short = [i for i, u in enumerate(units) if len(u) < LongUnit.BLOCK]
+    for some in _groups([units[i] for i in short], 400_000 // n_best):
+        some = [short[i] for i in some]
         for i, found in zip(some, _search(Lattice([units[i] for i in some], lex), n_best)):
             out[i] = found
+    for i, u in enumerate(units):
+        if out[i] is None:
+            out[i] = LongUnit(u, lex).search(n_best)
     return out
 
 
@@ -330,6 +437,14 @@ class UnitCache:
             self._forget()
             known = self.known
             new = {u for units in cut for u in units}
+        for u in [u for u in new if len(u) >= LongUnit.BLOCK]:
+            new.discard(u)
+            ids, total, loss = LongUnit(u, self.lex).best_path()
+            known[u] = len(self.ends)
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
+            self.scores.append(total)
+            self.loss.append(loss)
         new = sorted(new)
         for some in _groups(new, 1_500_000):
             flat, counts, total, loss = Lattice([new[i] for i in some], self.lex).best_paths()

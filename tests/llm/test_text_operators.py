@@ -125,6 +125,19 @@ def test_pieces_n_best_equals_brute_force(docs):
         assert len({tuple(x[1]) for x in got}) == len(got)
 
 
+def test_pieces_long_unit_equals_lattice():
+    lex = pieces.Lexicon(pieces.default_model())
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        unit = ("▁" + "".join(rng.choice(["the", "ing", "é", "中文", "x", "1", "ou", "😀"], int(rng.integers(1, 40))))).encode()
+        lattice = pieces.Lattice([unit], lex)
+        flat, _, total, loss = lattice.best_paths()
+        ids, score, lost = pieces.LongUnit(unit, lex, 32).best_path()
+        assert ids == flat.tolist() and score == pytest.approx(total[0]) and (lost == loss[0] or lost == pytest.approx(loss[0]))
+        short, long_ = pieces._search(lattice, 3)[0], pieces.LongUnit(unit, lex, 32).search(3)
+        assert [x[0] for x in short] == pytest.approx([x[0] for x in long_]) and short[0][1] == long_[0][1]
+
+
 def test_pieces_whole_text(spark, docs, frame, empty):
     got = pieces.encode_documents(frame).collect()
     assert len(got) == len(docs) and all(r.decoded for r in got)
