@@ -140,9 +140,8 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: str | None = None)
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
-        keys = ["bin"] + ([by] if by else [])
-        return df.sparkSession.createDataFrame([], ", ".join(
-            [f"{k} int" for k in keys] + ["bin_start double", "bin_end double", "n long"]))
+        # Nothing to bin: the same columns and types, no rows.
+        lo = hi = 0.0
     lo, hi = float(lo), float(hi)
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.when(F.lit(hi > lo), F.least(F.lit(bins - 1),

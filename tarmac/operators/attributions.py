@@ -56,6 +56,8 @@ def _tree_tables(spark: SparkSession, model_path: str, kind: str):
     n_nodes = nodes.count()
     if n_nodes > MAX_BROADCAST_NODES:
         raise ValueError(f"{n_nodes} nodes: too large to broadcast for attributions")
+    if nodes.filter("nodeData.leftChild >= 0 AND nodeData.split.numCategories >= 0").limit(1).count():
+        raise ValueError("categorical splits have no threshold: this walk is for continuous features")
     weights_df = spark.read.parquet(f"{model_path}/treesMetadata")
     wcol = weights_df.columns
     weights = {int(r[0]): float(r[2]) for r in weights_df.select(wcol[0], wcol[1], wcol[2]).collect()}
@@ -114,7 +116,7 @@ def tree_attributions(df: DataFrame, model_path: str, n_features: int, kind: str
                     f = feat[nd]
                     go_left = x[r, f] <= thr[nd]
                     child = np.where(go_left, left[nd], right[nd])
-                    np.add.at(contrib, (r, f), w * scale * (val[child] - val[nd]))
+                    contrib[r, f] += w * scale * (val[child] - val[nd])  # a row has one step here
                     node[active] = child
                     active = left[node] >= 0
             yield pd.DataFrame({key: pdf[key].to_numpy(),

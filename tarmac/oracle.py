@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from tarmac.functions import constants as K
 
-CARRIER_STRIP = "AADLUAWNB6ASNKF9G4HA"
+CARRIER_LIST = "[" + ", ".join(f"'{c}'" for c in K.CARRIER_NAMES) + "]"
 
 _NUMERIC_RAW = ["Year", "Quarter", "Month", "DayofMonth", "DayOfWeek",
                 "Flight_Number_Reporting_Airline", "CRSDepTime", "DepDelay",
@@ -27,7 +27,7 @@ fr0 AS (
     CAST(day(o_orderdate) AS INT) AS DayofMonth,
     CAST(isodow(o_orderdate) AS INT) AS DayOfWeek,
     CAST(o_orderdate AS DATE) AS FlightDate,
-    substr('{CARRIER_STRIP}', CAST((l_suppkey % 10) * 2 + 1 AS INT), 2) AS Reporting_Airline,
+    list_extract({CARRIER_LIST}, CAST(l_suppkey % 10 + 1 AS INT)) AS Reporting_Airline,
     CAST(100 + l_partkey % 9899 AS INT) AS Flight_Number_Reporting_Airline,
     ns.n_name AS Origin,
     nc.n_name AS Dest,
@@ -146,7 +146,7 @@ pf AS (
 PREDICTION_LOG = f"""
 plog AS (
   SELECT event_id, ts AS timestamp,
-    substr('{CARRIER_STRIP}', CAST((user_id % 10) * 2 + 1 AS INT), 2) AS carrier,
+    list_extract({CARRIER_LIST}, CAST(user_id % 10 + 1 AS INT)) AS carrier,
     no.n_name AS origin, nd.n_name AS dest,
     CAST(1 + user_id % 12 AS INT) AS month,
     CAST(hour(ts) AS INT) AS dep_hour,

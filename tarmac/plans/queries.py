@@ -677,17 +677,13 @@ SELECT (SELECT count(*) FROM pf) AS n_reference, (SELECT count(*) FROM plog) AS
 FROM res""")
 def drift_report_q(spark, sf):
     """The report's scalar part; the nested JSON form is the A12 sink."""
-    from tarmac.operators.drift import ks_drift
+    from tarmac.operators.drift import drift_report, ks_drift
     ref, prod = _drift_inputs(spark, sf)
-    res = ks_drift(ref, prod)
-    return res.agg(
-        F.count(F.lit(1)).alias("n_features"),
-        F.coalesce(F.bool_or("drift"), F.lit(False)).alias("any_drift"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("drift"), F.col("feature")))), ",")
-        .alias("drifted_features"),
-    ).select(F.lit(ref.count()).cast("long").alias("n_reference"),
-             F.lit(prod.count()).cast("long").alias("n_production"), "*") \
-     .withColumn("drifted_features", F.nullif(F.col("drifted_features"), F.lit("")))
+    report = drift_report(ks_drift(ref, prod), ref.count(), prod.count(), generated_at=False)
+    drifted = F.array_sort(F.map_keys(F.map_filter("features", lambda k, v: v["drift"])))
+    return report.select(
+        "n_reference", "n_production", F.size("features").cast("long").alias("n_features"), "any_drift",
+        F.nullif(F.array_join(drifted, ","), F.lit("")).alias("drifted_features"))
 
 
 @register("ks_value_split", O.with_ctes("""

@@ -18,11 +18,6 @@ from tarmac.functions import columns as X
 from tarmac.functions import constants as K
 from tarmac.operators.joins import lookup_join
 
-# Adapter rule: ten two-letter carrier codes packed into one string,
-# picked by (key % 10) * 2 + 1.
-CARRIER_STRIP = "AADLUAWNB6ASNKF9G4HA"
-
-
 def per_session(fn):
     """Memoize a lazy DataFrame builder per (application, arguments).
 
@@ -66,7 +61,9 @@ def short_id(sf_dir: str) -> str:
 
 def carrier_from_key(key) -> F.Column:
     col = F.col(key) if isinstance(key, str) else key
-    return F.substring(F.lit(CARRIER_STRIP), ((col % 10) * 2 + 1).cast("int"), 2)
+    # Adapter rule: the carriers in their listed order, picked by key % 10.
+    codes = F.array(*[F.lit(c) for c in K.CARRIER_NAMES])
+    return F.element_at(codes, (col % 10 + 1).cast("int"))
 
 
 def _nation_names(spark, sf_dir, key_name, name_name):
