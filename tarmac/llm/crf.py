@@ -161,11 +161,15 @@ def toxic_features(docs: list[list[list[bytes]]], labels: np.ndarray, least: flo
             key = tuple(line)
             lines_of[key] = min(lines_of.get(key, 1), int(label))
     counts = (Counter(), Counter())
-    total = [0, 0]
     for words, label in lines_of.items():
-        total[label] += 1
-        counts[label].update({f for w in set(words) for f in features_of(w)})
-    n0, n1 = total
+        if label:
+            counts[1].update({f for w in set(words) for f in features_of(w)})
+    toxic = counts[1]
+    for words, label in lines_of.items():  # features of no toxic line need no count
+        if not label:
+            counts[0].update({f for w in set(words) for f in features_of(w) if f in toxic})
+    n1 = sum(lines_of.values())
+    n0 = len(lines_of) - n1
     if not n1:
         return {}
     found = {}
@@ -187,7 +191,9 @@ def toxic_features(docs: list[list[list[bytes]]], labels: np.ndarray, least: flo
 
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Tagger:
     """Label the words, train the field on lines, fit the document score."""
-    docs = [word_lines(t) for t in texts]
+    one: dict[bytes, bytes] = {}  # equal words share one object
+    docs = [[[one.setdefault(w, w) for w in line] for line in word_lines(t)] for t in texts]
+    del one
     known = toxic_features(docs, labels) if 0 < labels.sum() < len(labels) else {}
     names = sorted(known)
     index = {f: i for i, f in enumerate(names)}
