@@ -122,20 +122,25 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class PrefixHash:
-    """Polynomial hashes of substrings: ``of(starts, ends)`` after one pass over the bytes."""
+    """Polynomial hashes of substrings: ``of(starts, ends)`` after one pass over the bytes.
+
+    ``seed`` chooses the values of bytes, and the base too unless one is shared: the powers of a
+    base are kept, 64 MB for a buffer of 4 MB.
+    """
 
     _tables: dict = {}
 
-    def __init__(self, data: np.ndarray, seed: int):
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) & MASK
+    def __init__(self, data: np.ndarray, seed: int, base_seed: int | None = None):
+        base_seed = seed if base_seed is None else base_seed
+        base = (0x9E3779B97F4A7C15 * (2 * base_seed + 1) | 1) & MASK
         values = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed))
         n = len(data)
-        kept = self._tables.get(seed)
+        kept = self._tables.get(base_seed)
         if kept is None or len(kept[0]) <= n:
             size = max(n + 1, 1 << 16)
             kept = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
             if size <= 9 << 20:
-                self._tables[seed] = kept
+                self._tables[base_seed] = kept
         self.inverse = kept[1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * kept[0][:n], out=self.sums[1:])

@@ -37,15 +37,15 @@ from tarmac.llm.inputs import PrefixHash, arrow_schema, keyed_text, mix64, raw_b
 
 GRAM = 32
 BLOCKS = (64, 8, 1)
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def _text_keys(batch):
     for part in slices(batch, "text", CHUNK):
         data, offsets = raw_bytes(part.column("text"))
         a, b = offsets[:-1], offsets[1:]
-        yield part, {"k1": PrefixHash(data, 21).of(a, b).view(np.int64),
-                     "k2": PrefixHash(data, 22).of(a, b).view(np.int64), "n": b - a}
+        yield part, {"k1": PrefixHash(data, 21, 21).of(a, b).view(np.int64),
+                     "k2": PrefixHash(data, 22, 21).of(a, b).view(np.int64), "n": b - a}
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -58,7 +58,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int):
     if n < width or not len(offsets) > 1:
         return none, none, none, none, np.zeros(0, np.uint64)
     grams = n - GRAM + 1
-    h = PrefixHash(data, 31).of(np.arange(grams), np.arange(GRAM, n + 1))
+    h = PrefixHash(data, 31, 21).of(np.arange(grams), np.arange(GRAM, n + 1))
     # Smallest of each run of ``reach`` places: high bits of the hash, then the leftmost place.
     reach = width - GRAM + 1
     least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(grams, dtype=np.uint64)
@@ -134,7 +134,7 @@ def _rank_rows(active: DataFrame, block: int, width: int) -> DataFrame:
                 j = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts) + (x // block)[at]
                 low, high = np.maximum(x[at], j * block), np.minimum(y[at], j * block + block - 1)
                 here = (anchor + offsets[doc])[at]
-                one, two = PrefixHash(data, 41), PrefixHash(data, 42)
+                one, two = PrefixHash(data, 41, 21), PrefixHash(data, 42, 21)
                 shared = one.of(here - j * block, here + width - (j * block + block - 1))
                 shared = mix64(shared ^ mix64(gram[at].view(np.uint64) + j.astype(np.uint64)))
                 whole = two.of(here - high, here + width - low)
