@@ -11,7 +11,7 @@ a shingle and all documents about the same number; the few that leave a coordina
 search on.
 
 Bands of the signature are joined; texts that share a band (99.99 % of pairs at 0.8) and agree
-in 85 of 125 coordinates (99.96 %) are candidates.  In each bucket all members are compared with a leader
+in 182 of 250 coordinates (99.8 %) are candidates.  In each bucket all members are compared with a leader
 (the member that shares most buckets), exactly, on whole shingle multisets.  Members below the
 threshold stay in the bucket and meet the next leaders, four times as many in each turn, until
 none is left: no bucket is cut short, members that are linked leave at once, members of one
@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, keyed_text, mix64, raw_bytes,
                                slices, spans, table, with_results, written)
 
-BANDS, ROWS = 25, 5
+#: Coordinates of a signature; the first BANDS * ROWS make the bands, all make the estimate.
+COORDINATES, BANDS, ROWS = 250, 25, 5
 SALTS = 16
-#: Coordinates of 125 that a candidate pair agrees in: 100 are expected at 0.8, and 99.96 % of
-#: such pairs have 85 or more.
-AGREE = 85
+#: Coordinates of 250 that a candidate pair agrees in: 200 are expected at 0.8, and 99.8 % of
+#: such pairs have 182 or more (all but one in 10^8 at 0.9).
+AGREE = 182
 #: Leaders of a bucket in turn t: at most GROWTH ** t.
 GROWTH = 4
 _LOWER = np.frombuffer(WORD_TABLE, np.uint8)
@@ -139,10 +140,10 @@ def sign(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 doc, cells, words, keys = shingles(part)
-                best = signatures(doc, cells, part.num_rows, BANDS * ROWS)
+                best = signatures(doc, cells, part.num_rows, COORDINATES)
                 bands = np.zeros((part.num_rows, BANDS), np.uint64)
                 for r in range(ROWS):
-                    bands = mix64(bands * np.uint64(0x100000001B3) + best[:, r::ROWS])
+                    bands = mix64(bands * np.uint64(0x100000001B3) + best[:, r:BANDS * ROWS:ROWS])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, part.num_rows * BANDS + 1, BANDS), pa.int32()),
                     pa.array(bands.reshape(-1).view(np.int64)))
