@@ -3,8 +3,9 @@
 Every paragraph passes points to its ancestors, one for being there, one for each comma and
 one for each 100 characters (three at most), whole to its parent, half to the next container
 and less beyond; a container's points are discounted by its link density (the share of its
-text inside links).  The container with the most points is kept, with those siblings that
-score at least a fifth of it or are plain paragraphs of little link density.  Menus, page
+text inside links).  The container with the most points is kept, or the ``article`` or ``main``
+around it, else with those siblings that score at least a fifth of it or are plain paragraphs
+of little link density.  Menus, page
 headers and footers, sidebars, notices, adverts, forms, comments and invisible elements are
 taken out of the tree before scoring.
 
@@ -41,12 +42,16 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr img".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Words of class, id and role that mark what is not the article.
-UNLIKELY = re.compile(
+UN#: The head of an article is part of it.
+OWN_HEADER = re.compile(r"(?:article|entry|post|story)[-_]*header", re.I)
+LIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|"
     r"footer|foot|masthead|topbar|header|sidebar\w*|side|aside|widget\w*|comments?|comment-?list|respond|"
     r"discuss\w*|disqus\w*|replies|reply|cookie\w*|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|"
     r"popup|modal|overlay|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|"
     r"search\w*|copyright|legal|disclaimer|alert|hidden)(?:$|[\s_-])", re.I)
+#: The head of an article is part of it.
+OWN_HEADER = re.compile(r"(?:article|entry|post|story)[-_]*header", re.I)
 LIKELY = re.compile(r"article|main|content|post|entry|story|body|text", re.I)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 #: What an open element of the key's kind is closed by, besides its own end.
@@ -88,7 +93,7 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
                 gone = True
         mark = " ".join(marks)
         if mark and tag not in ("html", "body", "article", "main"):
-            if UNLIKELY.search(mark):
+            if UNLIKELY.search(OWN_HEADER.sub(" ", mark)):
                 gone = True
             elif LIKELY.search(mark):
                 hint = 5.0
@@ -218,6 +223,12 @@ def best_container(root: Node) -> list[Node]:
     floor = max(10.0, best.score * (1 - density(best)) * 0.2)
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
+    # A part of an article stands for the whole: what is not the article is out of the tree.
+    up = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return [up]
+        up = up.parent
     kept = []
     for c in best.parent.children:
         if c is best:

@@ -325,6 +325,9 @@ def test_crf_learns_and_handles_edges(spark, empty):
     ("<body><div class='sidebar'>Side text, side text</div><div id=content><p>Body, with <b>bold</b>text, and more of it, here.</p>"
      "<div class=ad>Buy</div><form>Mail<input></form><p>End.</p></div><div class='comments'><p>First, I say, no, yes, maybe!</p></div></body>",
      "Body, with boldtext, and more of it, here. End."),
+    ("<article><div class='post-header'><h1>Head</h1></div><section><p>Long, long, long, and a longer part of it, on and on.</p>"
+     "<p>More, of, it.</p></section><section><p>Short.</p></section><div class='post-footer'>Tags</div></article>",
+     "Head Long, long, long, and a longer part of it, on and on. More, of, it. Short."),
     ("<main><script>var a='</p>';</script><style>p{}</style><p>Kept, &eacute;&#233;&#xe9;</p><aside>no</aside></main>", "Kept, ééé"),
 ])
 def test_main_text(page, text):
