@@ -37,7 +37,7 @@ from tarmac.llm.inputs import PrefixHash, arrow_schema, keyed_text, mix64, raw_b
 
 GRAM = 32
 BLOCKS = (64, 8, 1)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def _text_keys(batch):
@@ -157,10 +157,12 @@ def repeated_spans(keyed: DataFrame, width: int = 400) -> DataFrame:
     """(k1, k2, gone): for each text that loses bytes the runs to remove, as (start, stop)."""
     texts = written(keyed.groupBy("k1", "k2", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
                     .filter(F.col("n") >= width), "texts")
-    found = families(keyed, width)
+    # Written: the count of grams and the join read it, and both sides of the join are dealt
+    # by gram alone, so the adaptive skew join can split a hot one.
+    found = written(families(keyed, width), "anchors")
     place = F.struct("k1", "k2", "anchor")
-    twice = (found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-             .filter("a != b").select("gram"))
+    twice = written(found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+                    .filter("a != b").select("gram"), "grams")
     # The families of each text once; copies of a text are dropped here.
     shared = _by_text(written(found.join(twice, "gram").distinct(), "families"))
     one = texts.join(shared, ["k1", "k2"]).select("k1", "k2", "copies", "rep", "found")
