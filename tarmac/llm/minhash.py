@@ -12,11 +12,12 @@ search on.
 
 Bands of the signature are joined; texts that share a band (99.99 % of pairs at 0.8) and agree
 in 182 of 250 coordinates (99.8 %) are candidates.  In each bucket all members are compared with a leader
-(the member that shares most buckets), exactly, on whole shingle multisets.  Members below the
-threshold stay in the bucket and meet the next leaders, four times as many in each turn, until
-none is left: no bucket is cut short, members that are linked leave at once, members of one
-group so far are not compared again, and copies make no pairs at all.  Links are closed to groups by repeated joins; nothing about all documents
-comes to the driver.
+(the member that shares most buckets), exactly, on whole shingle multisets.  Only leaders leave
+the bucket; all others, linked or not, meet the next leaders, four times as many in each turn,
+until those left are of one group: no bucket is cut short, members of one group so far are not
+compared again, and copies make no pairs at all.  Later leaders are taken outside the largest
+group of the bucket, which ends when all strangers to that group have led.  Links are closed
+to groups by repeated joins; nothing about all documents comes to the driver.
 
 Defined results: texts with the same word sequence are one node whatever their number (a
 group of copies costs one signature); documents without words (null, empty, only marks) are
@@ -238,12 +239,13 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Data
              .select(node.alias("node"), "cells").join(wanted.select("node"), "node"))
     cells = written(cells, "cells")
     links, turn = None, 0
-    members = members.withColumn("part_of", F.col("node"))
+    members = members.withColumn("part_of", F.col("node")).withColumn("strange", F.lit(True))
     while True:
         # At most ``leads`` leaders a bucket: of each part by hash the one that met the most.
         # Buckets of one group so mostly agree on a leader, and a pair is compared once.
         leads = GROWTH ** turn
-        leaders = (members.groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leads)).alias("part"))
+        leaders = (members.filter("strange")
+                   .groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leads)).alias("part"))
                    .agg(F.max(F.struct("met", "node", "part_of", "bands", "darts")).alias("best"))
                    .select("band", "value", F.col("best.node").alias("leader"), F.col("best.part_of").alias("of"),
                            F.col("best.bands").alias("lead_bands"), F.col("best.darts").alias("lead_darts")))
@@ -262,19 +264,20 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Data
         pairs = pairs.select(F.col("node").alias("a"), F.col("leader").alias("b"), "a_cells", "b_cells")
         similar = written(_verify(pairs, threshold), "similar")
         links = similar if links is None else links.unionByName(similar)
-        # Leaders have met their whole bucket and leave it, and so do those linked to one.
-        joined = rest.join(similar.withColumn("linked", F.lit(True)),
-                           (rest["node"] == similar["a"]) & (rest["leader"] == similar["b"]), "left")
-        over = joined.groupBy("band", "value", "node").agg(
-            F.max(F.coalesce("linked", F.col("node") == F.col("leader"))).alias("over")).filter("over").drop("over")
+        # Leaders have met their whole bucket and leave it; who is linked to one may link others.
+        over = rest.filter("node = leader").select("band", "value", "node")
         groups = components(links)
-        members = (members.join(over, ["band", "value", "node"], "left_anti").drop("part_of")
+        members = (members.join(over, ["band", "value", "node"], "left_anti").drop("part_of", "strange")
                    .join(groups, "node", "left")
                    .select("band", "value", "node", "met", "bands", "darts", F.coalesce("root", "node").alias("part_of")))
         # Buckets whose members are of one group have no link to give.
-        open_ = (members.groupBy("band", "value").agg(F.min("part_of").alias("p"), F.max("part_of").alias("q"))
-                 .filter("p != q").drop("p", "q"))
-        members = written(members.join(open_, ["band", "value"], "left_semi"), "buckets")
+        largest = (members.groupBy("band", "value", "part_of").agg(F.count("*").alias("n"))
+                   .groupBy("band", "value").agg(F.max(F.struct("n", "part_of")).alias("most"), F.count("*").alias("groups"))
+                   .filter("groups > 1").select("band", "value", F.col("most.part_of").alias("largest")))
+        one, other = split(members).alias("m"), spread(largest).alias("l")
+        members = written(one.join(other, ["band", "value", "salt"]).select(
+            "band", "value", "node", "met", "bands", "darts", "part_of", (F.col("part_of") != F.col("largest")).alias("strange")),
+            "buckets")
         turn += 1
         if members.isEmpty():
             break

@@ -187,6 +187,30 @@ def test_minhash_groups_equal_brute_force(spark, docs, frame, empty):
     assert kept.count() == len(groups)
 
 
+def test_minhash_links_chains_and_spread_groups(spark):
+    """Windows of one word sequence: shifted by d of n shingles, two are (n - d) / (n + d) similar."""
+    rng = np.random.default_rng(17)
+    rows, want, n = [], [], 180
+
+    def add(shifts):
+        stem = [f"w{x}" for x in rng.integers(0, 10 ** 9, max(shifts) + n + 4)]
+        first, group = len(rows), {}
+        for i, s in enumerate(shifts):
+            rows.append((first + i, " ".join(stem[s:s + n + 4])))
+        for _ in shifts:  # closed by passing the smallest id along all links
+            for i, s in enumerate(shifts):
+                group[i] = min(group.get(j, j) for j, t in enumerate(shifts) if n - abs(s - t) >= 0.8 * (n + abs(s - t)))
+        want.extend((first + i, first + group[i]) for i in range(len(shifts)))
+
+    for _ in range(10):
+        add([0, 16, 32, 48, 64])
+    for _ in range(4):
+        add([int(x) for x in rng.choice(np.arange(0, 140, 4), 16, replace=False)])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     shared, one, two = (rng.integers(0, 2 ** 63, n).astype(np.uint64) for n in (300, 100, 100))
