@@ -11,7 +11,7 @@ a shingle and all documents about the same number; the few that leave a coordina
 search on.
 
 Bands of the signature are joined; texts that share a band (99.99 % of pairs at 0.8) and agree
-in 182 of 250 coordinates (99.8 %) are candidates.  In each bucket all members are compared with a leader
+in 174 of 250 coordinates (99.997 %) are candidates.  In each bucket all members are compared with a leader
 (the member that shares most buckets), exactly, on whole shingle multisets.  Only leaders leave
 the bucket; all others, linked or not, meet the next leaders, four times as many in each turn,
 until those left are of one group: no bucket is cut short, members of one group so far are not
@@ -41,9 +41,9 @@ from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, keyed_text,
 #: Coordinates of a signature; the first BANDS * ROWS make the bands, all make the estimate.
 COORDINATES, BANDS, ROWS = 250, 25, 5
 SALTS = 16
-#: Coordinates of 250 that a candidate pair agrees in: 200 are expected at 0.8, and 99.8 % of
-#: such pairs have 182 or more (all but one in 10^8 at 0.9).
-AGREE = 182
+#: Coordinates of 250 that a candidate pair agrees in: 200 are expected at 0.8, and all but
+#: 0.003 % of such pairs have 174 or more, which is less than the bands lose (0.005 %).
+AGREE = 174
 #: Leaders of a bucket in turn t: at most GROWTH ** t.
 GROWTH = 4
 _LOWER = np.frombuffer(WORD_TABLE, np.uint8)
