@@ -9,7 +9,9 @@ of a document (largest, and their sum) go through a logistic fit on the training
 a score of 0 to 1, and runs of words with a marginal of one half or more are the spans.
 
 The model is fitted on a bounded sample of labelled rows: at most ``sample`` per class, taken
-by a hash of the id.  Everything else covers whole texts of all rows.
+by a hash of the id from labels that have a document.  Both classes are counted over all such
+rows and the score is fitted with weights that restore their shares, so it does not move with
+the size of the table.  Everything else covers whole texts of all rows.
 
 Defined results: null and empty texts have no words and get the score of no evidence; labels
 that are null, or of ids without a document, are left out; an id with several labels counts
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import keyed_text, slices, table, with_results
+from tarmac.llm.inputs import keyed_text, slices, table, with_results, written
 
 SAMPLE = 4000
 PREFIXES = (3, 4, 5, 6)
@@ -189,8 +191,9 @@ def toxic_features(docs: list[list[list[bytes]]], labels: np.ndarray, least: flo
     return found
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Tagger:
-    """Label the words, train the field on lines, fit the document score."""
+def fit(texts: list[bytes], labels: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60) -> Tagger:
+    """Label the words, train the field on lines, fit the document score to weighted documents."""
+    weight = np.ones(len(labels)) if weight is None else weight
     one: dict[bytes, bytes] = {}  # equal words share one object
     docs = [[[one.setdefault(w, w) for w in line] for line in word_lines(t)] for t in texts]
     del one
@@ -255,24 +258,35 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Tagger:
     ridge = np.diag([1e-3, 1e-2, 1e-2])
     for _ in range(50):  # Newton steps of the logistic fit
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - ridge @ w), -4, 4)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
+        w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge @ w), -4, 4)
     model.scale = w
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Tagger:
-    """Fit on at most ``sample`` labelled rows a class whose crc32(id) mod folds is not 0."""
+    """Fit on at most ``sample`` labelled rows a class whose crc32(id) mod folds is not 0, weighted
+    to the shares of the classes among all such rows."""
     marked = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
               .filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")))
     marked = marked.filter(held_out(F.col("id"), folds) != 0)
-    order = [F.xxhash64("id"), "id"]
-    chosen = (marked.filter("label = 1").orderBy(*order).limit(sample)
-              .unionByName(marked.filter("label = 0").orderBy(*order).limit(sample)))
-    rows = (keyed_text(docs).join(chosen, F.col("doc_id") == F.col("id"))
-            .select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")))
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64))
+    texts = keyed_text(docs)
+    times = texts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    present = written(marked.join(times, F.col("doc_id") == F.col("id")).select("id", "label", "n"), "labelled")
+    total = {r["label"]: r["n"] for r in present.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    rows = []
+    for label in (1, 0):
+        chosen = present.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
+        some = (texts.join(chosen, F.col("doc_id") == F.col("id"))
+                .select("doc_id", F.lit(label).alias("label"), F.coalesce("text", F.lit("")).alias("text")))
+        # An id may have several rows.
+        rows += some.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    label = np.array([r["label"] for r in rows], np.int64)
+    taken = np.bincount(label, minlength=2)
+    share = np.array([total.get(k, 0) / max(taken[k], 1) for k in (0, 1)])
+    weight = share[label] * (len(rows) / max(sum(total.values()), 1))
+    return fit([r["text"].encode() for r in rows], label, weight)
 
 
 def char_spans(text: bytes, marginal: np.ndarray) -> list[dict]:

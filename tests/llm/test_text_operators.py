@@ -350,6 +350,24 @@ def test_crf_learns_and_handles_edges(spark, empty):
     assert crf.annotate(empty, nothing).collect() == []
 
 
+def test_crf_capped_sample_keeps_class_shares(spark):
+    rng = np.random.default_rng(6)
+    plain = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(1600):  # one in eight is toxic, and half of those show it
+        text = list(rng.choice(plain, 20))
+        if i % 16 == 0:
+            text[5] = "zorgling"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 8 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    absent = [(i, 1) for i in range(5000, 8000)]
+    model = crf.train(frame, spark.createDataFrame(labels + absent, "doc_id long, toxic int"), sample=80)
+    by = {r.doc_id: r.score for r in crf.annotate(frame, model).collect()}
+    assert abs(np.mean(list(by.values())) - 1 / 8) < 0.04
+    assert by[16] > 0.8 and by[1] < 0.12
+
+
 # --- 8: html --------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("page, text", [
