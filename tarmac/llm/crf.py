@@ -2,9 +2,9 @@
 
 Labels are given per document; words get theirs from them: in a toxic training document a
 word is toxic if its form or one of its prefixes is clearly more frequent in the lines of
-toxic than of other training documents.  A two-state CRF (state 1: toxic) is trained on such
-lines by gradient ascent on the exact conditional likelihood, with forward-backward run over
-many lines at once.  Scoring runs forward-backward on every line of every text; the marginals
+toxic than of other training documents.  A two-state CRF (state 1: toxic) is trained on all
+their lines by gradient ascent on the exact conditional likelihood, with forward-backward run
+over many lines at once.  Scoring runs forward-backward on every line of every text; the marginals
 of a document (largest, and their sum) go through a logistic fit on the training documents to
 a score of 0 to 1, and runs of words with a marginal of one half or more are the spans.
 
@@ -51,8 +51,9 @@ def features_of(word: bytes) -> list[bytes]:
     return [word + b" "] + [letters[:k].encode() for k in PREFIXES if len(letters) >= k]
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Marginals, pair expectations and log partition of padded lines (lines x time x 2)."""
+def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray, weight=None):
+    """Marginals, pair expectations (of weighted lines) and log partition of padded lines
+    (lines x time x 2)."""
     n, t_max, _ = emit.shape
     alpha = np.empty_like(emit)
     alpha[:, 0] = start + emit[:, 0]
@@ -69,7 +70,7 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, star
         real = mask[:, t + 1]
         beta[:, t] = np.where(real[:, None], step, beta[:, t + 1])
         joint = np.exp(alpha[:, t, :, None] + trans + nxt[:, None, :] - log_z[:, None, None])
-        pair += joint[real].sum(axis=0)
+        pair += joint[real].sum(axis=0) if weight is None else np.einsum("n,nij->ij", weight[real], joint[real])
     marginal = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None])
     return marginal, pair, log_z
 
@@ -191,6 +192,43 @@ def toxic_features(docs: list[list[list[bytes]]], labels: np.ndarray, least: flo
     return found
 
 
+def _padded(rows: dict[tuple, float], cells: int = 1 << 17) -> list[tuple]:
+    """Rows of similar length together, at most ``cells`` places a part: mask, decisions, weights
+    and (row, place, feature) of what is active."""
+    left = sorted(rows.items(), key=lambda x: len(x[0][0]))
+    parts = []
+    while left:
+        size = len(left[-1][0][0])
+        some = left[-max(1, cells // size):]
+        del left[-len(some):]
+        mask = np.arange(size) < np.array([[len(piece)] for (piece, _), _ in some])
+        gold = np.zeros((len(some), size), np.int8)
+        at = []
+        for i, ((piece, toxic), _) in enumerate(some):
+            for t, active in enumerate(piece):
+                if active:
+                    gold[i, t] = toxic
+                    at += [(i, t, f) for f in active]
+        parts.append((mask, gold, np.array([w for _, w in some]), *np.array(at, np.int32).reshape(-1, 3).T))
+    return parts
+
+
+def _gradient(theta: np.ndarray, k: int, mask, gold, weight, r, t, f) -> np.ndarray:
+    """Of the log likelihood of some weighted rows, by (features, bias, transitions, start)."""
+    emit = np.zeros((*mask.shape, 2))
+    np.add.at(emit[:, :, 1], (r, t), theta[f])
+    emit[:, :, 1] += theta[k]
+    emit[~mask] = 0
+    marginal, pair, _ = forward_backward(emit, mask, theta[k + 1:k + 5].reshape(2, 2), theta[k + 5:], weight)
+    each = np.broadcast_to(weight[:, None], mask.shape)
+    steps, real = gold[:, :-1] * 2 + gold[:, 1:], mask[:, 1:]
+    seen = np.bincount(steps[real], each[:, 1:][real], minlength=4).reshape(2, 2)
+    first = np.bincount(gold[:, 0], weight, minlength=2)
+    error = np.where(mask, gold - marginal, 0.0) * each
+    return np.concatenate([np.bincount(f, error[r, t], minlength=k), [error.sum()], (seen - pair).ravel(),
+                           first - np.array([weight @ (1 - marginal[:, 0]), weight @ marginal[:, 0]])])
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60) -> Tagger:
     """Label the words, train the field on lines, fit the document score to weighted documents."""
     weight = np.ones(len(labels)) if weight is None else weight
@@ -200,54 +238,35 @@ def fit(texts: list[bytes], labels: np.ndarray, weight: np.ndarray | None = None
     known = toxic_features(docs, labels) if 0 < labels.sum() < len(labels) else {}
     names = sorted(known)
     index = {f: i for i, f in enumerate(names)}
-    # Lines that hold a known feature, and as many that don't.
-    rows, other = [], []
-    for lines, label in zip(docs, labels):
-        for line in lines:
-            active = [[index[f] for f in features_of(w) if f in index] for w in line]
-            if any(active):
-                rows.append((active, label))
-            elif len(other) < 4000:
-                other.append((active, label))
-    rows = rows[:8000] + other[:max(500, len(rows) // 2)]
-    rows = [(a[s:s + 64], y) for a, y in rows for s in range(0, len(a), 64)]
+    # Every line counts: equal rows of features are one row with their summed weight.
+    acts: dict[bytes, tuple] = {}
+    rows: dict[tuple, float] = {}
+    for lines, label, w in zip(docs, labels, weight):
+        for line in lines if names else ():
+            for x in line:
+                if x not in acts:
+                    acts[x] = tuple(index[f] for f in features_of(x) if f in index)
+            active = [acts[x] for x in line]
+            for s in range(0, len(active), 64):
+                piece = tuple(active[s:s + 64])
+                key = (piece, bool(label) and any(piece))
+                rows[key] = rows.get(key, 0.0) + w
+    del acts
     weights, bias = np.zeros(len(names)), -4.0
     trans, start = np.zeros((2, 2)), np.zeros(2)
-    if names and rows:
-        size = max(len(a) for a, _ in rows)
-        n = len(rows)
-        mask = np.zeros((n, size), bool)
-        gold = np.zeros((n, size), np.int64)
-        r, t, f = [], [], []
-        for i, (line, label) in enumerate(rows):
-            mask[i, :len(line)] = True
-            for k, active in enumerate(line):
-                if active and label == 1:
-                    gold[i, k] = 1
-                r += [i] * len(active)
-                t += [k] * len(active)
-                f += active
-        r, t, f = map(np.asarray, (r, t, f))
-        steps = gold[:, :-1] * 2 + gold[:, 1:]
-        seen = np.bincount(steps[mask[:, 1:]], minlength=4).reshape(2, 2)
-        first = np.bincount(gold[:, 0], minlength=2)
+    if rows:
+        k = len(names)
+        n = max(sum(w for (piece, _), w in rows.items() if any(piece)), 1.0)
+        parts = _padded(rows)
+        del rows
         theta = np.concatenate([weights, [bias], trans.ravel(), start])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, rounds + 1):  # Adam on the full likelihood with a small L2 term
-            k = len(names)
-            emit = np.zeros((n, size, 2))
-            np.add.at(emit[:, :, 1], (r, t), theta[f])
-            emit[:, :, 1] += theta[k]
-            emit[~mask] = 0
-            marginal, pair, _ = forward_backward(emit, mask, theta[k + 1:k + 5].reshape(2, 2), theta[k + 5:])
-            error = np.where(mask, gold - marginal, 0.0)
-            grad = np.concatenate([np.bincount(f, error[r, t], minlength=k), [error.sum()],
-                                   (seen - pair).ravel(), first - np.array([
-                                       (1 - marginal[:, 0]).sum(), marginal[:, 0].sum()])]) / n - 1e-4 * theta
+            grad = sum(_gradient(theta, k, *part) for part in parts) / n - 1e-4 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
             theta = theta + 0.25 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-        weights, bias = theta[:len(names)], float(theta[len(names)])
-        trans, start = theta[len(names) + 1:len(names) + 5].reshape(2, 2), theta[len(names) + 5:]
+        weights, bias = theta[:k], float(theta[k])
+        trans, start = theta[k + 1:k + 5].reshape(2, 2), theta[k + 5:]
     model = Tagger(dict(zip(names, map(float, weights))), bias, trans, start)
     if not 0 < labels.sum() < len(labels):
         model.constant = float(labels.mean()) if len(labels) else 0.0

@@ -368,6 +368,18 @@ def test_crf_capped_sample_keeps_class_shares(spark):
     assert by[16] > 0.8 and by[1] < 0.12
 
 
+def test_crf_trains_on_the_last_lines_of_the_sample():
+    rng = np.random.default_rng(8)
+    plain = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    line = lambda *extra: " ".join([*rng.choice(plain, 5), *extra])
+    texts = ["\n".join(line("zorgling") for _ in range(25)) for _ in range(340)]
+    texts += ["\n".join([line("mogwump"), line()]) for _ in range(200)] + ["\n".join(line() for _ in range(5)) for _ in range(1000)]
+    model = crf.fit([t.encode() for t in texts], np.array([1] * 540 + [0] * 1000))
+    assert model.weights[b"mogwump "] > 0
+    top, _, _, _ = model.score([b"abc def ghi mogwump", b"abc def ghi zorgling", b"abc def ghi"])
+    assert top[0] > 0.5 and top[1] > 0.5 and top[2] < 0.1
+
+
 # --- 8: html --------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("page, text", [
