@@ -5,9 +5,10 @@ one for each 100 characters (three at most), whole to its parent, half to the ne
 and less beyond; a container's points are discounted by its link density (the share of its
 text inside links).  The container with the most points is kept, or the ``article`` or ``main``
 around it, else with those siblings that score at least a fifth of it or are plain paragraphs
-of little link density.  Menus, page
-headers and footers, sidebars, notices, adverts, forms, comments and invisible elements are
-taken out of the tree before scoring.
+of little link density, and what stands between them and isn't links.  Menus, page headers and
+footers, sidebars, notices, adverts, forms, comments and invisible elements are taken out of the
+tree before scoring; a class or id alone takes nothing out that has a likely word of its own
+beside it or holds most of the page's paragraph text.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed and wrongly
 closed elements are closed where the containing block ends; rows are independent, so repeated
@@ -63,15 +64,16 @@ CLOSED_BY = {
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "gone", "hint", "score", "size", "linked")
+    __slots__ = ("tag", "parent", "children", "gone", "hint", "score", "size", "linked", "own", "named")
 
     def __init__(self, tag, parent, gone=False, hint=0.0):
         self.tag, self.parent, self.children = tag, parent, []
         self.gone, self.hint, self.score, self.size, self.linked = gone, hint, 0.0, 0, 0
+        self.own, self.named = gone, False  # gone by itself for what it is; for its class or id
 
 
 def _element(tag: str, attrs: str, parent: Node) -> Node:
-    gone, hint = tag in DROPPED, 0.0
+    gone, hint, named = tag in DROPPED, 0.0, False
     if tag == "header":  # of the page, unless it stands in an article
         up = parent
         while up is not None and up.tag not in ("article", "main"):
@@ -91,13 +93,17 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
                 gone = True
         mark = " ".join(marks)
         if mark and tag not in ("html", "body", "article", "main"):
-            if UNLIKELY.search(OWN_HEADER.sub(" ", mark)):
-                gone = True
+            each = OWN_HEADER.sub(" ", mark).split()
+            # A likely word of its own beside it saves an element.
+            if any(map(UNLIKELY.search, each)):
+                named = not any(LIKELY.search(x) and not UNLIKELY.search(x) for x in each)
             elif LIKELY.search(mark):
                 hint = 5.0
     if tag in ("article", "main"):
         hint += 10.0
-    return Node(tag, parent, gone, hint)
+    node = Node(tag, parent, gone, hint)
+    node.named, node.gone = named, gone or named
+    return node
 
 
 def parse(source: str) -> Node:
@@ -150,6 +156,28 @@ def parse(source: str) -> Node:
     return root
 
 
+def _spare(root: Node) -> None:
+    """Take back what is gone by class or id alone but holds most of the page's paragraph text."""
+    order, todo, named = [], [(root, False)], False
+    while todo:
+        node, inside = todo.pop()
+        if node.own:
+            continue
+        inside |= node.tag in PARAGRAPHS
+        named |= node.named
+        order.append((node, inside))
+        todo.extend((c, inside) for c in node.children if isinstance(c, Node))
+    if not named:
+        return
+    held: dict[int, int] = {}
+    for node, inside in reversed(order):
+        held[id(node)] = sum(held.get(id(c), 0) if isinstance(c, Node) else inside * len(c.strip()) for c in node.children)
+    for node, _ in order:  # parents first
+        if node.named and 2 * held[id(node)] > held[id(root)]:
+            node.named = False
+        node.gone = node.named or (node.parent is not None and node.parent.gone)
+
+
 def _measure(root: Node) -> list[Node]:
     """Sizes of texts and links of all kept elements; parents come before children."""
     order, todo = [], [root]
@@ -227,8 +255,8 @@ def best_container(root: Node) -> list[Node]:
         if up.tag in ("article", "main"):
             return [up]
         up = up.parent
-    kept = []
-    for c in best.parent.children:
+    kept, children = [], best.parent.children
+    for c in children:
         if c is best:
             kept.append(c)
         elif isinstance(c, Node) and not c.gone:
@@ -238,7 +266,11 @@ def best_container(root: Node) -> list[Node]:
                 kept.append(c)
             elif c.tag in ("h1", "header") and c.size and density(c) < 0.25:
                 kept.append(c)
-    return kept
+    # What stands between kept siblings is of the same article, unless it is links.
+    mine = {id(c) for c in kept}
+    at = [i for i, c in enumerate(children) if id(c) in mine]
+    return [c for c in children[at[0]:at[-1] + 1]
+            if id(c) in mine or not isinstance(c, Node) or (not c.gone and c.size and density(c) < 0.25)]
 
 
 def blocks_of(nodes: list[Node]) -> list[str]:
@@ -275,7 +307,9 @@ def blocks_of(nodes: list[Node]) -> list[str]:
 def main_text(source: str | None) -> str:
     if not source:
         return ""
-    return " ".join(blocks_of(best_container(parse(source))))
+    root = parse(source)
+    _spare(root)
+    return " ".join(blocks_of(best_container(root)))
 
 
 EXTRACTED = "page_id long, url string, text string"

@@ -398,6 +398,22 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "One sentence, with commas, and enough words to count as text of an article. " * 3
+
+
+@pytest.mark.parametrize("mark", ["class='content has-sidebar'", "class='post no-comments'", "class='article-body with-share'",
+                                  "id='legal-article'", "class='has-sidebar'"])
+def test_main_text_survives_an_unlikely_class(mark):
+    page = f"<body><div class='sidebar'><p>Links here</p></div><div {mark}><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert html_text.main_text(page) == " ".join((LONG * 2).split())
+
+
+def test_main_text_keeps_blocks_between_siblings():
+    page = (f"<body><div><div>{f'<p>{LONG}</p>' * 8}</div><h2>Next part</h2><ul><li>one</li><li>two</li></ul>"
+            f"<blockquote>short</blockquote><div><a href='x'>all links</a></div><p>{LONG}</p></div></body>")
+    assert html_text.main_text(page) == " ".join((LONG * 8 + "Next part one two short " + LONG).split())
+
+
 def test_html_pages_equal_article(spark, sf):
     import html
     pages = spark.read.parquet(f"{sf}/pages.parquet")
