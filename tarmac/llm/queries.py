@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe_lexicon, context_tree, crf, decontam, hashing_index, html_text, line_dedup, minhash, orc_tokens, pieces, spelling, suffix_dedup
+from tarmac.llm import (bpe_lexicon, collocations, context_tree, crf, decontam, hashing_index, html_text, line_dedup, minhash,
+                        orc_tokens, pieces, spelling, suffix_dedup)
 
 QUERIES = {
     "op1_decontam": decontam.query,
@@ -16,9 +17,11 @@ QUERIES = {
     "op9_orc_tokens": orc_tokens.query,
     "op10_line_dedup": line_dedup.query,
     "op11_spelling": spelling.query,
+    "op12_collocations": collocations.query,
     "op13_bpe_lexicon": bpe_lexicon.query,
 }
 
 ORACLE_SQL = {
     "op10_line_dedup": line_dedup.SQL,
+    "op12_collocations": collocations.SQL,
 }
