@@ -332,7 +332,7 @@ SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-listed AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') AS ws FROM pieces),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces),
 placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM listed),
 suffixes AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM placed),
 counts AS (
