@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 BUDGET = 1 << 18  # suffixes of a group
 SLOTS = 1 << 16
+SLICE = 4 << 20  # bytes of text cut into words at a time
 MAP_BITS = 1 << 22
 
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
@@ -58,7 +60,7 @@ class Words:
             None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
         self.words = packed.dictionary.to_pylist()
         self.code = packed.indices.to_numpy().astype(np.int64)
-        breaks = np.zeros(len(data) + 1, np.int64)
+        breaks = np.zeros(len(data) + 1, np.int32)
         np.cumsum(_IS_BREAK[data], out=breaks[1:])
         doc = np.searchsorted(offsets, starts, side="right") - 1
         self.linked = np.zeros(len(starts), bool)
@@ -105,7 +107,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", SLICE):
                 w = Words(part)
                 lang, word, n = w.counted()
                 names = pa.array(w.words, pa.large_binary()).cast(pa.large_string()).cast(schema.field(1).type)
@@ -178,7 +180,7 @@ def partition(texts: DataFrame, words: DataFrame, frequent: np.ndarray, budget:
         def run(batches):
             frequent, parts = lengthen.value
             for batch in batches:
-                for part in slices(batch, "text", 8 << 20):
+                for part in slices(batch, "text", SLICE):
                     w = Words(part)
                     lang, first, second, _, n = w.suffixes(frequent)
                     key2, more, _ = parts.prefixes(w, lang, first, second)
@@ -201,19 +203,20 @@ def partition(texts: DataFrame, words: DataFrame, frequent: np.ndarray, budget:
 # --- subtrees -------------------------------------------------------------------------------
 
 def grouped_suffixes(texts: DataFrame, frequent: np.ndarray, parts: Partition) -> DataFrame:
-    """(part, lang, w1, w2, w3, deep, n): suffixes with the group of their prefix.
+    """(part, pair, third, deep, n): suffixes with the group of their prefix.
 
-    Under a prefix of two words that is lengthened, the suffixes of three words are ``deep``: they
-    count for nodes of depth three alone, and one suffix of the two words counts for all of them.
+    ``pair`` is the first two words, a line feed (no word holds one) and the language.  Under a
+    prefix of two words that is lengthened, the suffixes of three words are ``deep``: they count
+    for nodes of depth three alone, and one suffix of the two words counts for all of them.
     """
-    ddl = "part int, lang string, w1 string, w2 string, w3 string, deep boolean, n long"
+    ddl = "part int, pair string, third string, deep boolean, n long"
     schema = arrow_schema(ddl)
     sent = texts.sparkSession.sparkContext.broadcast((frequent, parts))
 
     def run(batches):
         frequent, parts = sent.value
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", SLICE):
                 w = Words(part)
                 lang, first, second, third, n = w.suffixes(frequent)
                 if len(n) == 0:
@@ -234,11 +237,12 @@ def grouped_suffixes(texts: DataFrame, frequent: np.ndarray, parts: Partition) -
                     lang, first, second = lang[take], first[take], second[take]
                 else:
                     is_deep = deep
-                names = pa.array(w.words, pa.large_binary()).cast(pa.large_string()).cast(schema.field(2).type)
+                names = pa.array(w.words, pa.binary()).cast(pa.string())
+                words = pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), " ")
+                pair = pc.binary_join_element_wise(words, pa.array(w.langs, pa.string()).take(pa.array(lang)), "\n")
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(parts.groups[key % SLOTS]), pa.array(w.langs, schema.field(1).type).take(pa.array(lang)),
-                    names.take(pa.array(first)), names.take(pa.array(second)),
-                    names.take(pa.array(third, mask=third < 0)), pa.array(is_deep), pa.array(n)], schema=schema)
+                    pa.array(parts.groups[key % SLOTS]), pair.cast(schema.field(1).type),
+                    names.take(pa.array(third, mask=third < 0)).cast(schema.field(2).type), pa.array(is_deep), pa.array(n)], schema=schema)
 
     return texts.mapInArrow(run, ddl)
 
@@ -253,25 +257,23 @@ def subtree_nodes(suffixes: DataFrame, least: int) -> DataFrame:
         return encoded.indices.fill_null(-1).to_numpy().astype(np.int64), encoded.dictionary
 
     def run(rows: pa.Table) -> pa.Table:
-        (lang, langs), (one, ones), (two, twos), (three, threes) = (codes(rows.column(c)) for c in ("lang", "w1", "w2", "w3"))
+        (pair, pairs), (third, thirds) = codes(rows.column("pair")), codes(rows.column("third"))
         deep = rows.column("deep").to_numpy(zero_copy_only=False).astype(bool)
         n = rows.column("n").to_numpy()
         # Sorted suffixes are the leaves; a node is a run of leaves that share its words.
-        order = np.lexsort((three, two, one, lang))
-        lang, one, two, three, deep, n = (x[order] for x in (lang, one, two, three, deep, n))
-        other2 = np.r_[True, (lang[1:] != lang[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        other3 = other2 | np.r_[True, three[1:] != three[:-1]]
-        node2, node3 = np.flatnonzero(other2), np.flatnonzero(other3)
+        order = np.lexsort((third, pair))
+        pair, third, deep, n = pair[order], third[order], deep[order], n[order]
+        other2 = np.r_[True, pair[1:] != pair[:-1]]
+        node2, node3 = np.flatnonzero(other2), np.flatnonzero(other2 | np.r_[True, third[1:] != third[:-1]])
         f2, f3 = np.add.reduceat(np.where(deep, 0, n), node2), np.add.reduceat(n, node3)
         node2, f2 = node2[f2 >= least], f2[f2 >= least]
-        keep = (f3 >= least) & (three[node3] >= 0)
+        keep = (f3 >= least) & (third[node3] >= 0)
         node3, f3 = node3[keep], f3[keep]
         at = np.concatenate([node2, node3])
-        words = [ones.take(pa.array(one[at])), twos.take(pa.array(two[at]))]
-        last = threes.take(pa.array(np.maximum(three[node3], 0))).to_pylist() if len(node3) else []
-        phrase = [f"{a} {b}" for a, b in zip(words[0].to_pylist(), words[1].to_pylist())]
-        phrase[len(node2):] = [f"{a} {b}" for a, b in zip(phrase[len(node2):], last)]
-        return pa.table([langs.take(pa.array(lang[at])).cast(schema.field(0).type), pa.array(phrase, schema.field(1).type),
+        two_words = [p.split("\n", 1) for p in pairs.take(pa.array(pair[at])).to_pylist()]
+        last = thirds.take(pa.array(third[node3])).to_pylist()
+        phrase = [w for w, _ in two_words[:len(node2)]] + [f"{w} {t}" for (w, _), t in zip(two_words[len(node2):], last)]
+        return pa.table([pa.array([g for _, g in two_words], schema.field(0).type), pa.array(phrase, schema.field(1).type),
                          pa.array(np.repeat([2, 3], [len(node2), len(node3)]), pa.int32()),
                          pa.array(np.concatenate([f2, f3]), pa.int64())], schema=schema)
 
