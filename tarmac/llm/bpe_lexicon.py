@@ -42,6 +42,7 @@ LEXICON_WORDS = 131_072
 LEXICON_BYTES = 48
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+NEVER = 1 << 40
 
 
 def default_tokenizer() -> str:
@@ -86,7 +87,15 @@ class Bpe:
         self.special = {a["content"].encode(): a["id"] for a in added}
         self.pieces |= {i: t for t, i in self.special.items()}
         self.special_pattern = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
-        self.known: dict[bytes, list[int]] = {}
+        # The merges once more as sorted keys, for many pairs at a time.
+        self.size = max(vocab.values()) + 1
+        self.byte_table = np.array(self.byte_ids)
+        keys = np.array([a * self.size + b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.rank_ids = np.zeros(len(model["merges"]), np.int64)
+        for r, i in self.merges.values():
+            self.rank_ids[r] = i
 
     def learn_kinds(self, points: np.ndarray) -> None:
         """The classes of code points, by what the splitter does with them."""
@@ -117,16 +126,52 @@ class Bpe:
                 heapq.heappush(queue, (merges[ids[h], ids[i]][0], h, ids[h], ids[i]))
         return [i for i in ids if i >= 0]
 
-    def ids_of(self, word: bytes, most: int = 200_000) -> list[int]:
-        """``merge`` with a bounded memory of words."""
-        found = self.known.get(word)
-        if found is None:
-            found = self.merge(word)
-            if len(self.known) >= most:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = found
-        return found
+    def ranks_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids (NEVER: the file does not merge them)."""
+        key = first.astype(np.int64) * self.size + second
+        at = np.minimum(np.searchsorted(self.pair_keys, key), max(0, len(self.pair_keys) - 1))
+        return np.where((self.pair_keys[at] == key) & (first >= 0) & (second >= 0), self.pair_ranks[at], NEVER) \
+            if len(self.pair_keys) else np.full(key.shape, NEVER)
+
+    def merge_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """``merge`` of many words of at most 32 bytes, one merge of every word a step."""
+        found: list = [None] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for low, width in ((0, 8), (8, 16), (16, 32)):
+            chosen = np.flatnonzero((sizes > low) & (sizes <= width))
+            for lo in range(0, len(chosen), 20_000):
+                some = chosen[lo:lo + 20_000]
+                data = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in some), np.uint8).reshape(-1, width)
+                ids = np.where(np.arange(width) < sizes[some][:, None], self.byte_table[data], -1)
+                for i, row in zip(some.tolist(), self._merge_rows(ids)):
+                    found[i] = row
+        return [self.merge(w) if x is None else x for w, x in zip(words, found)]
+
+    def _merge_rows(self, ids: np.ndarray) -> list[np.ndarray]:
+        n, width = ids.shape
+        rank = np.full((n, width), NEVER)
+        rank[:, :-1] = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        place, out = np.arange(width), ids
+        row = np.arange(n)
+        while len(row):
+            best = rank.argmin(1)
+            lowest = rank[np.arange(len(row)), best]
+            more = lowest < NEVER
+            out[row[~more]] = ids[~more]
+            row, ids, rank, best, lowest = row[more], ids[more], rank[more], best[more], lowest[more]
+            if len(row) == 0:
+                break
+            # Close the gap behind the merged pair, in the ids and in the ranks of pairs.
+            at, k = best[:, None], np.arange(len(row))
+            source = np.minimum(place + (place > at), width - 1)
+            ids, rank = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
+            ids[:, -1], rank[:, -1] = -1, NEVER
+            ids[k, best] = self.rank_ids[lowest]
+            after = np.minimum(best + 1, width - 1)
+            rank[k, best] = np.where(best + 1 < width, self.ranks_of(ids[k, best], ids[k, after]), NEVER)
+            before = np.maximum(best - 1, 0)
+            rank[k, before] = np.where(best > 0, self.ranks_of(ids[k, before], ids[k, best]), rank[k, before])
+        return [r[:e] for r, e in zip(out, (out >= 0).sum(1).tolist())]
 
     def specials(self, data: np.ndarray, offsets: np.ndarray):
         """(start, end, id) of the added tokens inside the texts of a buffer."""
@@ -406,13 +451,13 @@ def encode_texts(bpe: Bpe, lexicon: Lexicon, data: np.ndarray, offsets: np.ndarr
     if len(missing):
         rest = word_array(data, bounds).take(pa.array(missing)).dictionary_encode()
         code = rest.indices.to_numpy().astype(np.int64)
-        lists = [bpe.ids_of(w) for w in rest.dictionary.to_pylist()]
+        lists = bpe.merge_together(rest.dictionary.to_pylist())
         if special:
             number = {int(w): k for k, w in enumerate(missing)}
             for w, i in special.items():
                 code[number[w]] = len(lists)
                 lists.append([i])
-        flat = np.concatenate([flat, np.array([i for x in lists for i in x], np.int32)])
+        flat = np.concatenate([flat, np.concatenate(lists).astype(np.int32)])
         ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in lists])])
         place = place.astype(np.int64)
         place[missing] = len(lexicon.offsets) - 1 + code

@@ -97,3 +97,10 @@ def test_automaton_is_minimal_and_numbers_its_words():
     bounds = np.cumsum([0] + [len(w) for w in tried])
     place = lexicon.places(np.frombuffer(b"".join(tried), np.uint8), bounds)
     assert place.tolist() == [words.index(w) if w in words else -1 for w in tried]
+
+
+def test_merging_together_equals_merging_alone(rows):
+    bpe = B.bpe_of(B.default_tokenizer())
+    words = sorted({w for _, t in rows for w in re.findall(rb" ?\S+", (t or "").encode())})
+    assert len(words) > 3000 and any(len(w) > 32 for w in words)
+    assert [list(map(int, x)) for x in bpe.merge_together(words)] == [bpe.merge(w) for w in words]
