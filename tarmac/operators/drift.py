@@ -3,7 +3,8 @@
 All monitored features are handled in one job: both sides are turned into a
 long form (feature, value, side), counted per distinct value, run through an
 exact ordered prefix sum per feature, and reduced to D = max |F_ref - F_prod|.
-The p-value uses the asymptotic Kolmogorov series as a column expression.
+P-values are those of finite samples (``ks_pvalue``).  ``value_counts`` and ``ks_from_counts``
+are the two halves of the job: counts by value can be kept and merged (``plans/drift_state``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import constants as K
 from tarmac.operators.cumulative import exclusive_prefix
+from tarmac.operators.ks_pvalue import p_value
 from tarmac.session import ensure_checkpoint_dir
 
 RESULT_SCHEMA = ("feature string, drift boolean, p_value double, ks_statistic double, "
@@ -31,21 +33,14 @@ def long_form(df: DataFrame, columns: dict[str, str], side: str) -> DataFrame:
               .filter(F.col("value").isNotNull()).withColumn("side", F.lit(side)))
 
 
-def kolmogorov_pvalue(lam) -> F.Column:
-    """Q(L) = 2 sum_{k>=1} (-1)^(k-1) exp(-2 k^2 L^2), 100 terms, clipped to [0, 1].
-
-    For L < 0.2 the tail is 1 within 1e-6 (and the series converges slowly), so 1.
-    """
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
-        lambda acc, k: acc + F.lit(2.0) * F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        * F.exp(F.lit(-2.0) * k * k * lam * lam))
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+def value_counts(df: DataFrame, columns: dict[str, str], count: str = "n") -> DataFrame:
+    """(feature, value, n): how often each value occurs, by monitored feature; nulls left out."""
+    return long_form(df, columns, "any").groupBy("feature", "value").agg(F.count(F.lit(1)).alias(count))
 
 
 def ks_drift(reference: DataFrame, production: DataFrame,
              features: list[tuple[str, str]] = K.DRIFT_FEATURES,
-             alpha: float = K.DRIFT_ALPHA, buckets: int = 256) -> DataFrame:
+             alpha: float = K.DRIFT_ALPHA, buckets: int | None = None) -> DataFrame:
     """J1-J3 + F13: one row per monitored feature present on both sides with data.
 
     ``features`` lists (production column, reference column) pairs (D5).
@@ -55,11 +50,18 @@ def ks_drift(reference: DataFrame, production: DataFrame,
     both = long_form(reference, ref_cols, "ref").unionByName(long_form(production, prod_cols, "prod"))
 
     # The only pass over raw rows: counts per (feature, distinct value), with
-    # map-side partial aggregation.  Everything after works on this table,
-    # which is checkpointed once (it feeds moments, cut points and prefix sums).
+    # map-side partial aggregation.  Everything after works on this table.
     per_value = both.groupBy("feature", "value").agg(
         F.count_if(F.col("side") == "ref").alias("c_ref"),
         F.count_if(F.col("side") == "prod").alias("c_prod"))
+    return ks_from_counts(per_value, alpha, buckets)
+
+
+def ks_from_counts(per_value: DataFrame, alpha: float = K.DRIFT_ALPHA, buckets: int | None = None) -> DataFrame:
+    """The test from (feature, value, c_ref, c_prod), one row a feature and value.
+
+    The counts are checkpointed once: they feed moments, cut points and prefix sums.
+    """
     ensure_checkpoint_dir(per_value.sparkSession)
     per_value = per_value.checkpoint(eager=True)
 
@@ -87,9 +89,8 @@ def ks_drift(reference: DataFrame, production: DataFrame,
                      - (F.col("cum_c_prod") + F.col("c_prod")) / F.col("n_prod")))
     d = gaps.groupBy("feature").agg(F.max("gap").alias("d"))
     res = d.join(F.broadcast(moments), "feature").filter((F.col("n_ref") > 0) & (F.col("n_prod") > 0))
-    n, m = F.col("n_ref").cast("double"), F.col("n_prod").cast("double")
-    lam = F.col("d") * F.sqrt(n * m / (n + m))
-    p = kolmogorov_pvalue(lam)
+    res = res.withColumn("p", p_value("n_ref", "n_prod", "d"))
+    p = F.col("p")
     return res.select(
         "feature",
         (p < alpha).alias("drift"),

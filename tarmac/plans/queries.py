@@ -631,20 +631,53 @@ def _ks_sql(ref_src: str, prod_src: str, pairs: list[tuple[str, str]], gate: boo
   FROM pv)
 , dd AS (SELECT cum.feature, max(abs(cr / n_ref - cp / n_prod)) AS d FROM cum JOIN mom USING (feature)
   GROUP BY cum.feature)
-, r AS (SELECT dd.feature, d, mom.*, d * sqrt(CAST(n_ref AS DOUBLE) * n_prod / (n_ref + n_prod)) AS lam
+, r AS (SELECT dd.feature, d, mom.* EXCLUDE (feature)
   FROM dd JOIN mom ON dd.feature = mom.feature WHERE n_ref > 0 AND n_prod > 0 {where_gate})
-, pr AS (SELECT *, CASE WHEN lam < 0.2 THEN 1e0 ELSE least(1e0, greatest(0e0, list_sum(
-    [2e0 * (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * k * k * lam * lam)
-     for k in range(1, 101)]))) END AS p FROM r)
+, ex AS (SELECT feature, sm, lg, sm // g AS a, lg // g AS b, CAST(round(d * (sm // g) * lg) AS BIGINT) AS edge
+  FROM (SELECT feature, d, least(n_ref, n_prod) AS sm, greatest(n_ref, n_prod) AS lg, gcd(n_ref, n_prod) AS g FROM r)
+  WHERE lg <= 10000)
+, lat AS (
+  SELECT feature, sm, lg, a, b, edge, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS lo, [0e0] AS cells FROM ex
+  UNION ALL
+  SELECT feature, sm, lg, a, b, edge, s + 1, nlo, [(coalesce(cells[i - lo], 1e0) * i
+      + coalesce(cells[i - lo + 1], 1e0) * (s + 1 - i)) / (s + 1) for i in range(nlo, nhi + 1)]
+  FROM (SELECT *, greatest(0, s + 1 - lg, CAST(floor(CAST((s + 1) * a - edge AS DOUBLE) / (a + b)) AS BIGINT) + 1) AS nlo,
+      least(sm, s + 1, CAST(ceil(CAST((s + 1) * a + edge AS DOUBLE) / (a + b)) AS BIGINT) - 1) AS nhi
+    FROM lat WHERE s < sm + lg))
+, small AS (SELECT feature, CASE WHEN edge <= 0 THEN 1e0 ELSE coalesce(cells[sm - lo + 1], 1e0) END AS p
+  FROM lat WHERE s = sm + lg)
+, large AS (SELECT feature, en, z, [pi() * pi() * (k + 0.5e0) ** 2 for k in range(0, 100)] AS odd,
+    [pi() * pi() * k * k for k in range(1, 100)] AS whole
+  FROM (SELECT feature, en, d * sqrt(en) AS z FROM (SELECT feature, d,
+      CAST(round(CAST(n_ref AS DOUBLE) * n_prod / (n_ref + n_prod)) AS DOUBLE) AS en FROM r WHERE greatest(n_ref, n_prod) > 10000)))
+, sums AS (SELECT feature, en, z,
+    list_sum([exp(-x / (2 * z * z)) for x in odd]) AS k0,
+    list_sum([(x - z * z) * exp(-x / (2 * z * z)) for x in odd]) AS k1,
+    list_sum([(6 * z ** 6 + 2 * z ** 4 + (2 * z ** 4 - 5 * z ** 2) * x + (1 - 2 * z ** 2) * x ** 2)
+      * exp(-x / (2 * z * z)) for x in odd]) AS k2,
+    list_sum([x * exp(-x / (2 * z * z)) for x in whole]) AS m2,
+    list_sum([(-30 * z ** 6 - 90 * z ** 8 + (135 * z ** 4 - 96 * z ** 6) * x + (-60 * z ** 2 + 212 * z ** 4) * x ** 2
+      + (5 - 30 * z ** 2) * x ** 3) * exp(-x / (2 * z * z)) for x in odd]) AS k3,
+    list_sum([(3 * x * z * z - x * x) * exp(-x / (2 * z * z)) for x in whole]) AS m3
+  FROM large)
+, pv2 AS (SELECT feature, p FROM small UNION ALL
+  SELECT feature, CASE WHEN z * z > 18 THEN 0e0 WHEN z * sqrt(en) <= 0.5 THEN 1e0 ELSE greatest(0e0, least(1e0, 1 - sqrt(2 * pi()) * (
+    k0 / z + k1 / (6 * z ** 4 * sqrt(en)) + (k2 / (72 * z ** 7) - m2 / (36 * z ** 3)) / en
+    + (k3 / (6480 * z ** 10) + m3 / (216 * z ** 6)) / en ** 1.5))) END FROM sums)
+, pr AS (SELECT r.*, p FROM r JOIN pv2 ON r.feature = pv2.feature)
 SELECT feature, p < {K.DRIFT_ALPHA} AS drift, round(p, 6) AS p_value, round(d, 6) AS ks_statistic,
   round(ref_mean, 4) AS ref_mean, round(prod_mean, 4) AS prod_mean,
   round(ref_std, 4) AS ref_std, round(prod_std, 4) AS prod_std
 FROM pr"""
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _drift_sql(gate: bool = False) -> str:
-    return (O.with_ctes(O.FLIGHTS_RAW, O.CLEAN, O.PROCESSED, O.PREDICTION_LOG).rstrip()
-            + _ks_sql("pf", "plog", K.DRIFT_FEATURES, gate))
+    return _recursive(O.with_ctes(O.FLIGHTS_RAW, O.CLEAN, O.PROCESSED, O.PREDICTION_LOG).rstrip()
+                      + _ks_sql("pf", "plog", K.DRIFT_FEATURES, gate))
 
 
 def _drift_inputs(spark, sf):
@@ -686,11 +719,11 @@ def drift_report_q(spark, sf):
         F.nullif(F.array_join(drifted, ","), F.lit("")).alias("drifted_features"))
 
 
-@register("ks_value_split", O.with_ctes("""
+@register("ks_value_split", _recursive(O.with_ctes("""
 ev AS (SELECT event_id, value FROM events),
 mid AS (SELECT (min(event_id) + max(event_id) + 1) // 2 AS m FROM events)""").rstrip() + _ks_sql(
     "(SELECT value FROM ev, mid WHERE event_id < m)", "(SELECT value FROM ev, mid WHERE event_id >= m)",
-    [("value", "value")]))
+    [("value", "value")])))
 def ks_value_split(spark, sf):
     """J1 on one column: the earlier half of the event log against the later half."""
     from tarmac.operators.drift import ks_drift
