@@ -8,8 +8,9 @@ into groups whose suffixes fit the budget.  Spark brings each group's suffixes t
 before the shuffle; a task sorts its own, which gives the subtrees below its prefixes, cut at
 depth three, and reads every node's count as the total of the leaves under it.
 
-Words too rare to be part of a candidate end a suffix.  They are recognised by a bit map of
-hashes with a fixed number of bits; an equal hash only leaves a suffix longer than it need be.
+A phrase is no more frequent than its words and its pairs of words, so suffixes end before a word
+or a pair that is too rare.  Pairs are counted by 63-bit hashes, and rare ones are recognised by
+bit maps of hashes of a fixed size: an equal hash only leaves a suffix longer than it need be.
 Hashes never decide about equality of words.  Scores are integer divisions of 38-digit numbers,
 exact for counts up to 10^16.
 
@@ -28,17 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import arrow_schema, raw_bytes, slices, spans, table, written
+from tarmac.llm.inputs import arrow_schema, mix64, raw_bytes, slices, spans, table, written
 
 #: Fixed by the contract: least occurrences, share of a longer phrase that makes a shorter one
 #: go (percent), phrases reported a language, and the characters that part pieces and words.
 LEAST, SHARE, TOP = 10, 50, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
-BUDGET = 1 << 18  # suffixes of a group
+BUDGET = 1 << 20  # suffixes of a group, before equal ones are counted and rare ones left out
 SLOTS = 1 << 16
 SLICE = 4 << 20  # bytes of text cut into words at a time
-MAP_BITS = 1 << 22
+MAP_BITS = 1 << 26
 
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 _IS_BREAK = np.isin(np.arange(256), list(BREAKS))
@@ -74,26 +75,49 @@ class Words:
         key, n = np.unique(self.lang * max(1, len(self.words)) + self.code, return_counts=True)
         return key // max(1, len(self.words)), key % max(1, len(self.words)), n
 
-    def suffixes(self, frequent: np.ndarray):
-        """(language, first, second, third word number or -1, n) of the distinct suffixes of two
-        or three frequent words."""
+    def links(self, frequent: np.ndarray):
+        """Places of frequent words that a frequent word follows, and hashes of the two."""
         size = max(1, len(self.words))
         lang, word, _ = self.counted()
-        keys = [b"%s %s" % (self.langs[a].encode(), self.words[b]) for a, b in zip(lang.tolist(), word.tolist())]
-        slot = np.array([zlib.crc32(k) for k in keys], np.int64) % MAP_BITS
-        often = np.zeros(len(self.langs) * size, bool)
-        often[lang * size + word] = (frequent[slot >> 3] >> (slot & 7)) & 1 == 1
+        at = lang * size + word
+        self.word_key = np.zeros(len(self.langs) * size, np.int64)
+        self.word_key[at] = [zlib.crc32(b"%s %s" % (self.langs[a].encode(), self.words[b])) for a, b in zip(lang.tolist(), word.tolist())]
+        self.word_hash = np.array([zlib.crc32(w) for w in self.words], np.int64)
+        often = np.zeros(len(self.word_key), bool)
+        often[at] = has_bit(frequent, self.word_key[at])
         good = often[self.lang * size + self.code]
         on = np.flatnonzero(self.linked[:-1] & good[:-1] & good[1:])
+        return on, longer_key(self.word_key[self.lang[on] * size + self.code[on]], self.word_hash[self.code[on + 1]])
+
+    def suffixes(self, frequent: np.ndarray, pairs: np.ndarray):
+        """(language, first, second, third word number or -1, n, hash of the first word, of the
+        first two) of the distinct suffixes of two or three words whose pairs are frequent."""
+        size = max(1, len(self.words))
+        on, key = self.links(frequent)
+        on = on[has_bit(pairs, key)]
+        kept = np.zeros(len(self.code) + 1, bool)
+        kept[on] = True
         third = np.full(len(on), -1, np.int64)
-        more = np.flatnonzero(on + 2 < len(self.code))
-        more = more[self.linked[on[more] + 1] & good[on[more] + 2]]
+        more = np.flatnonzero(kept[on + 1])
         third[more] = self.code[on[more] + 2]
         # Numbers of (language, first, second), then of the whole suffix, stay below 63 bits.
-        pairs, at = np.unique((self.lang[on] * size + self.code[on]) * size + self.code[on + 1], return_inverse=True)
+        found, at = np.unique((self.lang[on] * size + self.code[on]) * size + self.code[on + 1], return_inverse=True)
         whole, n = np.unique(at * (size + 1) + third + 1, return_counts=True)
-        pair, third = pairs[whole // (size + 1)], whole % (size + 1) - 1
-        return pair // size // size, pair // size % size, pair % size, third, n
+        pair, third = found[whole // (size + 1)], whole % (size + 1) - 1
+        first, second = pair // size, pair % size
+        one = self.word_key[first]
+        return first // size, first % size, second, third, n, one, longer_key(one, self.word_hash[second])
+
+
+def longer_key(key: np.ndarray, word_hash: np.ndarray) -> np.ndarray:
+    """The hash of a prefix with one more word (not negative)."""
+    both = mix64(key.astype(np.uint64)) + mix64(word_hash.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    return (mix64(both) >> np.uint64(1)).astype(np.int64)
+
+
+def has_bit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key % MAP_BITS
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
 def _prepared(df: DataFrame, text_col: str, group_col: str) -> DataFrame:
@@ -117,92 +141,87 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def bit_map(words: DataFrame) -> np.ndarray:
-    """One bit for each hash of (lang, word), as bytes; at most MAP_BITS / 32 rows reach the driver."""
-    slot = F.crc32(F.concat_ws(" ", "lang", "word").cast("binary")) % MAP_BITS
-    found = np.zeros(MAP_BITS // 32, np.uint32)
-    rows = words.select(slot.alias("s")).groupBy(F.expr("CAST(s DIV 32 AS INT)").alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(s % 32 AS INT)))").alias("bits"))
-    for r in rows.toLocalIterator():
-        found[r["at"]] = r["bits"]
-    return found.astype("<u4").view(np.uint8)
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """One bit for each hash in ``key``, as MAP_BITS / 8 bytes, put together from blocks."""
+    ddl = "block int, bits binary"
+    schema = arrow_schema(ddl)
+    per_block = min(1 << 16, MAP_BITS)
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows.column("at").to_numpy()
+        bits = np.zeros(per_block, bool)
+        bits[at % per_block] = True
+        return pa.table([pa.array([int(at[0]) // per_block], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
+                        schema=schema)
+
+    at = keys.select(F.pmod("key", F.lit(MAP_BITS)).cast("int").alias("at")).distinct()
+    found = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in at.groupBy(F.floor(F.col("at") / per_block)).applyInArrow(run, ddl).toLocalIterator():
+        found[r["block"] * per_block // 8:(r["block"] + 1) * per_block // 8] = np.frombuffer(r["bits"], np.uint8)
+    return found
 
 
 # --- vertical partitioning ------------------------------------------------------------------
 
 class Partition:
-    """Prefixes of bounded suffix counts in groups: hashes of prefixes to lengthen, and the group
-    of every slot.  Bounded: SLOTS numbers, and at most SLOTS prefixes of each length."""
-
-    def __init__(self, long1: list[int], long2: list[int], groups: np.ndarray):
-        self.long1, self.long2, self.groups = np.array(sorted(long1), np.int64), np.array(sorted(long2), np.int64), groups
-
-    def prefixes(self, w: Words, lang, first, second):
-        """For the suffixes' first words: hash, whether to lengthen, then the same for two words."""
-        size = max(1, len(w.words))
-        one, at = np.unique(lang * size + first, return_inverse=True)
-        key1 = np.array([zlib.crc32(b"%s %s" % (w.langs[k // size].encode(), w.words[k % size])) for k in one.tolist()], np.int64)[at] \
-            if len(one) else np.zeros(0, np.int64)
-        more1 = np.isin(key1, self.long1)
-        key2, on = key1.copy(), np.flatnonzero(more1)
-        if len(on):
-            # Suffixes come in order, so the pairs do too: hash each pair once.
-            pair = (lang[on] * size + first[on]) * size + second[on]
-            two, place, at = np.unique(pair, return_index=True, return_inverse=True)
-            key2[on] = np.array([zlib.crc32(b" " + w.words[s], k) for s, k in zip(second[on][place].tolist(), key1[on][place].tolist())],
-                                np.int64)[at]
-        return key2, more1, more1 & np.isin(key2, self.long2)
-
-
-def partition(texts: DataFrame, words: DataFrame, frequent: np.ndarray, budget: int) -> Partition:
-    """The groups of prefixes of (lang, word, n) ``words``, reading ``texts`` again only if some
-    word has more suffixes than the budget."""
+    """Prefixes of bounded suffix counts in groups: bit maps of frequent words and pairs, hashes
+    of prefixes to lengthen, and the group of every slot.  Bounded: two maps of MAP_BITS, SLOTS
+    numbers, and at most SLOTS prefixes of each length."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray | None, long1: list[int], long2: list[int], groups: np.ndarray | None):
+        self.words, self.pairs, self.groups = words, pairs, groups
+        self.long1, self.long2 = np.array(sorted(long1), np.int64), np.array(sorted(long2), np.int64)
+
+
+def partition(texts: DataFrame, words: DataFrame, budget: int, least: int) -> Partition:
+    """Count pairs of the frequent (lang, word, n) ``words`` by hash and group the prefixes."""
     total = words.agg(F.sum("n")).first()[0] or 0
     budget = max(budget, -(-total // SLOTS))
-    key = F.crc32(F.concat_ws(" ", "lang", "word").cast("binary"))
-    by_key = words.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
-
-    def taken(by_key):
-        """Prefixes over the budget, and the suffixes of the others by slot."""
-        over = [r["key"] for r in by_key.filter(F.col("n") > budget).select("key").toLocalIterator()]
-        load = np.zeros(SLOTS)
-        for r in (by_key.filter(F.col("n") <= budget).groupBy((F.col("key") % SLOTS).cast("int").alias("slot"))
+    keyed = words.groupBy(F.crc32(F.concat_ws(" ", "lang", "word").cast("binary")).alias("key")).agg(F.sum("n").alias("n"))
+
+    def over(rows):
+        """Prefixes over the budget: at most SLOTS."""
+        return [r["key"] for r in rows.filter(F.col("n") > budget).select("key").toLocalIterator()]
+
+    def load(rows):
+        """Suffixes of the prefixes within the budget, by slot."""
+        found = np.zeros(SLOTS)
+        for r in (rows.filter(F.col("n") <= budget).groupBy(F.pmod("key", F.lit(SLOTS)).cast("int").alias("slot"))
                   .agg(F.sum("n").alias("n")).toLocalIterator()):
-            load[r["slot"]] = r["n"]
-        return over, load
-
-    long1, load = taken(by_key)
-    long2 = []
-    if long1:
-        lengthen = texts.sparkSession.sparkContext.broadcast((frequent, Partition(long1, [], np.zeros(0, np.int32))))
-        schema = arrow_schema("key long, n long")
-
-        def run(batches):
-            frequent, parts = lengthen.value
-            for batch in batches:
-                for part in slices(batch, "text", SLICE):
-                    w = Words(part)
-                    lang, first, second, _, n = w.suffixes(frequent)
-                    key2, more, _ = parts.prefixes(w, lang, first, second)
-                    keys, at = np.unique(key2[more], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.bincount(at, n[more], len(keys)).astype(np.int64))], schema=schema)
-
-        pairs = written(texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "phrase-pairs")
-        long2, more = taken(pairs)
-        # Suffixes of three words are dealt by their own hashes, evenly over the slots.
-        load += more + (pairs.filter(F.col("n") > budget).agg(F.sum("n")).first()[0] or 0) / SLOTS
+            found[r["slot"]] = r["n"]
+        return found
+
+    frequent, long1 = bit_map(keyed.select("key")), over(keyed)
+    sent = texts.sparkSession.sparkContext.broadcast(Partition(frequent, None, long1, [], None))
+    schema = arrow_schema("key long, lengthened boolean, n long")
+
+    def run(batches):
+        parts = sent.value
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                w = Words(part)
+                on, key = w.links(parts.words)
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                one = w.word_key[w.lang[on[first]] * max(1, len(w.words)) + w.code[on[first]]]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.isin(one, parts.long1)), pa.array(n)], schema=schema)
+
+    pairs = written(texts.mapInArrow(run, "key long, lengthened boolean, n long").groupBy("key").agg(
+        F.bool_or("lengthened").alias("lengthened"), F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-pairs")
+    of_long = pairs.filter("lengthened")
+    long2 = over(of_long)
+    # Suffixes of three words are dealt by their own hashes, evenly over the slots.
+    slots = load(keyed) + load(of_long) + (of_long.filter(F.col("n") > budget).agg(F.sum("n")).first()[0] or 0) / SLOTS
     groups, number, held = np.zeros(SLOTS, np.int32), 0, 0
     for slot in range(SLOTS):
-        if held and held + load[slot] > budget:
+        if held and held + slots[slot] > budget:
             number, held = number + 1, 0
-        groups[slot], held = number, held + load[slot]
-    return Partition(long1, long2, groups)
+        groups[slot], held = number, held + slots[slot]
+    return Partition(frequent, bit_map(pairs.select("key")), long1, long2, groups)
 
 
 # --- subtrees -------------------------------------------------------------------------------
 
-def grouped_suffixes(texts: DataFrame, frequent: np.ndarray, parts: Partition) -> DataFrame:
+def grouped_suffixes(texts: DataFrame, parts: Partition) -> DataFrame:
     """(part, pair, third, deep, n): suffixes with the group of their prefix.
 
     ``pair`` is the first two words, a line feed (no word holds one) and the language.  Under a
@@ -211,38 +230,36 @@ def grouped_suffixes(texts: DataFrame, frequent: np.ndarray, parts: Partition) -
     """
     ddl = "part int, pair string, third string, deep boolean, n long"
     schema = arrow_schema(ddl)
-    sent = texts.sparkSession.sparkContext.broadcast((frequent, parts))
+    sent = texts.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
-        frequent, parts = sent.value
+        parts = sent.value
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 w = Words(part)
-                lang, first, second, third, n = w.suffixes(frequent)
+                lang, first, second, third, n, key, key2 = w.suffixes(parts.words, parts.pairs)
                 if len(n) == 0:
                     continue
-                key, _, deep = parts.prefixes(w, lang, first, second)
-                on = np.flatnonzero(deep)
-                if len(on):
+                longer = np.isin(key, parts.long1)
+                key = np.where(longer, key2, key)
+                deep = longer & np.isin(key, parts.long2)
+                if deep.any():
+                    on, rest = np.flatnonzero(deep), np.flatnonzero(~deep)
                     pair = (lang[on] * len(w.words) + first[on]) * len(w.words) + second[on]
                     _, place, at = np.unique(pair, return_index=True, return_inverse=True)
                     top, whole = on[place], on[third[on] >= 0]
-                    rest = np.flatnonzero(~deep)
-                    deep_key = [zlib.crc32(b" " + w.words[t], k) for t, k in zip(third[whole].tolist(), key[whole].tolist())]
                     take = np.concatenate([rest, top, whole])
-                    is_deep = np.arange(len(take)) >= len(rest) + len(top)
-                    key = np.concatenate([key[rest], key[top], np.array(deep_key, np.int64)])
+                    deep = np.arange(len(take)) >= len(rest) + len(top)
+                    key = np.concatenate([key[rest], key[top], longer_key(key[whole], w.word_hash[third[whole]])])
                     n = np.concatenate([n[rest], np.bincount(at, n[on]).astype(np.int64), n[whole]])
                     third = np.concatenate([third[rest], np.full(len(top), -1), third[whole]])
                     lang, first, second = lang[take], first[take], second[take]
-                else:
-                    is_deep = deep
                 names = pa.array(w.words, pa.binary()).cast(pa.string())
                 words = pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), " ")
                 pair = pc.binary_join_element_wise(words, pa.array(w.langs, pa.string()).take(pa.array(lang)), "\n")
                 yield pa.RecordBatch.from_arrays([
                     pa.array(parts.groups[key % SLOTS]), pair.cast(schema.field(1).type),
-                    names.take(pa.array(third, mask=third < 0)).cast(schema.field(2).type), pa.array(is_deep), pa.array(n)], schema=schema)
+                    names.take(pa.array(third, mask=third < 0)).cast(schema.field(2).type), pa.array(deep), pa.array(n)], schema=schema)
 
     return texts.mapInArrow(run, ddl)
 
@@ -310,9 +327,8 @@ def collocations(df: DataFrame, least: int = LEAST, share: int = SHARE, top: int
     texts = _prepared(df, text_col, group_col)
     words = written(count_words(texts), "phrase-words")
     often = words.filter(F.col("n") >= least)
-    frequent = bit_map(often)
-    parts = partition(texts, often, frequent, budget)
-    nodes = written(subtree_nodes(grouped_suffixes(texts, frequent, parts), least), "phrase-nodes")
+    parts = partition(texts, often, budget, least)
+    nodes = written(subtree_nodes(grouped_suffixes(texts, parts), least), "phrase-nodes")
     counts = often.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")).union(nodes.select("lang", "phrase", "f"))
     inner = F.explode(F.array(F.expr("substring_index(phrase, ' ', 2)"), F.expr("substring(phrase, length(substring_index(phrase, ' ', 1)) + 2)")))
     longer = (nodes.filter("words = 3").select("lang", "f", inner.alias("phrase")).groupBy("lang", "phrase")
