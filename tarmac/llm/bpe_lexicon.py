@@ -40,6 +40,8 @@ from tarmac.session import shared_path
 #: Bounds of the lexicon (speed only): words, and bytes of a word.
 LEXICON_WORDS = 131_072
 LEXICON_BYTES = 48
+#: Bytes of text that a worker cuts at a time (a longer text alone).
+SLICE = 2 << 20
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 NEVER = 1 << 40
@@ -74,8 +76,7 @@ class Bpe:
         other = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
         vocab = model["vocab"]
-        names = {i: t for t, i in vocab.items()}
-        self.pieces = {i: bytes(byte_of[c] for c in t) for i, t in names.items()}
+        self.pieces = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.byte_ids = [-1] * 256
         for i, p in self.pieces.items():
             if len(p) == 1:
@@ -139,8 +140,8 @@ class Bpe:
         sizes = np.array([len(w) for w in words])
         for low, width in ((0, 8), (8, 16), (16, 32)):
             chosen = np.flatnonzero((sizes > low) & (sizes <= width))
-            for lo in range(0, len(chosen), 20_000):
-                some = chosen[lo:lo + 20_000]
+            for lo in range(0, len(chosen), 8_000):
+                some = chosen[lo:lo + 8_000]
                 data = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in some), np.uint8).reshape(-1, width)
                 ids = np.where(np.arange(width) < sizes[some][:, None], self.byte_table[data], -1)
                 for i, row in zip(some.tolist(), self._merge_rows(ids)):
@@ -258,7 +259,7 @@ def count_words(df: DataFrame, tokenizer: str | None = None, longest: int = LEXI
     def run(batches):
         bpe, parts, held = bpe_of(path), [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = raw_bytes(part.column("text"))
                 starts, special = bpe.words(data, offsets)
                 if len(starts) == 0:
@@ -269,7 +270,7 @@ def count_words(df: DataFrame, tokenizer: str | None = None, longest: int = LEXI
                 counts = words.filter(pa.array(short)).value_counts()
                 parts.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
                 held += len(counts)
-                if held > 400_000:
+                if held > 200_000:
                     yield merged(parts)
                     parts, held = [], 0
         if parts:
@@ -468,21 +469,35 @@ def encode_texts(bpe: Bpe, lexicon: Lexicon, data: np.ndarray, offsets: np.ndarr
     return ids, total[np.searchsorted(starts, offsets[1:])]
 
 
+def texts_of(pieces: dict, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts of lists of ids that stand one after the other; unknown ids give nothing."""
+    found = [pieces.get(i, b"") for i in ids.tolist()]
+    return [b"".join(found[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+
+
 def encode(df: DataFrame, lexicon: str, tokenizer: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every text; ``lexicon`` is the name that ``build_lexicon`` gave."""
+           text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every text; ``lexicon`` is the name that ``build_lexicon`` gave.
+
+    With ``decoded`` also the text that the ids decode to, in the same pass (one Python worker a
+    core instead of two).
+    """
     path = tokenizer or default_tokenizer()
-    schema = arrow_schema("doc_id long, ids array<int>")
+    ddl = "doc_id long, ids array<int>" + (", text string" if decoded else "")
+    schema = arrow_schema(ddl)
 
     def run(batches):
         bpe, words = bpe_of(path), mapped(lexicon)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, ends = encode_texts(bpe, words, *raw_bytes(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], schema=schema)
+                columns = [part.column("doc_id").cast(pa.int64()), lists]
+                if decoded:
+                    columns.append(pa.array(texts_of(bpe.pieces, ids, ends.tolist()), schema.field(2).type))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return keyed_text(df, id_col, text_col).mapInArrow(run, ddl)
 
 
 def decode(df: DataFrame, tokenizer: str | None = None, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -491,20 +506,18 @@ def decode(df: DataFrame, tokenizer: str | None = None, ids_col: str = "ids", te
 
     def make(batch):
         pieces = bpe_of(path).pieces
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
             lists = pc.fill_null(part.column(ids_col), pa.scalar([], part.column(ids_col).type))
-            values, ends = lists.flatten().to_pylist(), np.cumsum(pc.list_value_length(lists).to_numpy())
-            found = [pieces.get(i, b"") for i in values]
-            yield part, {text_col: [b"".join(found[a:b]).decode("utf-8", "replace") for a, b in zip(np.append(0, ends), ends)]}
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+            yield part, {text_col: texts_of(pieces, lists.flatten().to_numpy(), ends.tolist())}
 
     return with_results(df, f"{text_col} string", make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    decoded = decode(encode(docs, build_lexicon(docs)))
-    return decoded.select(
+    return encode(docs, build_lexicon(docs), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))

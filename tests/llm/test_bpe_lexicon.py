@@ -47,6 +47,8 @@ def test_ids_and_texts_equal_the_library(spark, rows, library):
         name = B.build_lexicon(frame, words=words)
         got = B.decode(B.encode(frame, name)).collect()
         assert sorted((repr(r.doc_id), r.ids, r.text) for r in got) == want
+    got = B.encode(frame, name, decoded=True).collect()
+    assert sorted((repr(r.doc_id), r.ids, r.text) for r in got) == want
 
 
 def test_query_equals_the_library(spark, sf, library):
