@@ -16,16 +16,24 @@ REQUIRED = ["month", "day_of_month", "day_of_week", "dep_hour", "carrier", "orig
             "dest", "distance"]
 
 
-def rejection_reasons(required: list[str] = REQUIRED, ranges=K.REQUEST_RANGES):
+#: What reading raw requests found wrong: an array of ``<field>:type`` or ``body:malformed``.
+FAILED = "parse_failed"
+
+
+def rejection_reasons(required: list[str] = REQUIRED, ranges=K.REQUEST_RANGES, failed: str | None = None):
     """Comma-separated failed rules ('' when valid).
 
     A required field that is null fails as ``<field>:missing``; a present value
     outside its range fails as ``<field>:range``.  Origin equal to dest is
-    accepted, as in the original service.
+    accepted, as in the original service.  ``failed`` names a column of reasons found
+    before: they come first, and a field that failed there is not missing.
     """
     fails = []
     for f in required:
-        fails.append(F.when(F.col(f).isNull(), F.lit(f"{f}:missing")))
+        missing = F.col(f).isNull()
+        if failed:
+            missing = missing & ~F.array_contains(failed, f"{f}:type") & ~F.array_contains(failed, "body:malformed")
+        fails.append(F.when(missing, F.lit(f"{f}:missing")))
     for f, (lo, hi) in ranges.items():
         c = F.col(f)
         bad = F.lit(False)
@@ -34,7 +42,8 @@ def rejection_reasons(required: list[str] = REQUIRED, ranges=K.REQUEST_RANGES):
         if hi is not None:
             bad = bad | (c > hi)
         fails.append(F.when(c.isNotNull() & bad, F.lit(f"{f}:range")))
-    return F.concat_ws(",", F.array_compact(F.array(*fails)))
+    reasons = F.array_compact(F.array(*fails))
+    return F.concat_ws(",", F.concat(F.col(failed), reasons) if failed else reasons)
 
 
 def valid_condition(required: list[str] = REQUIRED, ranges=K.REQUEST_RANGES):
@@ -62,12 +71,18 @@ def split_valid(req: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with their reasons).
 
     Accepted rows are selected by the boolean form of the rules; the reasons
-    text is only built for the rejected rows.
+    text is only built for the rejected rows.  Raw requests also fail by what reading them found;
+    their text goes with the rejected rows only.
     """
     ok = valid_condition()
-    return (req.filter(ok),
-            req.filter(~ok).withColumns({"reasons": rejection_reasons(),
-                                         "valid": F.lit(False)}))
+    if FAILED not in req.columns:
+        return (req.filter(ok),
+                req.filter(~ok).withColumns({"reasons": rejection_reasons(),
+                                             "valid": F.lit(False)}))
+    ok = (F.size(FAILED) == 0) & ok
+    return (req.filter(ok).drop(FAILED, "raw"),
+            req.filter(~ok).withColumns({"reasons": rejection_reasons(failed=FAILED),
+                                         "valid": F.lit(False)}).drop(FAILED))
 
 
 def decorate(df: DataFrame, prediction: str = "prediction", probability: str = "probability") -> DataFrame:

@@ -925,8 +925,9 @@ def stream_log(spark, sf):
                        f"{base}/ckpt", root, cats)
     q.awaitTermination()
     from tarmac.sources.files import read_log
+    from tarmac.sources.parts import read_parts
     log = read_log(spark, f"{base}/log")
-    bad = spark.read.parquet(f"{base}/quarantine")
+    bad = read_parts(spark, f"{base}/quarantine")
     return A.log_kpis(log).select(
         "total_predictions", "delayed_rate", "avg_probability",
         F.lit(bad.count()).cast("long").alias("quarantined"))
