@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import arrow_schema, keyed_text, raw_bytes, slices, table, with_results
+from tarmac.llm.inputs import arrow_schema, keyed_text, raw_bytes, slices, table, with_results, written
 from tarmac.session import shared_path
 
 #: Bounds of the lexicon (speed only): words, and bytes of a word.
@@ -427,13 +427,22 @@ def mapped(name: str) -> Lexicon:
 
 def build_lexicon(df: DataFrame, tokenizer: str | None = None, words: int = LEXICON_WORDS, longest: int = LEXICON_BYTES,
                   id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Compile the ``words`` most frequent words of the texts; the name of the published file.
+    """Compile the most frequent words of the texts, ``words`` at most; the name of the published file.
 
+    Words are taken by classes of their counts (a sixteenth of a power of two wide), from the
+    most frequent on, as long as a whole class fits: no task and not the driver sorts them all.
     At most ``words`` times ``longest`` bytes reach the driver, whatever the input's size.
     """
     path = tokenizer or default_tokenizer()
-    counted = count_words(df, path, longest, id_col, text_col)
-    rows = counted.orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()
+    level = F.floor(F.log2("n") * 16).cast("int")
+    counted = written(count_words(df, path, longest, id_col, text_col).select("word", level.alias("level")), "lexicon-words")
+    held, least = 0, None
+    for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # about a thousand classes
+        held += r["words"]
+        if held > words:
+            break
+        least = r["level"]
+    rows = counted.filter(F.col("level") >= F.lit(least)).select("word").toArrow()
     bpe = bpe_of(path)
     entries = [(w, bpe.merge(w)) for w in sorted(rows.column("word").to_pylist())]
     return publish(df.sparkSession, Lexicon.compiled(entries))
