@@ -26,5 +26,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # Importing the modules fills the registry.
-    from tarmac.plans import queries  # noqa: F401
+    from tarmac.plans import queries, service_queries  # noqa: F401
     return REGISTRY

@@ -6,6 +6,8 @@ whole; every query is a lazy DataFrame.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tarmac import oracle as O
@@ -735,8 +737,11 @@ def ks_value_split(spark, sf):
 
 _TRAINED: dict = {}
 
+#: Sizes of the models that the registered queries fit: the original ones.
+MODEL_PRESET = os.environ.get("TARMAC_MODEL_PRESET", "reference")
+
 
-def trained(spark, sf, preset: str = "quick"):
+def trained(spark, sf, preset: str = MODEL_PRESET):
     """Train once per (application, input, preset); later queries reuse the artifacts."""
     from tarmac.plans.features import transform
     from tarmac.plans.training import train_all

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,21 @@ def scan_run_store(spark: SparkSession, root: str) -> DataFrame:
 
     Layout: ``<run>/metrics/<name>`` holds "millis value step" lines (the last
     line wins), ``<run>/params/<name>`` and ``<run>/tags/<name>`` a bare value,
-    ``<run>/meta.yaml`` the run name and times (epoch millis).
+    ``<run>/meta.yaml`` the run name and times (epoch millis).  Only these files are read (a
+    run's artifacts are not), many of them a task.
     """
-    files = (spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-             .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
+    files = []
+    for glob in ("metrics/*", "params/*", "tags/*", "meta.yaml"):
+        try:
+            files.append(spark.read.text(f"{root}/*/*/{glob}", wholetext=True)
+                         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
+        except AnalysisException as e:  # no run has any file of the kind
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not files:
+        return spark.createDataFrame([], RUNS_SCHEMA)
+    # Spark counts 4 MB for opening a file, so tiny files would make a task for every 32.
+    files = reduce(DataFrame.union, files).coalesce(spark.sparkContext.defaultParallelism)
     rel = F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 0)
     kv = (files.filter(rel != "")
           .select(F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 1).alias("run_id"),

@@ -4,6 +4,8 @@ import tempfile
 
 import pytest
 
+# Tests fit small models; the registered queries fit the original sizes.
+os.environ.setdefault("TARMAC_MODEL_PRESET", "quick")
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
