@@ -16,8 +16,10 @@ in 174 of 250 coordinates (99.997 %) are candidates.  In each bucket all members
 the bucket; all others, linked or not, meet the next leaders, four times as many in each turn,
 until those left are of one group: no bucket is cut short, members of one group so far are not
 compared again, and copies make no pairs at all.  Later leaders are taken outside the largest
-group of the bucket, which ends when all strangers to that group have led.  Links are closed
-to groups by repeated joins; nothing about all documents comes to the driver.
+group of the bucket, which ends when all strangers to that group have led.  Pairs are keys until
+their signatures, and then their shingles, have to be compared.  A turn's links are closed over
+the groups so far by repeated joins, and its tables go when the next turn's are written; nothing
+about all documents comes to the driver.
 
 Defined results: texts with the same word sequence are one node whatever their number (a
 group of copies costs one signature); documents without words (null, empty, only marks) are
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, keyed_text, mix64, raw_bytes,
+from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, dropped, keyed_text, mix64, raw_bytes,
                                slices, spans, table, with_results, written)
 
 #: Coordinates of a signature; the first BANDS * ROWS make the bands, all make the estimate.
@@ -46,6 +48,9 @@ SALTS = 16
 AGREE = 174
 #: Leaders of a bucket in turn t: at most GROWTH ** t.
 GROWTH = 4
+#: Rank ranges thrown at a time, and bytes and rows signed at a time.
+RANGES = 1 << 18
+SLICE, SIGNED_ROWS = 1 << 20, 2000
 _LOWER = np.frombuffer(WORD_TABLE, np.uint8)
 #: Poisson(1) and Poisson(1/4) counts by inverting the cumulative probability of a uniform.
 _POISSON = {w: np.cumsum([math.exp(-w) * w ** i / math.factorial(i) for i in range(16)])
@@ -117,7 +122,10 @@ def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int) -> np.ndarray
         upto = np.where(reach <= 0.25, 1, np.where(reach <= 0.5, 2, np.where(reach <= 1, 3, np.ceil(reach) + 2))).astype(np.int64)
         upto = np.where(open_, np.maximum(upto, done), done)
         todo = (upto - done)[doc]
-        for some in np.array_split(np.arange(len(doc)), max(1, int(todo.sum()) >> 21)):
+        # Parts of equally many rank ranges, so memory follows the darts and not the cells.
+        total = np.cumsum(todo)
+        cuts = np.searchsorted(total, np.arange(RANGES, int(total[-1]) + RANGES, RANGES))
+        for some in np.split(np.arange(len(doc)), np.unique(cuts[:-1] + 1)):
             count = todo[some]
             at = np.repeat(some, count)
             level = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + done[doc[at]]
@@ -139,7 +147,8 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in (some.slice(lo, SIGNED_ROWS) for some in slices(batch, "text", SLICE)
+                         for lo in range(0, some.num_rows, SIGNED_ROWS)):
                 doc, cells, words, keys = shingles(part)
                 best = signatures(doc, cells, part.num_rows, COORDINATES)
                 bands = np.zeros((part.num_rows, BANDS), np.uint64)
@@ -165,7 +174,7 @@ def _multisets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 doc, cells, _, keys = shingles(part)
                 order = np.lexsort((cells, doc))
                 cells = cells[order]
@@ -197,7 +206,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected group of ``edges`` (a, b)."""
+    """(node, root): the smallest node of each connected group of ``edges`` (a, b), written."""
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .filter("a != b").distinct(), "links")
     while True:
@@ -211,77 +220,96 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").filter("a != b").distinct())
         new = written(small, "links")
-        changed = new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty()
+        # Both hold distinct links: equal if equally many and none is new.
+        changed = new.count() != links.count() or not new.join(links, ["a", "b"], "left_anti").isEmpty()
+        dropped(links)
         links = new
-        if changed:
+        if not changed:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     docs = keyed_text(df, id_col, text_col)
     signed = written(sign(docs), "signatures")
-    node = F.struct("k1", "k2")
+    node = F.struct("k1", "k2").alias("node")
     texts = (signed.filter("n_words > 0").groupBy("k1", "k2")
              .agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "darts")).alias("s"))
-             .select("k1", "k2", "rep", "s.bands", "s.darts"))
-    bucket = texts.select(node.alias("node"), "rep", F.posexplode("bands").alias("band", "value"))
+             .select(node, "rep", "s.bands", "s.darts"))
+    texts = written(texts, "texts")
+    bucket = texts.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = bucket.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
     split = lambda x: x.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     spread = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = written(split(bucket).join(spread(sizes), ["band", "value", "salt"]).drop("salt"), "buckets")
+    shared = written(split(bucket).join(spread(sizes), ["band", "value", "salt"]).drop("salt"), "buckets")
     # How many others a text meets over all bands: the middle of a group meets the most.
-    wanted = written(members.groupBy("node").agg(F.first("rep").alias("rep"), F.sum("n").alias("met")), "wanted")
-    members = members.select("band", "value", "node").join(wanted.select("node", "met"), "node")
-    members = members.join(texts.select(
-        node.alias("node"), F.transform("bands", lambda x: F.shiftright(x, 33).cast("int")).alias("bands"), "darts"), "node")
-    found = docs.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    wanted = written(shared.groupBy("node").agg(F.sum("n").alias("met")), "wanted")
+    members = written(shared.select("band", "value", "node").join(wanted, "node")
+                      .withColumn("part_of", F.col("node")).withColumn("strange", F.lit(True)), "buckets")
+    dropped(shared)
+    # Darts and cells of the texts that meet any other.
+    darts = written(texts.join(wanted.select("node"), "node", "left_semi").select("node", "rep", "darts"), "darts")
+    found = docs.join(darts.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     cells = (_multisets(found).dropDuplicates(["k1", "k2"])
-             .select(node.alias("node"), "cells").join(wanted.select("node"), "node"))
+             .select(node, "cells").join(wanted.select("node"), "node", "left_semi"))
     cells = written(cells, "cells")
-    links, turn = None, 0
-    members = members.withColumn("part_of", F.col("node")).withColumn("strange", F.lit(True))
+    dropped(texts)
+    groups, turn = None, 0
     while True:
         # At most ``leads`` leaders a bucket: of each part by hash the one that met the most.
         # Buckets of one group so mostly agree on a leader, and a pair is compared once.
         leads = GROWTH ** turn
-        leaders = (members.filter("strange")
-                   .groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leads)).alias("part"))
-                   .agg(F.max(F.struct("met", "node", "part_of", "bands", "darts")).alias("best"))
-                   .select("band", "value", F.col("best.node").alias("leader"), F.col("best.part_of").alias("of"),
-                           F.col("best.bands").alias("lead_bands"), F.col("best.darts").alias("lead_darts")))
-        one, other = split(members).alias("m"), spread(leaders).alias("l")
-        same = F.zip_with("bands", "lead_bands", lambda x, y: x == y)
-        alike = F.size(F.filter(F.zip_with("darts", "lead_darts", lambda x, y: x == y), lambda x: x))
-        # A pair is compared in the first band it shares, if its signatures agree enough.
-        meets = ((F.col("part_of") != F.col("of")) & (F.array_position(same, True) == F.col("m.band") + 1)
-                 & (alike >= AGREE)) | (F.col("node") == F.col("leader"))
-        on = (F.col("m.band") == F.col("l.band")) & (F.col("m.value") == F.col("l.value")) & (F.col("m.salt") == F.col("l.salt"))
-        rest = written(one.join(other, on & meets).select("m.band", "m.value", "node", "leader"), "rest")
-        # A hot leader's pairs are narrow rows: the adaptive skew join splits them by size.
-        pairs = (rest.filter("node != leader").select("node", "leader").distinct()
-                 .join(cells.select(F.col("node").alias("leader"), F.col("cells").alias("b_cells")), "leader")
-                 .join(cells.withColumnRenamed("cells", "a_cells"), "node"))
-        pairs = pairs.select(F.col("node").alias("a"), F.col("leader").alias("b"), "a_cells", "b_cells")
+        leaders = written(members.filter("strange")
+                          .groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leads)).alias("part"))
+                          .agg(F.max(F.struct("met", "node", "part_of")).alias("best"))
+                          .select("band", "value", F.col("best.node").alias("leader"), F.col("best.part_of").alias("of")), "leaders")
+        # Keys of pairs alone; their darts, then the cells of those that agree, come by joins that
+        # the adaptive skew join splits by size.
+        pairs = (split(members).join(spread(leaders), ["band", "value", "salt"]).filter("part_of != of")
+                 .select("node", "leader").distinct())
+        of = lambda t, key, what, name: t.select(F.col("node").alias(key), F.col(what).alias(name))
+        alike = F.size(F.filter(F.zip_with("a_darts", "b_darts", lambda x, y: x == y), lambda x: x))
+        pairs = (pairs.join(of(darts, "leader", "darts", "b_darts"), "leader").join(of(darts, "node", "darts", "a_darts"), "node")
+                 .filter(alike >= AGREE).select("node", "leader"))
+        pairs = (pairs.join(of(cells, "leader", "cells", "b_cells"), "leader").join(of(cells, "node", "cells", "a_cells"), "node")
+                 .select(F.col("node").alias("a"), F.col("leader").alias("b"), "a_cells", "b_cells"))
         similar = written(_verify(pairs, threshold), "similar")
-        links = similar if links is None else links.unionByName(similar)
         # Leaders have met their whole bucket and leave it; who is linked to one may link others.
-        over = rest.filter("node = leader").select("band", "value", "node")
-        groups = components(links)
-        members = (members.join(over, ["band", "value", "node"], "left_anti").drop("part_of", "strange")
-                   .join(groups, "node", "left")
-                   .select("band", "value", "node", "met", "bands", "darts", F.coalesce("root", "node").alias("part_of")))
+        members_left = members.join(leaders.select("band", "value", F.col("leader").alias("node")), ["band", "value", "node"], "left_anti")
+        if not similar.isEmpty():
+            # New links join groups, so only roots of groups are closed again.
+            if groups is not None:
+                of_root = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+                similar_roots = similar.join(of_root("a"), "a", "left").join(of_root("b"), "b", "left").select(
+                    F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+            else:
+                similar_roots = similar
+            moved = components(similar_roots)
+            on_root = moved.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+            before = groups
+            if groups is not None:
+                groups = groups.join(on_root, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")).unionByName(moved)
+            groups = written(groups if groups is not None else moved, "groups")
+            if before is not None:
+                dropped(before)
+            members_left = (members_left.join(on_root.withColumnRenamed("root", "part_of"), "part_of", "left")
+                            .withColumn("part_of", F.coalesce("new_root", "part_of")))
+        members_left = members_left.select("band", "value", "node", "met", "part_of")
         # Buckets whose members are of one group have no link to give.
-        largest = (members.groupBy("band", "value", "part_of").agg(F.count("*").alias("n"))
+        largest = (members_left.groupBy("band", "value", "part_of").agg(F.count("*").alias("n"))
                    .groupBy("band", "value").agg(F.max(F.struct("n", "part_of")).alias("most"), F.count("*").alias("groups"))
                    .filter("groups > 1").select("band", "value", F.col("most.part_of").alias("largest")))
-        one, other = split(members).alias("m"), spread(largest).alias("l")
-        members = written(one.join(other, ["band", "value", "salt"]).select(
-            "band", "value", "node", "met", "bands", "darts", "part_of", (F.col("part_of") != F.col("largest")).alias("strange")),
-            "buckets")
-        turn += 1
+        left = written(split(members_left).join(spread(largest), ["band", "value", "salt"]).select(
+            "band", "value", "node", "met", "part_of", (F.col("part_of") != F.col("largest")).alias("strange")), "buckets")
+        for t in (members, leaders, similar):
+            dropped(t)
+        members, turn = left, turn + 1
         if members.isEmpty():
             break
-    rows = signed.select("doc_id", "n_words", node.alias("node"))
+    for t in (members, darts, cells, wanted):
+        dropped(t)
+    if groups is None:
+        groups = docs.sparkSession.createDataFrame([], "node struct<k1:long,k2:long>, root struct<k1:long,k2:long>")
+    rows = signed.select("doc_id", "n_words", node)
     rows = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     alone = F.col("n_words") == 0
     # The row that stays: smallest id, rows without one last.
@@ -310,7 +338,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay: one of each group, and all without words."""
     def keys(batch):
-        for part in slices(batch, text_col, 4 << 20):
+        for part in slices(batch, text_col, SLICE):
             _, _, words, found = shingles(part.select([text_col]).rename_columns(["text"]))
             yield part, {"__n": words, "__1": found[0].view(np.int64), "__2": found[1].view(np.int64)}
 
