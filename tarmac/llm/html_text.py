@@ -7,8 +7,11 @@ text inside links).  The container with the most points is kept, or the ``articl
 around it, else with those siblings that score at least a fifth of it or are plain paragraphs
 of little link density, and what stands between them and isn't links.  Menus, page headers and
 footers, sidebars, notices, adverts, forms, comments and invisible elements are taken out of the
-tree before scoring; a class or id alone takes nothing out that has a likely word of its own
-beside it or holds most of the page's paragraph text.
+tree before scoring.  Names of comments, adverts, notices and sign-up boxes in a class or id take
+an element out whatever stands beside them.  Other unlikely names (sidebar, related, legal) take
+nothing out that has a likely word of its own beside it or holds most of the page's paragraph
+text.  Names that only describe an element (no-comments, has-sidebar, comments-open) count for
+nothing.  Several articles beside each other are all kept, unless they are mostly links.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed and wrongly
 closed elements are closed where the containing block ends; rows are independent, so repeated
@@ -49,6 +52,13 @@ UNLIKELY = re.compile(
     r"discuss\w*|disqus\w*|replies|reply|cookie\w*|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|"
     r"popup|modal|overlay|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|"
     r"search\w*|copyright|legal|disclaimer|alert|hidden)(?:$|[\s_-])", re.I)
+#: Of these, what no likely word saves; on article and main, only what names reader comments.
+NEVER = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|comments?|comment-?list|respond|discuss\w*|disqus\w*|"
+    r"replies|reply|cookie\w*|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|popup|modal|overlay|hidden)(?:$|[\s_-])", re.I)
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
+#: Names that say what an element has, not what it is.
+DESCRIBES = re.compile(r"^(?:no|not|non|has|have|with|without|hide|show|allow|enable|disable)[-_]|[-_](?:open|opened|closed|enabled|disabled|on|off|free)$", re.I)
 #: The head of an article is part of it.
 OWN_HEADER = re.compile(r"(?:article|entry|post|story)[-_]*header", re.I)
 LIKELY = re.compile(r"article|main|content|post|entry|story|body|text", re.I)
@@ -92,10 +102,14 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 gone = True
         mark = " ".join(marks)
-        if mark and tag not in ("html", "body", "article", "main"):
-            each = OWN_HEADER.sub(" ", mark).split()
+        each = [x for x in OWN_HEADER.sub(" ", mark).split() if not DESCRIBES.search(x)]
+        if tag in ("article", "main"):
+            gone |= any(map(COMMENT.search, each))
+        elif mark and tag not in ("html", "body"):
+            if any(map(NEVER.search, each)):
+                gone = True
             # A likely word of its own beside it saves an element.
-            if any(map(UNLIKELY.search, each)):
+            elif any(map(UNLIKELY.search, each)):
                 named = not any(LIKELY.search(x) and not UNLIKELY.search(x) for x in each)
             elif LIKELY.search(mark):
                 hint = 5.0
@@ -252,7 +266,11 @@ def best_container(root: Node) -> list[Node]:
     # A part of an article stands for the whole: what is not the article is out of the tree.
     up = best
     while up is not None:
-        if up.tag in ("article", "main"):
+        if up.tag == "article":
+            # The others of its kind beside it, unless they are lists of links.
+            return [c for c in up.parent.children if c is up or isinstance(c, Node) and c.tag == "article"
+                    and not c.gone and c.size and density(c) < 0.25]
+        if up.tag == "main":
             return [up]
         up = up.parent
     kept, children = [], best.parent.children

@@ -408,6 +408,37 @@ def test_main_text_survives_an_unlikely_class(mark):
     assert html_text.main_text(page) == " ".join((LONG * 2).split())
 
 
+COMMENTS = "".join(f"<p>Comment {i}: I, for one, do, or do not, agree with all of that, and I say so at length, here.</p>" for i in range(10))
+SHORT = "A short post, with a comma, and not much more to say about it, really."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='post'><p>{SHORT}</p></div><div class='comments'>{COMMENTS}</div></body>",
+    f"<body><article><p>{SHORT}</p><section class='comments'>{COMMENTS}</section></article></body>",
+    f"<body><article><p>{SHORT}</p></article><article class='comment'>{COMMENTS}</article></body>",
+    f"<body><div class='post comments-open'><p>{SHORT}</p></div><ol class='comment-list'><li>{COMMENTS}</li></ol></body>",
+    f"<body><div class='content'><p>{SHORT}</p></div><div class='promo content-block'><p>{LONG * 3}</p></div></body>",
+    f"<body><div class='content'><p>{SHORT}</p><div class='newsletter article-inline'><p>{LONG}</p></div></div></body>",
+    f"<body><main><p>{SHORT}</p><div class='post-ad'>{LONG}</div><div id='cookie-notice'><p>{LONG}</p></div></main></body>"])
+def test_main_text_never_takes_back_comments_and_adverts(page):
+    assert html_text.main_text(page) == SHORT
+
+
+def test_main_text_keeps_several_articles():
+    page = (f"<body><article><p>{SHORT}</p></article><article><h2>Second</h2><p>{LONG * 2}</p></article>"
+            f"<article class='teaser'><a href='x'>Another article, elsewhere</a></article></body>")
+    assert html_text.main_text(page) == " ".join(f"{SHORT} Second {LONG * 2}".split())
+
+
+def test_main_text_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    page = f"<article><p>{SHORT}</p></article>"
+    rows = [(None, None, page, "x", "y"), (1, "u", None, "x", "y"), (1, "u", "", "x", "y"), (2, "u", page, "x", "y"), (2, "u", page, "x", "y")]
+    got = html_text.extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((repr(r.page_id), r.text) for r in got) == [("1", ""), ("1", ""), ("2", SHORT), ("2", SHORT), ("None", SHORT)]
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_main_text_keeps_blocks_between_siblings():
     page = (f"<body><div><div>{f'<p>{LONG}</p>' * 8}</div><h2>Next part</h2><ul><li>one</li><li>two</li></ul>"
             f"<blockquote>short</blockquote><div><a href='x'>all links</a></div><p>{LONG}</p></div></body>")
