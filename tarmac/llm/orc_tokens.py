@@ -5,35 +5,98 @@ written in ascending doc_id order as ORC: integers in run-length encoding, row i
 every stripe, and Bloom filters on doc_id, so that readers take stripes in parallel and skip
 stripes and row groups that cannot hold an id.
 
-White space parts words for the tokenizer and is dropped, so a text's ids are its words' ids
-in turn (a word: a run without white space; the file's added tokens hold none).  Each worker
-encodes a distinct word once and looks it up from then on.
+With the default file's rules (lower case, white space dropped, a fixed splitting pattern) white
+space parts words, so a text's ids are its words' ids in turn.  Words are found in the bytes of
+many texts at once; letters and the marks behind them go to the tokenizer's model by themselves,
+all other words through its whole encoder, and a distinct one only once a worker.  Files with
+other rules encode whole texts.
 
 Defined results: a null or empty text has the end id alone; a null doc_id sorts first; rows
-with the same doc_id keep one place each, ordered by text digest; extra columns are ignored;
-an empty table writes an empty folder of the same schema.
+with the same doc_id keep one place each, ordered by a hash of the text, in the files and in their
+starts; extra columns are ignored; an empty table writes an empty folder of the same schema.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import arrow_schema, input_bytes, keyed_text, slices, table, written
+from tarmac.llm.inputs import arrow_schema, input_bytes, keyed_text, raw_bytes, slices, spans, table, written
 from tarmac.session import shared_path
 
 END_ID = 2
-#: A word: no white space of the tokenizer's patterns.  str.split() parts at four more.
-SPACE = re.compile("[^\t-\r \u0085   -     　]+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+SLICE = 2 << 20  # bytes of text encoded at a time
+#: Fixed rules of the default file, under which words can be encoded one by one.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+#: White space of the pattern, besides the bytes 9 to 13 and 32.
+WIDE_SPACE = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKS = b".,;:!?"
+#: Lower-case letters up to U+00FF, which no rule changes.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+SPACE, LETTER, MARK, OTHER = range(4)
+
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[list(MARKS)] = MARK
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray):
+    """Pieces of the words of a buffer of texts: their bytes in turn, and starts and ends.
+
+    A word of letters (A-Z, U+00C0 to U+00FF) and marks behind them is two pieces, its letters in
+    lower case; any other word is one piece as it stands.
+    """
+    kind, low = _CLASS[data], _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    second = data[lead + 1]
+    lead, second = lead[(second != 0x97) & (second != 0xB7)], second[(second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    upper = lead[second < 0x9F]
+    low[upper + 1] += 0x20
+    if (data >= 0x80).any():
+        for c in (x.encode() for x in WIDE_SPACE):
+            at = np.flatnonzero(data[:len(data) - len(c) + 1] == c[0])
+            for k in range(1, len(c)):
+                at = at[data[at + k] == c[k]]
+            for k in range(len(c)):
+                kind[at + k] = SPACE
+    start, end = spans(kind != SPACE, offsets)
+    if len(start) == 0:
+        return data[:0], start, end
+    odd = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == OTHER, out=odd[1:])
+    turn = np.zeros(len(data) + 1, np.int32)  # letters behind a mark
+    turn[2:] = np.cumsum((kind[1:] == LETTER) & (kind[:-1] == MARK))
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == LETTER, out=letters[1:])
+    plain = (odd[end] == odd[start]) & (turn[end] == turn[start + 1]) & (kind[start] == LETTER)
+    split = np.where(plain, start + letters[end] - letters[start], end)
+    # The odd words keep their bytes.
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[~plain]] += 1
+    step[end[~plain]] -= 1
+    found = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, low)
+    both = split < end
+    starts, ends = np.empty(len(start) + both.sum(), np.int64), np.empty(len(start) + both.sum(), np.int64)
+    at = np.arange(len(start)) + np.concatenate([[0], np.cumsum(both)[:-1]])
+    starts[at], ends[at] = start, split
+    starts[at[both] + 1], ends[at[both] + 1] = split[both], end[both]
+    return found[kind != SPACE], starts, ends
 
 
 def default_tokenizer() -> str:
@@ -42,19 +105,20 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by a cache of words."""
-
-    #: Letters whose lower case and normal form are one letter each, then marks: such a word
-    #: falls into two pieces at most, which go straight to the tokenizer's model.
-    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
-
-    MARKS = ".,;:!?"
+    """Ids of texts; under the known rules by a cache of pieces of words."""
 
     def __init__(self, path: str, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = all(spec[k] == v for k, v in RULES.items()) and spec["model"]["type"] == "BPE" and not any(
+            a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] or re.search(r"\s", a["content"]) or a["content"].isalpha()
+            or not a["content"].strip(MARKS.decode()) for a in spec["added_tokens"])
         self.model = self.tokenizer.model
         self.most = cache
         bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -62,59 +126,52 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.flat, self.ends = array("i"), array("q")
+        self.pieces: dict[bytes, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
 
-    def _add(self, word: str, ids) -> None:
-        self.words[word] = len(self.ends)
+    def _add(self, piece: bytes, ids) -> None:
+        self.pieces[piece] = len(self.ends) - 1
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
 
-    def _piece(self, text: str):
-        """Ids of lower-case letters or of marks, which are words themselves."""
-        at = self.words.get(text)
-        if at is None:
-            self._add(text, [t.id for t in self.model.tokenize(text.translate(self.letters))])
-            at = len(self.ends) - 1
-        return self.flat[self.ends[at - 1] if at else 0:self.ends[at]]
-
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         odd = []
-        for w in words:
-            letters = w.rstrip(self.MARKS)
-            if not (letters.isascii() and letters.isalpha()) and not self.PLAIN.fullmatch(w):
-                odd.append(w)
-                continue
-            ids = self._piece(letters.lower())
-            if len(letters) < len(w):
-                ids = ids + self._piece(w[len(letters):])
-            if w not in self.words:
-                self._add(w, ids)
+        for p in pieces:
+            text = p.decode()
+            # The model knows bytes by letters of its own.
+            if LETTERS.fullmatch(p):
+                self._add(p, [t.id for t in self.model.tokenize(text.translate(self.letters))])
+            else:
+                odd.append((p, text))
         for lo in range(0, len(odd), 20_000):
             some = odd[lo:lo + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                if w not in self.words:
-                    self._add(w, e.ids)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in turn, and how many each text has."""
-        cut = [((SPACE.findall(x) if ODD_SPACE.search(x) else x.split()) if x else []) for x in texts]
-        if len(self.words) > self.most:
+            for (p, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                self._add(p, e.ids)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts in turn, and how many each text has."""
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+        data, offsets = raw_bytes(column)
+        letters, starts, ends = _words(data, offsets)
+        if len(starts) == 0:
+            return np.zeros(0, np.int32), np.zeros(len(column), np.int64)
+        # Without white space, pieces stand next to each other.
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+        distinct = packed.dictionary.to_pylist()
+        if len(self.pieces) > self.most:
             self._forget()
-        get = self.words.get
-        at = [np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)) for words in cut]
-        unknown = [np.flatnonzero(x < 0) for x in at]
-        self._learn(list(dict.fromkeys(words[i] for words, places in zip(cut, unknown) for i in places)))
-        for x, words, places in zip(at, cut, unknown):
-            if len(places):
-                x[places] = [get(words[i]) for i in places]
+        self._learn([p for p in distinct if p not in self.pieces])
+        place = np.array([self.pieces[p] for p in distinct], np.int64)[packed.indices.to_numpy()]
         # Copies: an array that numpy looks into cannot grow.
-        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
-        sizes = np.diff(ends, prepend=0)
-        all_at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        n = sizes[all_at]
-        place = np.repeat(ends[all_at] - np.cumsum(n), n) + np.arange(n.sum())
-        return flat[place], np.array([int(sizes[x].sum()) for x in at], np.int64)
+        flat, edges = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+        size = edges[place + 1] - edges[place]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(edges[place] - total[:-1], size) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,8 +193,8 @@ def tokenize(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     def run(batches):
         encoder = encoder_for(path)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids, counts = encoder.encode(part.column("text").to_pylist())
+            for part in slices(batch, "text", SLICE):
+                ids, counts = encoder.encode(part.column("text"))
                 ends = np.cumsum(counts)
                 whole = np.insert(ids, ends, np.int32(end_id))
                 offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
@@ -156,7 +213,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str | None = None, end_id:
     """
     docs = keyed_text(df, id_col, text_col)
     parts = max(1, -(-input_bytes(df) // partition_bytes))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # The hash parts rows that share an id (or lack one) into several files.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     (tokenize(ordered, tokenizer, end_id).write.option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", "1000")
@@ -169,44 +228,45 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from (doc_id, ids) rows read from the files.
+    """doc_id, start, n_tokens, ids_crc32 of rows read from the files, in the order of the files.
 
-    The files hold disjoint ascending ranges; sums of blocks of ids give each block's start and
-    a window inside a block each document's, so no task sees all rows.
+    Each task sums the ids of its own splits (parts of a file) row by row; the totals of splits,
+    one row each, are summed in the order of files and bytes, and a row's start is both together.
     """
-    schema = arrow_schema("doc_id long, n_tokens long, ids_crc32 long")
+    ddl = "doc_id long, file string, block long, inside long, n_tokens long, ids_crc32 long"
+    schema = arrow_schema(ddl)
 
     def run(batches):
+        held = {}  # ids so far of the splits of this task
         for batch in batches:
             lists = batch.column("ids")
             offsets = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-                schema=schema)
-
-    rows = written(tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long"), "token-rows")
-    return offsets_of(rows)
-
-
-def offsets_of(rows: DataFrame, block_rows: int = 100_000) -> DataFrame:
-    """Adds start, the sum of n_tokens of all rows before, by blocks of the id range."""
-    edge = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = edge[0] or 0, edge[1] or 0, edge[2]
-    blocks = max(1, min(-(-n // block_rows) * 4, 100_000))
-    width = max(1, -(-(high - low + 1) // blocks))
-    # Blocks of the id range, without ids as block -1; at most 100,000 totals are summed in one window.
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("block", block)
-    totals = rows.groupBy("block").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = (Window.partitionBy("block").orderBy("doc_id", "ids_crc32", "n_tokens")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (rows.join(F.broadcast(starts), "block")
-            .select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"),
-                    "n_tokens", "ids_crc32"))
+            n = np.diff(offsets).astype(np.int64)
+            inside = np.zeros(len(n), np.int64)
+            split = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+            lo = 0
+            while lo < len(split):
+                hi = lo + 1
+                while hi < len(split) and split[hi] == split[lo]:
+                    hi += 1
+                before = held.get(split[lo], 0)
+                sums = np.cumsum(n[lo:hi])
+                inside[lo:hi] = before + sums - n[lo:hi]
+                held[split[lo]] = before + int(sums[-1])
+                lo = hi
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("file").cast(schema.field(1).type), batch.column("block"),
+                pa.array(inside), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
+
+    rows = tokens.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = written(rows.mapInArrow(run, ddl), "token-rows")
+    totals = rows.groupBy("file", "block").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return rows.join(bases, ["file", "block"]).select(
+        "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

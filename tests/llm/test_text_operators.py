@@ -479,9 +479,48 @@ def test_token_files_equal_tokenizer(spark, docs, frame, empty, tmp):
 
 
 def test_word_cache_keeps_odd_words():
+    import random
+    import pyarrow as pa
     encoder = orc_tokens.Encoder(orc_tokens.default_tokenizer(), cache=4)
-    for text in ["a b ́c", "İstanbul ΣΑΣ", "x<|endoftext|>y don't I'll", "\x1cfoo\x1dbar\x85z", "ÀÉ été, NO?!", "1234 ٣٤ ﬁ", ""]:
-        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.by_word
+    texts = ["a b ́c", "İstanbul ΣΑΣ", "x<|endoftext|>y don't I'll", "\x1cfoo\x1dbar\x85z", "ÀÉ été, NO?!", "1234 ٣٤ ﬁ", "", None, " ",
+             "ß ẞ ÿ Ÿ × ÷ a×b ªº µ", "a.b c., ..d e.f. !", "été ÉTÉ é́", " x　y z w v u t", "日本 語。", "É́"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("aZé.,'ÉÞß×1 \n  ́中") for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    for some in ([t] for t in texts[:15]):
+        assert encoder.encode(pa.array(some, pa.string()))[0].tolist() == encoder.tokenizer.encode(some[0] or "", add_special_tokens=False).ids
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_token_files_of_another_tokenizer(spark, docs, frame):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = orc_tokens.tokenize(frame, tokenizer=path).collect()
+    assert sorted((repr(r.doc_id), r.ids) for r in got) == sorted(
+        (repr(i), library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in docs)
+
+
+def test_starts_are_places_in_the_files(spark, tmp):
+    rows = [(5, f"{'word ' * k}text {k}") for k in range(1, 40)] + [(None, f"no id {k}, {'x ' * k}") for k in range(60)]
+    rows += [(10**15, "one far id"), (6, ""), (6, None), (7, "same"), (7, "same"), (7, "same")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    orc_tokens.write_tokens(frame, f"{tmp}/t", partition_bytes=64)
+    tokens = orc_tokens.read_tokens(spark, f"{tmp}/t")
+    files = tokens.select("doc_id", F.size("ids").cast("long").alias("n"), F.col("_metadata.file_name").alias("f")).collect()
+    assert len({r.f for r in files}) > 5  # rows without an id are in several files
+    want, start = [], 0
+    for f in sorted({r.f for r in files}):
+        for r in (x for x in files if x.f == f):  # a file's rows come in its order
+            want.append((r.doc_id, start, r.n))
+            start += r.n
+    got = orc_tokens.with_starts(tokens).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in got), key=lambda x: x[1:]) == sorted(want, key=lambda x: x[1:])
+    ids = [i for i, _, _ in want]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and len(got) == len(rows)
 
 
 # --- 10: lines ------------------------------------------------------------------------------
