@@ -15,8 +15,9 @@ in 174 of 250 coordinates (99.997 %) are candidates.  In each bucket all members
 (the member that shares most buckets), exactly, on whole shingle multisets.  Only leaders leave
 the bucket; all others, linked or not, meet the next leaders, four times as many in each turn,
 until those left are of one group: no bucket is cut short, members of one group so far are not
-compared again, and copies make no pairs at all.  Later leaders are taken outside the largest
-group of the bucket, which ends when all strangers to that group have led.  Pairs are keys until
+compared again, and copies make no pairs at all.  Leaders of the next turns come from the largest
+group of the bucket, which links most strangers to it by few pairs; then the strangers left lead,
+until none is.  Pairs are keys until
 their signatures, and then their shingles, have to be compared.  A turn's links are closed over
 the groups so far by repeated joins, and its tables go when the next turn's are written; nothing
 about all documents comes to the driver.
@@ -46,8 +47,9 @@ SALTS = 16
 #: Coordinates of 250 that a candidate pair agrees in: 200 are expected at 0.8, and all but
 #: 0.003 % of such pairs have 174 or more, which is less than the bands lose (0.005 %).
 AGREE = 174
-#: Leaders of a bucket in turn t: at most GROWTH ** t.
-GROWTH = 4
+#: Leaders of a bucket in turn t: at most GROWTH ** t; in turns 1 to INSIDE they come from its
+#: largest group, then (GROWTH ** (t - INSIDE) of them) from outside it.
+GROWTH, INSIDE = 4, 3
 #: Rank ranges thrown at a time, and bytes and rows signed at a time.
 RANGES = 1 << 18
 SLICE, SIGNED_ROWS = 1 << 20, 2000
@@ -257,8 +259,11 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Data
     while True:
         # At most ``leads`` leaders a bucket: of each part by hash the one that met the most.
         # Buckets of one group so mostly agree on a leader, and a pair is compared once.
-        leads = GROWTH ** turn
-        leaders = written(members.filter("strange")
+        # Members of the bucket's largest group lead first, as they have strangers alone to meet;
+        # strangers lead against all others once few are left.
+        inside = 0 < turn <= INSIDE
+        leads = GROWTH ** (turn if inside or turn == 0 else turn - INSIDE)
+        leaders = written(members.filter(F.col("strange") != F.lit(inside))
                           .groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leads)).alias("part"))
                           .agg(F.max(F.struct("met", "node", "part_of")).alias("best"))
                           .select("band", "value", F.col("best.node").alias("leader"), F.col("best.part_of").alias("of")), "leaders")
