@@ -53,32 +53,24 @@ def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
 
     ``order`` must be unique within a group (aggregate by value first).
     """
-    groups = list(groups or [])
+    # Without groups all rows are one group: its row of cut points is broadcast all the same.
+    alone = not groups
+    groups = ["_all"] if alone else list(groups)
+    df = df.withColumn("_all", F.lit(0)) if alone else df
     buckets = buckets or range_count(df)
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = F.array_distinct(F.percentile_approx(F.col(order), probs, 10 * buckets)).alias("_cuts")
-    if groups:
-        # One row of cut points per group (e.g. per monitored feature); the
-        # row count is checked before the broadcast.
-        cut_rows = df.groupBy(*groups).agg(cuts)
-        n_groups = cut_rows.count()
-        with_cuts = lookup_join(df, cut_rows, groups, "inner", dim_rows=n_groups)
-        below = _cuts_below(F.col(order), buckets)
-    else:
-        n_groups = 1
-        # A single row of at most ``buckets - 1`` numbers: read it and inline it.
-        row = df.agg(cuts).first()
-        points = [F.lit(float(x)) for x in (row["_cuts"] or [])]
-        with_cuts = df.withColumn("_cuts", F.array(*points) if points else
-                                  F.array().cast("array<double>"))
-        below = _cuts_below(F.col(order).cast("double"), buckets)
+    cuts = F.array_distinct(F.percentile_approx(F.col(order), probs, min(100_000, 10 * buckets))).alias("_cuts")
+    # One row of cut points per group (e.g. per monitored feature); the
+    # row count is checked before the broadcast.
+    cut_rows = df.groupBy(*groups).agg(cuts)
+    n_groups = 1 if alone else cut_rows.count()
+    with_cuts = lookup_join(df, cut_rows, groups, "inner", dim_rows=n_groups)
+    below = _cuts_below(F.col(order), buckets)
     bucketed = with_cuts.withColumn("_bucket", below).drop("_cuts")
 
     keys = groups + ["_bucket"]
     totals = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sums])
-    before = Window.partitionBy(*groups).orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1) if groups else \
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[
         F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums])
     # offsets has at most groups x buckets rows: broadcast under the usual check.
@@ -89,4 +81,4 @@ def exclusive_prefix(df: DataFrame, order: str, sums: list[str],
     for c in sums:
         out = out.withColumn(prefix + c,
                              F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.drop("_bucket", *[f"_off_{c}" for c in sums])
+    return out.drop("_bucket", *[f"_off_{c}" for c in sums], *(groups if alone else []))

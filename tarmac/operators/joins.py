@@ -1,7 +1,7 @@
 """Keyed lookups into small derived dimensions.
 
-A dimension is broadcast only after its row count has been checked against a
-bound; beyond the bound the join stays a shuffle join (and AQE may still turn
+A dimension is broadcast only after its rows, and its rows times the width of
+its schema, have been checked against bounds; beyond them the join stays a shuffle join (and AQE may still turn
 it into a broadcast at run time from the real shuffle sizes).
 """
 
@@ -14,6 +14,8 @@ from tarmac.session import ensure_checkpoint_dir
 
 # About 1M narrow rows is a few tens of MB per executor: safe to replicate.
 MAX_BROADCAST_ROWS = 1_000_000
+# Rows by the types' default widths (20 bytes a text, one element an array).
+MAX_BROADCAST_BYTES = 256 << 20
 
 
 def materialize(dim: DataFrame) -> tuple[DataFrame, int]:
@@ -32,7 +34,7 @@ def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left",
                 max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Left (or inner) equi-join to a dimension, broadcast if its size is proven small."""
     n = dim.count() if dim_rows is None else dim_rows
-    if n <= max_rows:
+    if n <= max_rows and n * int(dim._jdf.schema().defaultSize()) <= MAX_BROADCAST_BYTES:
         dim = F.broadcast(dim)
     return df.join(dim, on, how)
 

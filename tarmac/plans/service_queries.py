@@ -311,3 +311,143 @@ def contract_counts(spark, sf):
     counts = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in there])).alias("v"))
     return column_contract(raw).join(counts.select("v.*"), "column_name", "left").select(
         "column_name", "present", F.coalesce("n", F.lit(0)).alias("values_read"))
+
+
+# --- model jobs against DuckDB (H6, H7, H8, H10, K1, K2, G5, G8, G9) ------------------------
+
+#: A linear model with declared coefficients: its scores have a SQL form.
+DECLARED = {"DepDelay": 0.05, "dep_delay_flag": 0.7, "dep_hour": 0.02, "is_weekend": 0.1, "log_distance": 0.08, "season_winter": 0.2,
+            "origin_freq": 3.0, "carrier_encoded": -0.01}
+DECLARED_INTERCEPT = -2.0
+_MARGIN = f"({DECLARED_INTERCEPT}e0 + " + " + ".join(f"{w}e0 * {c}" for c, w in DECLARED.items()) + ")"
+
+
+def _declared_model(spark):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.linalg import Vectors
+    from tarmac.plans.features import FEATURES
+    from pyspark.ml.common import _py2java
+    weights = _py2java(spark.sparkContext, Vectors.dense([DECLARED.get(c, 0.0) for c in FEATURES]))
+    return LogisticRegressionModel(spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        "declared", weights, DECLARED_INTERCEPT))
+
+
+def _no_scaling():
+    from tarmac.operators.encoders import ScalerModel
+    from tarmac.plans.features import FEATURES
+    return ScalerModel(list(FEATURES), [0.0] * len(FEATURES), [1.0] * len(FEATURES))
+
+
+def _exact_features_sql(body: str) -> str:
+    """Request features without the rounding of ``request_features``."""
+    return Q._request_features_sql().replace("round(ln(1 + distance), 9)", "ln(1 + distance)").replace(
+        "SELECT request_id, month AS Month", ", rf AS (SELECT request_id, month AS Month", 1) + ")" + body
+
+
+_DECLARED_SQL = _exact_features_sql(f"""
+, p AS (SELECT request_id, 1e0 / (1e0 + exp(-{_MARGIN})) AS p FROM rf)
+SELECT request_id, CASE WHEN p > 0.5 THEN '{K.DELAYED_LABEL}' ELSE '{K.ON_TIME_LABEL}' END AS prediction_label,
+  round(p, 4) AS delay_probability, CAST(p > 0.5 AS INT) AS is_delayed, round(greatest(p, 1 - p), 4) AS confidence FROM p""")
+_DECLARED_COLUMNS = ["request_id", "prediction_label", "delay_probability", "is_delayed", "confidence"]
+
+
+@register("score_declared", _DECLARED_SQL)
+def score_declared(spark, sf):
+    """H8: the scoring job with a linear model of declared coefficients."""
+    from tarmac.plans.features import FEATURES
+    from tarmac.plans.scoring import score_requests
+    scored, _ = score_requests(T.score_requests(spark, sf), _declared_model(spark), "LogisticRegression", _no_scaling(),
+                               list(FEATURES), Q.category_model(spark, sf))
+    return scored.select(*_DECLARED_COLUMNS)
+
+
+@register("stream_score_declared", _DECLARED_SQL)
+def stream_score_declared(spark, sf):
+    """K1: the scoring stream with the same declared model, saved and loaded."""
+    from tarmac.plans.features import FEATURES
+    from tarmac.plans.training import Prepared, save_artifacts
+    from tarmac.streaming.scoring import run_scoring_stream
+    root = shared_path(spark, "declared-model", unique=True)
+    _declared_model(spark).save(f"{root}/model")
+    save_artifacts(spark, root, Prepared(None, list(FEATURES), _no_scaling(), {}, 0, 0))
+    spark.createDataFrame([("LogisticRegression", f"{root}/model")], "model string, path string").write.json(f"{root}/best")
+    base = Q._stage_requests(spark, sf)
+    run_scoring_stream(spark, f"{base}/requests", f"{base}/scored", f"{base}/ckpt", root, Q.category_model(spark, sf)).awaitTermination()
+    return spark.read.parquet(f"{base}/scored").select(*_DECLARED_COLUMNS)
+
+
+@register("attributions_declared", _exact_features_sql(f"""
+SELECT request_id, {DECLARED_INTERCEPT}e0 AS base, round({_MARGIN}, 9) AS margin, round(0.05e0 * DepDelay, 9) AS of_delay FROM rf"""))
+def attributions_declared(spark, sf):
+    """H10 (linear): base, margin and one contribution of the declared model."""
+    from pyspark.ml.feature import VectorAssembler
+    from tarmac.operators.attributions import linear_attributions
+    from tarmac.operators.requests import split_valid
+    from tarmac.plans.features import FEATURES, serving_features
+    valid, _ = split_valid(T.score_requests(spark, sf))
+    x = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+        serving_features(valid, "fitted", Q.category_model(spark, sf)))
+    found = linear_attributions(x, _declared_model(spark))
+    return found.select("request_id", "base", F.round("margin", 9).alias("margin"),
+                        F.round(F.col("contributions")[list(FEATURES).index("DepDelay")], 9).alias("of_delay"))
+
+
+_HELD = f"SELECT * FROM (SELECT is_delayed, {Q._HASH_SQL} AS is_test FROM cf) WHERE is_test = 1"
+
+
+@register("evaluate_supports", O.flights_sql(f"""
+, t AS ({_HELD}), n AS (SELECT count(*) FILTER (WHERE is_delayed = 0) AS n0, count(*) FILTER (WHERE is_delayed = 1) AS n1 FROM t)
+SELECT 'On-Time' AS class, n0 AS support FROM n UNION ALL SELECT 'Delayed', n1 FROM n
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), n0 + n1 FROM n"""))
+def evaluate_supports(spark, sf):
+    """H7: the evaluation job judges the very rows that training held out."""
+    return Q.evaluate_model(spark, sf).select("class", "support")
+
+
+@register("train_rows", O.flights_sql(f"""
+SELECT count(*) FILTER (WHERE is_test = 0) AS train, count(*) FILTER (WHERE is_test = 1) AS held_out,
+  3 AS models, 1 AS best, true AS better_than_always
+FROM (SELECT is_delayed, {Q._HASH_SQL} AS is_test FROM cf)"""))
+def train_rows(spark, sf):
+    """Rows of the fits, one best of three models, each better than "always delayed"."""
+    res, _root, _cats, _proc = Q.trained(spark, sf)
+    rate = F.lit(res.prepared.data.filter("is_test = 1").agg(F.avg("label")).first()[0])
+    return res.comparison.agg(
+        F.lit(res.prepared.n_train).cast("long").alias("train"), F.lit(res.prepared.n_test).cast("long").alias("held_out"),
+        F.count(F.lit(1)).cast("int").alias("models"), F.count_if("best").cast("int").alias("best"),
+        F.bool_and(F.col("f1_score") > 2 * rate / (1 + rate)).alias("better_than_always"))
+
+
+@register("stream_log_counts", Q.req_sql("""
+SELECT count(*) FILTER (WHERE reasons = '') AS total_predictions, count(*) FILTER (WHERE reasons <> '') AS quarantined FROM chk"""))
+def stream_log_counts(spark, sf):
+    """K2: how many rows the log stream appended and quarantined."""
+    return Q.stream_log(spark, sf).select("total_predictions", "quarantined")
+
+
+@register("importance_shares", O.flights_sql("SELECT 24 AS features, true AS add_up, count(*) > 0 AS trained FROM cf"))
+def importance_shares(spark, sf):
+    """The forest's importances are shares of one over all features of the table."""
+    from tarmac.plans.scoring import importances
+    model, feats = Q._forest(spark, sf)
+    return importances(spark, model, feats).agg(
+        F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("add_up"),
+        (F.max("importance") > 0).alias("trained"))
+
+
+@register("best_of_runs", """
+SELECT md5(CAST(s_suppkey AS VARCHAR)) AS run_id, 'run of ' || s_name AS run_name FROM supplier
+ORDER BY round(s_acctbal, 2) DESC NULLS LAST, s_suppkey, run_id LIMIT 1""")
+def best_of_runs(spark, sf):
+    """A14 + G8: run rows appended in two parts, the best by F1 (ties: earliest start)."""
+    from tarmac.plans.runs import RUNS_SCHEMA, best_run, read_runs
+    path = shared_path(spark, "runs", unique=True)
+    start = F.timestamp_millis(F.lit(1772323200000) + F.col("s_suppkey") * 1000)
+    text = F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string"))
+    rows = T.table(spark, sf, "supplier").select(
+        F.md5(F.col("s_suppkey").cast("string")).alias("run_id"), F.concat(F.lit("run of "), "s_name").alias("run_name"),
+        start.alias("start_time"), start.alias("end_time"), text.alias("params"),
+        F.create_map(F.lit("f1_score"), F.round("s_acctbal", 2).cast("double")).alias("metrics"), text.alias("tags"))
+    for odd in (0, 1):
+        rows.filter(F.pmod(F.crc32(F.col("run_id").cast("binary")), F.lit(2)) == odd).write.mode("append").parquet(path)
+    return best_run(read_runs(spark, path)).select("run_id", "run_name")
