@@ -8,7 +8,7 @@ hypotheses that belong to the N best paths are ever expanded.
 
 No piece crosses from a character to a following blank (checked when the model is read), nor
 covers a newline, so the lattice of a text falls into units: blanks with the word after them,
-and newlines.  Units repeat: each distinct one of a task has its forward pass once, many at a
+and newlines.  Units repeat: each distinct one has its forward pass once a worker, many at a
 time in numpy, with a backward pass that tells how much its second-best path loses.  The N
 best paths of a text can differ from the best one only in the N - 1 units that lose least, so
 these are searched (a front of at most N hypotheses a unit) and the N best paths of the text
@@ -465,27 +465,37 @@ class UnitCache:
                 np.array(self.scores, np.float64), np.array(self.loss, np.float64))
 
 
+_CACHES: dict[tuple[str, int], UnitCache] = {}
+
+
+def cache_for(path: str, most: int) -> UnitCache:
+    """One model and its units a worker process: they serve the next task too."""
+    if (path, most) not in _CACHES:
+        _CACHES[path, most] = UnitCache(Lexicon(path), most)
+    return _CACHES[path, most]
+
+
 ENCODED = ("doc_id long, ids array<int>, n_pieces long, score double, "
            "n_best array<struct<score:double,n_pieces:int,changes:array<struct<unit:int,ids:array<int>>>>>, "
            "decoded boolean")
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = 3,
-                     id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000) -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", cache: int = 700_000) -> DataFrame:
     """doc_id, ids of the best path, n_pieces, score, n_best, decoded (ids give back the text).
 
     Each of ``n_best`` has its score, its number of pieces and where it differs from the best
     path: the unit's place in the text and the ids there.  ``cache`` bounds the distinct units
-    that a task remembers.
+    that a worker remembers.
     """
     path = model or default_model()
     schema = arrow_schema(ENCODED)
 
     def run(batches):
-        lex = Lexicon(path)
-        units_of = UnitCache(lex, cache)
+        units_of = cache_for(path, cache)
+        lex = units_of.lex
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = [None if x is None else x.encode() for x in part.column("text").to_pylist()]
                 cut = [text_units(x) for x in texts]
                 at = units_of.numbers(cut)
