@@ -16,7 +16,9 @@ the size of the table.  Everything else covers whole texts of all rows.
 Defined results: null and empty texts have no words and get the score of no evidence; labels
 that are null, or of ids without a document, are left out; an id with several labels counts
 as toxic if one says so; with a single class in training the score is its share for all; rows
-are scored independently, so repeated rows repeat their result; extra columns are ignored.
+are scored independently, so repeated rows repeat their result; a null doc_id is not held out, as
+its remainder is unknown; lines of any length are tagged whole, but the field is trained on pieces
+of 64 words, so no transition is learned across their cuts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.inputs import keyed_text, slices, table, with_results, written
 
-SAMPLE = 4000
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 PREFIXES = (3, 4, 5, 6)
 #: Lower-case A-Z, keep letters, digits, non-ASCII bytes and newlines; the rest parts words.
 _TABLE = bytes(10 if i == 10 else (i + 32 if 65 <= i <= 90 else i)
@@ -283,19 +285,21 @@ def fit(texts: list[bytes], labels: np.ndarray, weight: np.ndarray | None = None
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Tagger:
-    """Fit on at most ``sample`` labelled rows a class whose crc32(id) mod folds is not 0, weighted
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, sample_bytes: int = SAMPLE_BYTES) -> Tagger:
+    """Fit on at most ``sample`` labelled rows and ``sample_bytes`` of text (and one text more) a class whose crc32(id) mod folds is not 0, weighted
     to the shares of the classes among all such rows."""
     marked = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
               .filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")))
     marked = marked.filter(held_out(F.col("id"), folds) != 0)
     texts = keyed_text(docs)
-    times = texts.groupBy("doc_id").agg(F.count("*").alias("n"))
-    present = written(marked.join(times, F.col("doc_id") == F.col("id")).select("id", "label", "n"), "labelled")
+    times = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    present = written(marked.join(times, F.col("doc_id") == F.col("id")).select("id", "label", "n", "bytes"), "labelled")
     total = {r["label"]: r["n"] for r in present.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     rows = []
     for label in (1, 0):
-        chosen = present.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
+        chosen = present.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
+        before = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id")) - F.col("bytes")  # of at most ``sample`` rows
+        chosen = chosen.withColumn("before", before).filter(F.col("before") < sample_bytes).select("id")
         some = (texts.join(chosen, F.col("doc_id") == F.col("id"))
                 .select("doc_id", F.lit(label).alias("label"), F.coalesce("text", F.lit("")).alias("text")))
         # An id may have several rows.
@@ -352,5 +356,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return annotate(docs.select("doc_id", "text"), model).select(
-        "doc_id", (held_out(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        "doc_id", F.coalesce(held_out(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "top_marginal", "toxic_words", "spans")

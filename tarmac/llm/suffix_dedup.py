@@ -225,4 +225,5 @@ def remove_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+    found = remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+    return found.withColumn("has_repeats", F.col("n_removed") > 0)

@@ -350,6 +350,22 @@ def test_crf_learns_and_handles_edges(spark, empty):
     assert crf.annotate(empty, nothing).collect() == []
 
 
+def test_crf_sample_is_bounded_in_bytes_and_null_ids_are_not_held_out(spark, tmp, monkeypatch):
+    rows = [(i, ("bad word here " if i % 2 else "good plain text ") * 50) for i in range(40)] + [(None, "bad word here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    taken = []
+    fit = crf.fit
+    monkeypatch.setattr(crf, "fit", lambda texts, *a: taken.append(len(texts)) or fit(texts, *a))
+    crf.train(docs, labels, sample_bytes=3 * len(rows[0][1]))
+    crf.train(docs, labels)
+    assert taken[0] <= 8 and taken[1] > 25
+    docs.write.parquet(f"{tmp}/documents.parquet")
+    labels.write.parquet(f"{tmp}/labels.parquet")
+    got = {r.doc_id: r.held_out for r in crf.query(spark, tmp).collect()}
+    assert got[None] is False and got[3] == (zlib.crc32(b"3") % 5 == 0)
+
+
 def test_crf_capped_sample_keeps_class_shares(spark):
     rng = np.random.default_rng(6)
     plain = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
