@@ -23,7 +23,8 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under one half (the model learns from all labels)."""
+    """Documents with a toxicity score under one half (the model learns from the labels of four
+    folds of five, as op7 does)."""
     model = crf.train(docs, table(spark, sf_dir, "labels"))
     return _documents(crf.annotate(docs, model).filter("score < 0.5"))
 
@@ -46,7 +47,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document that is left, its N best paths and the decoding check."""
+    """The piece ids of each document that is left, its N best paths and the decoding check.
+
+    Rows that share an id keep a row each.  The default model's scores are merge ranks, so the
+    best path is that of the lattice and not the merge order of the model's own library.
+    """
     return pieces.encode_documents(docs)
 
 
