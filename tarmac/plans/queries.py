@@ -42,9 +42,8 @@ def delay_rate_by_hour(spark, sf):
     return A.delay_rate_by(cleaned(spark, sf), "dep_hour")
 
 
-@register("delay_rate_by_month", O.flights_sql("""
-SELECT Month, round(avg(is_delayed), 9) AS delay_rate, count(*) AS flights,
-  ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][Month] AS month_name
+@register("delay_rate_by_month", O.flights_sql(f"""
+SELECT Month, round(avg(is_delayed), 9) AS delay_rate, count(*) AS flights, {K.MONTH_NAMES}[Month] AS month_name
 FROM cf GROUP BY Month"""))
 def delay_rate_by_month(spark, sf):
     return A.delay_rate_by_month(cleaned(spark, sf))
@@ -181,14 +180,13 @@ def clamp_minutes(spark, sf):
                                            "ArrDelay", "ArrDelayMinutes")
 
 
-_RISK_SQL = """round(least(greatest(0.20e0
-  + coalesce(CASE Reporting_Airline WHEN 'AA' THEN 0.02e0 WHEN 'DL' THEN -0.03e0
-      WHEN 'UA' THEN 0.01e0 WHEN 'WN' THEN 0.03e0 WHEN 'B6' THEN 0.04e0 WHEN 'AS' THEN -0.02e0
-      WHEN 'NK' THEN 0.06e0 WHEN 'F9' THEN 0.05e0 WHEN 'G4' THEN 0.07e0 WHEN 'HA' THEN -0.04e0 END, 0e0)
-  + CASE WHEN dep_hour BETWEEN 14 AND 20 THEN 0.08e0 ELSE 0e0 END
-  + CASE WHEN dep_hour < 9 THEN -0.05e0 ELSE 0e0 END
-  + CASE WHEN Month IN (6, 7, 8, 12) THEN 0.05e0 ELSE 0e0 END
-  + CASE WHEN DayOfWeek >= 6 THEN 0.02e0 ELSE 0e0 END, 0.05e0), 0.50e0), 9)"""
+_RISK_SQL = (
+    f"round(least(greatest({K.RISK_BASE}e0 + coalesce(CASE Reporting_Airline "
+    + " ".join(f"WHEN '{c}' THEN {x}e0" for c, x in K.CARRIER_RISK.items()) + " END, 0e0)"
+    + f" + CASE WHEN dep_hour BETWEEN 14 AND 20 THEN {K.RISK_AFTERNOON}e0 ELSE 0e0 END"
+    + f" + CASE WHEN dep_hour < 9 THEN {K.RISK_EARLY}e0 ELSE 0e0 END"
+    + f" + CASE WHEN Month IN ({', '.join(map(str, K.RISK_PEAK_MONTHS))}) THEN {K.RISK_PEAK}e0 ELSE 0e0 END"
+    + f" + CASE WHEN DayOfWeek >= 6 THEN {K.RISK_WEEKEND}e0 ELSE 0e0 END, {K.RISK_CLIP[0]}e0), {K.RISK_CLIP[1]}e0), 9)")
 
 
 @register("risk_score", O.flights_sql(f"""

@@ -282,8 +282,8 @@ def aligned_columns(spark, sf):
         F.count(F.lit(1)).alias("flights"))
 
 
-@register("weekday_names", O.flights_sql("""
-SELECT DayOfWeek, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][DayOfWeek] AS weekday, count(*) AS flights FROM cf GROUP BY ALL"""))
+@register("weekday_names", O.flights_sql(f"""
+SELECT DayOfWeek, {K.WEEKDAY_NAMES}[DayOfWeek] AS weekday, count(*) AS flights FROM cf GROUP BY ALL"""))
 def weekday_names(spark, sf):
     """Weekday names."""
     from tarmac.functions import columns as X

@@ -123,6 +123,7 @@ def test_ks_matches_brute_force(spark, sf):
     assert d == pytest.approx(round(brute, 6), abs=1e-12)
 
 
+# --- Fixed values: rows of a prediction log, as the original platform writes them ---
 GOLDEN_LOG = [
     (dt.datetime(2026, 3, 1, 0, 10, 15, 52721), "AA", "JFK", "LAX", 7, 14, 2475, 5.0, 0, 0.1434),
     (dt.datetime(2026, 3, 1, 0, 40, 32, 535122), "AS", "LAX", "CLT", 5, 9, 2432, 0.0, 0, 0.0097),
