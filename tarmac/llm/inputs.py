@@ -102,6 +102,7 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
         end = min(n, max(end, start + 1))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 # --- 64-bit hashes of all words (or byte windows) of a buffer, in numpy ------------------
@@ -133,7 +134,7 @@ class PrefixHash:
     """Polynomial hashes of substrings: ``of(starts, ends)`` after one pass over the bytes.
 
     ``seed`` chooses the values of bytes, and the base too unless one is shared: the powers of a
-    base are kept, 64 MB for a buffer of 4 MB.
+    base are kept, 16 MB for a buffer of 1 MB, 80 MB at most.
     """
 
     _tables: dict = {}
@@ -147,7 +148,7 @@ class PrefixHash:
         if kept is None or len(kept[0]) <= n:
             size = max(n + 1, 1 << 16)
             kept = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
-            if size <= 9 << 20:
+            if size <= 5 << 20:
                 self._tables[base_seed] = kept
         self.inverse = kept[1]
         self.sums = np.zeros(n + 1, np.uint64)

@@ -33,7 +33,7 @@ from tarmac.llm.inputs import arrow_schema, input_bytes, keyed_text, raw_bytes,
 from tarmac.session import shared_path
 
 END_ID = 2
-SLICE = 2 << 20  # bytes of text encoded at a time
+SLICE = 6 << 20  # bytes of text encoded at a time
 #: Fixed rules of the default file, under which words can be encoded one by one.
 RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -52,6 +52,7 @@ _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
 _CLASS[list(MARKS)] = MARK
+_WIDE_LEAD = np.isin(np.arange(256), sorted({x.encode()[0] for x in WIDE_SPACE}))
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
 
@@ -68,13 +69,14 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     kind[lead] = kind[lead + 1] = LETTER
     upper = lead[second < 0x9F]
     low[upper + 1] += 0x20
-    if (data >= 0x80).any():
-        for c in (x.encode() for x in WIDE_SPACE):
-            at = np.flatnonzero(data[:len(data) - len(c) + 1] == c[0])
-            for k in range(1, len(c)):
-                at = at[data[at + k] == c[k]]
-            for k in range(len(c)):
-                kind[at + k] = SPACE
+    # White space of two or three bytes, among the bytes that can begin it.
+    begins = np.flatnonzero(_WIDE_LEAD[data])
+    for c in (x.encode() for x in WIDE_SPACE if len(begins)):
+        at = begins[(begins + len(c) <= len(data)) & (data[begins] == c[0])]
+        for k in range(1, len(c)):
+            at = at[data[at + k] == c[k]]
+        for k in range(len(c)):
+            kind[at + k] = SPACE
     start, end = spans(kind != SPACE, offsets)
     if len(start) == 0:
         return data[:0], start, end
@@ -107,7 +109,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts; under the known rules by a cache of pieces of words."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -129,24 +131,26 @@ class Encoder:
         self.pieces: dict[bytes, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
-    def _add(self, piece: bytes, ids) -> None:
-        self.pieces[piece] = len(self.ends) - 1
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-
     def _learn(self, pieces: list[bytes]) -> None:
-        odd = []
+        odd, known, flat, ends, tokenize = [], self.pieces, self.flat, self.ends, self.model.tokenize
         for p in pieces:
-            text = p.decode()
-            # The model knows bytes by letters of its own.
-            if LETTERS.fullmatch(p):
-                self._add(p, [t.id for t in self.model.tokenize(text.translate(self.letters))])
+            # Lower-case letters; the model knows bytes by letters of its own, ASCII by itself.
+            if p.isalpha() and p.islower():
+                tokens = tokenize(p.decode())
+            elif LETTERS.fullmatch(p):
+                tokens = tokenize(p.decode().translate(self.letters))
             else:
-                odd.append((p, text))
+                odd.append(p)
+                continue
+            known[p] = len(ends) - 1
+            flat.extend([t.id for t in tokens])
+            ends.append(len(flat))
         for lo in range(0, len(odd), 20_000):
             some = odd[lo:lo + 20_000]
-            for (p, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
-                self._add(p, e.ids)
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                known[p] = len(ends) - 1
+                flat.extend(e.ids)
+                ends.append(len(flat))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts in turn, and how many each text has."""
