@@ -11,15 +11,12 @@ a shingle and all documents about the same number; the few that leave a coordina
 search on.
 
 Bands of the signature are joined; texts that share a band (99.99 % of pairs at 0.8) and agree
-in 174 of 250 coordinates (99.997 %) are candidates.  In each bucket all members are compared with a leader
-(the member that shares most buckets), exactly, on whole shingle multisets.  Only leaders leave
-the bucket; all others, linked or not, meet the next leaders, four times as many in each turn,
-until those left are of one group: no bucket is cut short, members of one group so far are not
-compared again, and copies make no pairs at all.  Leaders of the next turns come from the largest
-group of the bucket, which links most strangers to it by few pairs; then the strangers left lead,
-until none is.  Pairs are keys until
-their signatures, and then their shingles, have to be compared.  A turn's links are closed over
-the groups so far by repeated joins, and its tables go when the next turn's are written; nothing
+in 174 of 250 coordinates (99.997 %) are candidates, compared exactly on whole shingle multisets.
+First a few leaders of each bucket meet all its members: the member that shares most buckets,
+then members of the bucket's largest group, which links most of a group of many by few pairs, and
+copies make no pairs at all.  What is left are strangers, members outside the largest group of
+their bucket: each is compared with all members of other groups, block by block inside tasks, and
+only links come out.  A turn's links are closed over the groups so far by repeated joins; nothing
 about all documents comes to the driver.
 
 Defined results: texts with the same word sequence are one node whatever their number (a
@@ -47,9 +44,10 @@ SALTS = 16
 #: Coordinates of 250 that a candidate pair agrees in: 200 are expected at 0.8, and all but
 #: 0.003 % of such pairs have 174 or more, which is less than the bands lose (0.005 %).
 AGREE = 174
-#: Leaders of a bucket in turn t: at most GROWTH ** t; in turns 1 to INSIDE they come from its
-#: largest group, then (GROWTH ** (t - INSIDE) of them) from outside it.
-GROWTH, INSIDE = 4, 3
+#: Turns in which leaders meet their buckets, and leaders of a bucket in turn t (GROWTH ** t).
+TURNS, GROWTH = 2, 4
+#: Strangers and members of a task's blocks after that, and bytes of cells of either.
+BLOCK, BLOCK_BYTES = (512, 2048), 16 << 20
 #: Rank ranges thrown at a time, and bytes and rows signed at a time.
 RANGES = 1 << 18
 SLICE, SIGNED_ROWS = 1 << 20, 2000
@@ -188,6 +186,15 @@ def _multisets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the weighted Jaccard similarity of two sorted multisets of cells is high enough."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= threshold * (len(both) - shared)
+
+
 def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the pairs (a, b, a_cells, b_cells) that are similar enough."""
     ddl = "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>"
@@ -196,12 +203,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("a_cells"), batch.column("b_cells"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = shared >= threshold * (len(both) - shared)
+                keep[i] = _alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, ddl)
@@ -230,6 +232,63 @@ def components(edges: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _strangers(members: DataFrame, texts: DataFrame, split, spread, threshold: float) -> DataFrame:
+    """(a, b): links of the strangers of each bucket (members outside its largest group) to any
+    other member, compared block by block inside tasks, so that only links come out.
+
+    ``members`` is (band, value, node, part_of, strange), ``texts`` (node, bands, darts, cells).  A
+    task holds a block of strangers and a block of members, bounded in rows and bytes.
+    """
+    weigh = members.join(texts.select("node", F.octet_length("cells").alias("bytes")), "node")
+    sizes = weigh.groupBy("band", "value").agg(
+        F.greatest(F.ceil(F.count_if("strange") / BLOCK[0]),
+                   F.ceil(F.sum(F.when(F.col("strange"), F.col("bytes"))) / BLOCK_BYTES)).cast("int").alias("left_blocks"),
+        F.greatest(F.ceil(F.count("*") / BLOCK[1]), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("right_blocks"))
+    placed = split(members).join(spread(sizes.filter("left_blocks > 0")), ["band", "value", "salt"])
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = placed.filter("strange").select("band", "value", block("left_blocks").alias("i"), every("right_blocks").alias("j"),
+                                            F.lit(True).alias("left"), "node", "part_of", "strange")
+    rights = placed.select("band", "value", every("left_blocks").alias("i"), block("right_blocks").alias("j"),
+                           F.lit(False).alias("left"), "node", "part_of", "strange")
+    units = lefts.unionByName(rights).join(texts.select("node", "bands", "darts", "cells"), "node")
+    ddl = "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>"
+    schema = arrow_schema(ddl)
+
+    def run(rows: pa.Table) -> pa.Table:
+        left = rows.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        one, other = np.flatnonzero(left), np.flatnonzero(~left)
+        pair = lambda c: np.stack([c.combine_chunks().field(k).to_numpy() for k in ("k1", "k2")], axis=1)
+        node, part = pair(rows.column("node")), pair(rows.column("part_of"))
+        strange = rows.column("strange").to_numpy(zero_copy_only=False).astype(bool)
+        wide = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(left), -1)
+        darts, bands, band = wide("darts"), wide("bands"), rows.column("band")[0].as_py()
+        cells = rows.column("cells")
+        kept: dict[int, np.ndarray] = {}
+
+        def cell(i):
+            if i not in kept:
+                kept[i] = np.frombuffer(cells[i].as_buffer(), np.uint64)
+            return kept[i]
+
+        found = []
+        for x in one if len(other) else ():
+            to = other[(part[other] != part[x]).any(axis=1)]
+            # Two strangers meet in both orders: the smaller key leads.
+            less = (node[x, 0] < node[to, 0]) | ((node[x, 0] == node[to, 0]) & (node[x, 1] < node[to, 1]))
+            to = to[~strange[to] | less]
+            to = to[(darts[to] == darts[x]).sum(axis=1) >= AGREE]
+            # In the first band that they share.
+            to = to[np.argmax(bands[to] == bands[x], axis=1) == band] if len(to) else to
+            for y in to:
+                found += [(x, y)] if _alike(cell(x), cell(y), threshold) else []
+        a, b = np.array([p[0] for p in found], np.int64), np.array([p[1] for p in found], np.int64)
+        take = lambda at: rows.column("node").combine_chunks().take(pa.array(at)).cast(schema.field(0).type)
+        return pa.table([take(a), take(b)], schema=schema)
+
+    return units.groupBy("band", "value", "i", "j").applyInArrow(run, ddl)
+
+
 def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     docs = keyed_text(df, id_col, text_col)
     signed = written(sign(docs), "signatures")
@@ -249,37 +308,40 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Data
                       .withColumn("part_of", F.col("node")).withColumn("strange", F.lit(True)), "buckets")
     dropped(shared)
     # Darts and cells of the texts that meet any other.
-    darts = written(texts.join(wanted.select("node"), "node", "left_semi").select("node", "rep", "darts"), "darts")
+    darts = written(texts.join(wanted.select("node"), "node", "left_semi").select("node", "rep", "bands", "darts"), "darts")
     found = docs.join(darts.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     cells = (_multisets(found).dropDuplicates(["k1", "k2"])
              .select(node, "cells").join(wanted.select("node"), "node", "left_semi"))
     cells = written(cells, "cells")
     dropped(texts)
-    groups, turn = None, 0
-    while True:
-        # At most ``leads`` leaders a bucket: of each part by hash the one that met the most.
-        # Buckets of one group so mostly agree on a leader, and a pair is compared once.
-        # Members of the bucket's largest group lead first, as they have strangers alone to meet;
-        # strangers lead against all others once few are left.
-        inside = 0 < turn <= INSIDE
-        leads = GROWTH ** (turn if inside or turn == 0 else turn - INSIDE)
-        leaders = written(members.filter(F.col("strange") != F.lit(inside))
-                          .groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leads)).alias("part"))
-                          .agg(F.max(F.struct("met", "node", "part_of")).alias("best"))
-                          .select("band", "value", F.col("best.node").alias("leader"), F.col("best.part_of").alias("of")), "leaders")
-        # Keys of pairs alone; their darts, then the cells of those that agree, come by joins that
-        # the adaptive skew join splits by size.
-        pairs = (split(members).join(spread(leaders), ["band", "value", "salt"]).filter("part_of != of")
-                 .select("node", "leader").distinct())
-        of = lambda t, key, what, name: t.select(F.col("node").alias(key), F.col(what).alias(name))
-        alike = F.size(F.filter(F.zip_with("a_darts", "b_darts", lambda x, y: x == y), lambda x: x))
-        pairs = (pairs.join(of(darts, "leader", "darts", "b_darts"), "leader").join(of(darts, "node", "darts", "a_darts"), "node")
-                 .filter(alike >= AGREE).select("node", "leader"))
-        pairs = (pairs.join(of(cells, "leader", "cells", "b_cells"), "leader").join(of(cells, "node", "cells", "a_cells"), "node")
-                 .select(F.col("node").alias("a"), F.col("leader").alias("b"), "a_cells", "b_cells"))
-        similar = written(_verify(pairs, threshold), "similar")
-        # Leaders have met their whole bucket and leave it; who is linked to one may link others.
-        members_left = members.join(leaders.select("band", "value", F.col("leader").alias("node")), ["band", "value", "node"], "left_anti")
+    groups = None
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            # At most ``leads`` leaders a bucket: of each part by hash the one that met the most,
+            # from the bucket's largest group once there is one: they have strangers alone to meet.
+            # Buckets of one group so mostly agree on a leader, and a pair is compared once.
+            leaders = written(members.filter("NOT strange" if turn else "true")
+                              .groupBy("band", "value", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH ** turn)).alias("part"))
+                              .agg(F.max(F.struct("met", "node", "part_of")).alias("best"))
+                              .select("band", "value", F.col("best.node").alias("leader"), F.col("best.part_of").alias("of")), "leaders")
+            # Keys of pairs alone; their darts, then the cells of those that agree, come by joins that
+            # the adaptive skew join splits by size.
+            pairs = (split(members).join(spread(leaders), ["band", "value", "salt"]).filter("part_of != of")
+                     .select("node", "leader").distinct())
+            of = lambda t, key, what, name: t.select(F.col("node").alias(key), F.col(what).alias(name))
+            alike = F.size(F.filter(F.zip_with("a_darts", "b_darts", lambda x, y: x == y), lambda x: x))
+            pairs = (pairs.join(of(darts, "leader", "darts", "b_darts"), "leader").join(of(darts, "node", "darts", "a_darts"), "node")
+                     .filter(alike >= AGREE).select("node", "leader"))
+            pairs = (pairs.join(of(cells, "leader", "cells", "b_cells"), "leader").join(of(cells, "node", "cells", "a_cells"), "node")
+                     .select(F.col("node").alias("a"), F.col("leader").alias("b"), "a_cells", "b_cells"))
+            similar = written(_verify(pairs, threshold), "similar")
+        else:
+            similar = written(_strangers(members, darts.join(cells, "node"), split, spread, threshold), "similar")
+        if turn == TURNS:
+            members_left = members
+        else:
+            # Leaders have met their whole bucket and leave it; who is linked to one may link others.
+            members_left = members.join(leaders.select("band", "value", F.col("leader").alias("node")), ["band", "value", "node"], "left_anti")
         if not similar.isEmpty():
             # New links join groups, so only roots of groups are closed again.
             if groups is not None:
@@ -298,6 +360,9 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Data
                 dropped(before)
             members_left = (members_left.join(on_root.withColumnRenamed("root", "part_of"), "part_of", "left")
                             .withColumn("part_of", F.coalesce("new_root", "part_of")))
+        if turn == TURNS:
+            dropped(similar)
+            break
         members_left = members_left.select("band", "value", "node", "met", "part_of")
         # Buckets whose members are of one group have no link to give.
         largest = (members_left.groupBy("band", "value", "part_of").agg(F.count("*").alias("n"))
@@ -307,9 +372,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Data
             "band", "value", "node", "met", "part_of", (F.col("part_of") != F.col("largest")).alias("strange")), "buckets")
         for t in (members, leaders, similar):
             dropped(t)
-        members, turn = left, turn + 1
-        if members.isEmpty():
-            break
+        members = left
     for t in (members, darts, cells, wanted):
         dropped(t)
     if groups is None:
