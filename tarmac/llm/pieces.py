@@ -8,7 +8,7 @@ hypotheses that belong to the N best paths are ever expanded.
 
 No piece crosses from a character to a following blank (checked when the model is read), nor
 covers a newline, so the lattice of a text falls into units: blanks with the word after them,
-and newlines.  Units repeat: each distinct one has its forward pass once a worker, many at a
+and newlines.  Units repeat: each distinct one of a task has its forward pass once, many at a
 time in numpy, with a backward pass that tells how much its second-best path loses.  The N
 best paths of a text can differ from the best one only in the N - 1 units that lose least, so
 these are searched (a front of at most N hypotheses a unit) and the N best paths of the text
@@ -104,15 +104,15 @@ class Lexicon:
 
 def _groups(units: list[bytes], cells: int):
     """Numbers of units of about one length, as many as ``cells`` lattice cells allow."""
-    order = sorted(range(len(units)), key=lambda i: len(units[i]))
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(lengths, kind="stable")
+    lengths = lengths[order]
     start = 0
     while start < len(order):
-        longest = len(units[order[start]]) + 2
+        longest = int(lengths[start]) + 2
         most = max(1, cells // (longest * min(longest, 48)))
-        end = start
-        while end < len(order) and end - start < most and len(units[order[end]]) <= longest:
-            end += 1
-        yield order[start:end]
+        end = min(start + most, int(np.searchsorted(lengths, longest, side="right")))
+        yield order[start:end].tolist()
         start = end
 
 
@@ -431,12 +431,12 @@ class UnitCache:
 
     def numbers(self, cut: list[list[bytes]]) -> list[np.ndarray]:
         """The number of each unit of each text."""
-        known = self.known
-        new = {u for units in cut for u in units if u not in known}
-        if len(known) + len(new) > self.most and known:
+        units = set().union(*cut)
+        new = units.difference(self.known)
+        if len(self.known) + len(new) > self.most and self.known:
             self._forget()
-            known = self.known
-            new = {u for units in cut for u in units}
+            new = units
+        known = self.known
         for u in [u for u in new if len(u) >= LongUnit.BLOCK]:
             new.discard(u)
             ids, total, loss = LongUnit(u, self.lex).best_path()
@@ -445,7 +445,7 @@ class UnitCache:
             self.ends.append(len(self.flat))
             self.scores.append(total)
             self.loss.append(loss)
-        new = sorted(new)
+        new = list(new)
         for some in _groups(new, 1_500_000):
             flat, counts, total, loss = Lattice([new[i] for i in some], self.lex).best_paths()
             first = len(self.ends)
@@ -465,14 +465,14 @@ class UnitCache:
                 np.array(self.scores, np.float64), np.array(self.loss, np.float64))
 
 
-_CACHES: dict[tuple[str, int], UnitCache] = {}
+_MODELS: dict[str, Lexicon] = {}
 
 
-def cache_for(path: str, most: int) -> UnitCache:
-    """One model and its units a worker process: they serve the next task too."""
-    if (path, most) not in _CACHES:
-        _CACHES[path, most] = UnitCache(Lexicon(path), most)
-    return _CACHES[path, most]
+def model_of(path: str) -> Lexicon:
+    """One reading of the model a worker process."""
+    if path not in _MODELS:
+        _MODELS[path] = Lexicon(path)
+    return _MODELS[path]
 
 
 ENCODED = ("doc_id long, ids array<int>, n_pieces long, score double, "
@@ -481,21 +481,23 @@ ENCODED = ("doc_id long, ids array<int>, n_pieces long, score double, "
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = 3,
-                     id_col: str = "doc_id", text_col: str = "text", cache: int = 700_000) -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000,
+                     slice_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, ids of the best path, n_pieces, score, n_best, decoded (ids give back the text).
 
     Each of ``n_best`` has its score, its number of pieces and where it differs from the best
     path: the unit's place in the text and the ids there.  ``cache`` bounds the distinct units
-    that a worker remembers.
+    that a task remembers,
+    ``slice_bytes`` the text it cuts at a time.
     """
     path = model or default_model()
     schema = arrow_schema(ENCODED)
 
     def run(batches):
-        units_of = cache_for(path, cache)
-        lex = units_of.lex
+        lex = model_of(path)
+        units_of = UnitCache(lex, cache)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", slice_bytes):
                 texts = [None if x is None else x.encode() for x in part.column("text").to_pylist()]
                 cut = [text_units(x) for x in texts]
                 at = units_of.numbers(cut)
