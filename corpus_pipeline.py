@@ -52,7 +52,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id keep a row each.  The default model's scores are merge ranks, so the
     best path is that of the lattice and not the merge order of the model's own library.
     """
-    return pieces.encode_documents(docs, cache=200_000)  # workers hold what earlier stages left too
+    # Workers hold what earlier stages left too, so less at a time than by default.
+    return pieces.encode_documents(docs, cache=200_000, slice_bytes=2 << 20)
 
 
 STAGES = [
