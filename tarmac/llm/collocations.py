@@ -327,8 +327,8 @@ def collocations(df: DataFrame, least: int = LEAST, share: int = SHARE, top: int
     texts = _prepared(df, text_col, group_col)
     words = written(count_words(texts), "phrase-words")
     often = words.filter(F.col("n") >= least)
-    parts = partition(texts, often, budget, least)
-    nodes = written(subtree_nodes(grouped_suffixes(texts, parts), least), "phrase-nodes")
+    prefixes = partition(texts, often, budget, least)
+    nodes = written(subtree_nodes(grouped_suffixes(texts, prefixes), least), "phrase-nodes")
     counts = often.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")).union(nodes.select("lang", "phrase", "f"))
     inner = F.explode(F.array(F.expr("substring_index(phrase, ' ', 2)"), F.expr("substring(phrase, length(substring_index(phrase, ' ', 1)) + 2)")))
     longer = (nodes.filter("words = 3").select("lang", "f", inner.alias("phrase")).groupBy("lang", "phrase")
@@ -337,8 +337,12 @@ def collocations(df: DataFrame, least: int = LEAST, share: int = SHARE, top: int
     kept = scored(nodes, counts).join(longer, ["lang", "phrase"], "left").filter(
         "longest IS NULL OR words > 2 OR CAST(longest AS DECIMAL(19,0)) * 100 < CAST(a AS DECIMAL(19,0)) * " + str(int(share)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # First the best of each part of a language by hash, so no task ranks all of a language.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(
+        "lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*best))).filter(F.col("rank") <= top)
+    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
