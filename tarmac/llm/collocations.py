@@ -38,6 +38,7 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 BUDGET = 1 << 20  # suffixes of a group, before equal ones are counted and rare ones left out
 SLOTS = 1 << 16
+RANKED_PARTS = 256  # parts of a language that are ranked before it
 SLICE = 4 << 20  # bytes of text cut into words at a time
 MAP_BITS = 1 << 26
 
@@ -338,10 +339,9 @@ def collocations(df: DataFrame, least: int = LEAST, share: int = SHARE, top: int
         "longest IS NULL OR words > 2 OR CAST(longest AS DECIMAL(19,0)) * 100 < CAST(a AS DECIMAL(19,0)) * " + str(int(share)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     # First the best of each part of a language by hash, so no task ranks all of a language.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     best = [F.desc("score"), F.desc("a"), "phrase"]
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(
-        "lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*best))).filter(F.col("rank") <= top)
+        "lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS))).orderBy(*best))).filter(F.col("rank") <= top)
     first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
