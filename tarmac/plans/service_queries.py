@@ -181,15 +181,16 @@ def raw_requests_stream(spark, sf):
 @register("pipeline_scores", Q.req_sql("""
 SELECT count(*) FILTER (WHERE reasons = '') AS scored, 0 AS different FROM chk"""))
 def pipeline_scores(spark, sf):
-    """The scoring steps saved as one PipelineModel and loaded again give the scores of the
-    scoring job."""
+    """The scoring steps, with the boosted model, saved as one PipelineModel and loaded again
+    give the scores of the scoring job."""
     from pyspark.ml import PipelineModel
     from tarmac.operators.requests import split_valid
     from tarmac.plans.pipeline_model import scoring_pipeline
     from tarmac.plans.scoring import score_requests
-    from tarmac.plans.training import load_artifacts, load_best
-    _res, root, cats, _proc = Q.trained(spark, sf)
-    name, model = load_best(spark, root)
+    from tarmac.plans.training import load_artifacts, load_model
+    res, root, cats, _proc = Q.trained(spark, sf)
+    name = "GradientBoosting"
+    model = load_model(name, res.model_paths[name])
     scaler, feats = load_artifacts(spark, root)
     path = shared_path(spark, "scoring-pipeline", unique=True)
     scoring_pipeline(cats, scaler, model).save(path)
