@@ -22,7 +22,7 @@ from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import constants as K
@@ -71,29 +71,38 @@ def stratified_cuts(df: DataFrame, key: str = "flight_key", label: str = K.TARGE
 
     Rows are ordered by the md5 hash of their key within each class; the cut
     for a class is the first hash at which the number of rows before it
-    reaches the target.  Per-(class, hash) counts feed the bucketed prefix sum,
-    so no task sorts a whole class; the cuts (one number per class) come back
+    reaches the target.  Rows are counted by the first 12 bits of the hash, then,
+    in the one range that holds the cut, by the whole hash: only counts are
+    shuffled (at most 4,096 and 2^21 a class); the cuts (one number per class) come back
     to the driver and the flag is a plain column expression - no join back.
     Equal keys stay on one side, so a class may exceed its target by the size
     of one duplicate group; a class that is one group is held out whole.
     """
-    from tarmac.operators.cumulative import exclusive_prefix
     frac = Fraction(test_fraction).limit_denominator(1000)
-    h = hash_bucket(key, seed)
-    per = (df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_y"), h.alias("_h"))
-           .agg(F.count(F.lit(1)).alias("_n")))
-    totals = {r["_y"]: r["_t"] for r in per.groupBy("_y").agg(F.sum("_n").alias("_t")).collect()}
-    targets = {y: (t * frac.numerator + frac.denominator - 1) // frac.denominator
-               for y, t in totals.items()}
-    cum = exclusive_prefix(per.withColumn("_hd", F.col("_h").cast("double")), "_hd", ["_n"],
-                           groups=["_y"])
-    target_col = F.lit(None).cast("long")
-    for y, t in targets.items():
-        target_col = F.when(F.col("_y") == y, F.lit(t)).otherwise(target_col)
-    cuts = {r["_y"]: r["_c"] for r in cum.filter(F.col("cum__n") >= target_col)
-            .groupBy("_y").agg(F.min("_h").alias("_c")).collect()}   # one row per class
+    known = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_y"), hash_bucket(key, seed).alias("_h")) \
+        .withColumn("_r", F.shiftright("_h", 20))
+    in_order = Window.partitionBy("_y")
+    ranges = known.groupBy("_y", "_r").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_y", "_r", "_n", F.sum("_n").over(in_order.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        # The cut is in the next range where the target is the end of this one.
+        F.lead("_r").over(in_order.orderBy("_r")).alias("_next"), F.sum("_n").over(in_order).alias("_t"))
+    target = F.expr(f"(_t * {frac.numerator} + {frac.denominator - 1}) div {frac.denominator}")
+    found = ranges.filter(F.col("_upto") >= target).groupBy("_y").agg(
+        F.min(F.struct("_r", "_next", (F.col("_upto") - F.col("_n")).alias("before"), target.alias("target"))).alias("at")) \
+        .select("_y", "at.*").collect()   # one row per class
+    if not found:
+        return {}
+    here, missing = F.lit(False), F.lit(None).cast("long")
+    for r in found:
+        mine = F.col("_y") == r["_y"]
+        here = here | (mine & F.col("_r").isin([x for x in (r["_r"], r["_next"]) if x is not None]))
+        missing = F.when(mine, F.lit(r["target"] - r["before"])).otherwise(missing)
+    before = F.sum("_n").over(in_order.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = {r["_y"]: r["_c"] for r in known.filter(here).groupBy("_y", "_h").agg(F.count(F.lit(1)).alias("_n"))
+            .select("_y", "_h", F.coalesce(before, F.lit(0)).alias("_before"))
+            .filter(F.col("_before") >= missing).groupBy("_y").agg(F.min("_h").alias("_c")).collect()}
     # No hash with enough rows before it: the target takes the last group too.
-    return {y: int(cuts.get(y, 1 << 32)) for y in targets}
+    return {r["_y"]: int(cuts.get(r["_y"], 1 << 32)) for r in found}
 
 
 # --- presets and estimators (H2-H5) ---------------------------------------------

@@ -180,3 +180,27 @@ def test_stratified_split_exact_counts(spark, sf):
         assert target <= r["k"] < target + dup
     again = df.withColumn("t", stratified_split_flag(df))
     assert flagged.exceptAll(again).count() == 0
+
+
+def test_stratified_cuts_read_their_input_twice(spark):
+    from tarmac.plans.training import hash_bucket, stratified_cuts
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    # Keys repeat, class 2 is one group, and rows without a label or a key take part as they are.
+    df = spark.range(5000).select(F.expr("CASE WHEN id % 500 <> 7 THEN concat('k', id % 2003) END").alias("flight_key"),
+                                  F.expr("CASE WHEN id % 100 = 0 THEN NULL ELSE CAST(id % 3 = 0 AS int) END").alias("is_delayed"))
+    df = df.union(spark.range(9).selectExpr("'one'", "2"))
+    got = {f: stratified_cuts(df, test_fraction=f) for f in (0.2, 0.5, 1.0)}
+    assert stratified_cuts(df.mapInArrow(count, df.schema)) == got[0.2] and seen.value == 2 * 5009
+    rows = df.filter("is_delayed IS NOT NULL").select("is_delayed", hash_bucket("flight_key").alias("h")).collect()
+    for fraction, cuts in got.items():
+        for y in (0, 1, 2):
+            hashes = sorted(r.h for r in rows if r.is_delayed == y)
+            want = [h for h in hashes if sum(x < h for x in hashes) >= -(-len(hashes) * int(10 * fraction) // 10)]
+            assert cuts[y] == (want[0] if want else 1 << 32), (fraction, y)
+    assert stratified_cuts(df.limit(0)) == {}
