@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -58,24 +57,29 @@ def scan_run_store(spark: SparkSession, root: str) -> DataFrame:
     ``<run>/meta.yaml`` the run name and times (epoch millis).  Only these files are read (a
     run's artifacts are not), many of them a task.
     """
-    files = []
-    for glob in ("metrics/*", "params/*", "tags/*", "meta.yaml"):
-        try:
-            files.append(spark.read.text(f"{root}/*/*/{glob}", wholetext=True)
-                         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
-        except AnalysisException as e:  # no run has any file of the kind
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    if not files:
+    try:
+        found = spark.read.option("recursiveFileLookup", True).text(f"{root}/*/*", wholetext=True)
+    except AnalysisException as e:  # no runs
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RUNS_SCHEMA)
-    # Spark counts 4 MB for opening a file, so tiny files would make a task for every 32.
-    files = reduce(DataFrame.union, files).coalesce(spark.sparkContext.defaultParallelism)
-    rel = F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 0)
-    kv = (files.filter(rel != "")
-          .select(F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 1).alias("run_id"),
-                  F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 2).alias("kind"),
-                  F.regexp_extract("path", r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$", 3).alias("name"),
-                  F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")))  # trim() keeps newlines
+    # One listing, by tasks, for all kinds.  Places are counted from the root: a run's artifacts
+    # may hold a folder that looks like a run.
+    path = F.col("_metadata.file_path")
+    parts = F.split(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    deep = len(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/").split("/"))
+
+    def files(pattern: str, depth: int) -> DataFrame:
+        """Text and path of the files of a kind, each read once, many a task."""
+        rows = found.filter(path.rlike(pattern) & (F.size(parts) == deep + depth)).select(F.col("value").alias("text"), path.alias("path"))
+        # Spark counts 4 MB for opening a file, so tiny files would make a task for every 32.
+        return rows.coalesce(spark.sparkContext.defaultParallelism)
+
+    value = r"/([0-9a-f]{32})/(metrics|params|tags)/([^/]+)$"
+    kv = files(value, 4).select(
+        F.regexp_extract("path", value, 1).alias("run_id"), F.regexp_extract("path", value, 2).alias("kind"),
+        F.regexp_extract("path", value, 3).alias("name"),
+        F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))  # trim() keeps newlines
     lines = F.filter(F.split(F.col("text"), r"\n"), lambda ln: F.length(F.trim(ln)) > 0)
     last_line = F.try_element_at(lines, F.lit(-1))
     metric_value = F.try_element_at(F.split(F.trim(last_line), r"\s+"), F.lit(2)).cast("double")
@@ -86,7 +90,7 @@ def scan_run_store(spark: SparkSession, root: str) -> DataFrame:
                                                  F.struct(F.col("name"), metric_value)))).alias("metrics"),
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "tags",
                                                  F.struct("name", "text")))).alias("tags"))
-    meta = (files.filter(F.col("path").rlike(r"/[0-9a-f]{32}/meta\.yaml$"))
+    meta = (files(r"/[0-9a-f]{32}/meta\.yaml$", 3)
             .select(F.regexp_extract("path", r"/([0-9a-f]{32})/meta\.yaml$", 1).alias("run_id"),
                     F.regexp_extract("text", r"(?m)^run_name:\s*(.*)$", 1).alias("run_name"),
                     F.timestamp_millis(F.regexp_extract("text", r"(?m)^start_time:\s*(\d+)", 1)

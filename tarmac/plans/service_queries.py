@@ -234,23 +234,28 @@ def run_store(spark, sf):
 
 
 def _write_run_store(spark, suppliers, root: str) -> None:
-    """The stand-in store: the layout needs a file for each value, so the driver writes them."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def put(name: str, text: str) -> None:
-        out = fs.create(hadoop.Path(f"{root}/1/{name}"))
-        out.write(bytearray(text.encode()))
-        out.close()
-
+    """The stand-in store: the layout needs a file for each value, so each task writes those of its runs."""
     rows = suppliers.select(F.md5(F.col("s_suppkey").cast("string")).alias("id"), "s_suppkey", "s_name", "s_nationkey",
                             F.round("s_acctbal", 2).cast("string").alias("balance"))
-    for r in rows.toLocalIterator():
-        start = 1772323200000 + r["s_suppkey"] * 1000
-        put(f"{r['id']}/meta.yaml", f"run_name: run of {r['s_name']}\nstart_time: {start}\nend_time: {start + 60000}\n")
-        put(f"{r['id']}/metrics/f1_score", f"{start} 0.5 0\n{start + 1} {r['balance']} 1\n")
-        put(f"{r['id']}/params/nation", str(r["s_nationkey"]))
-        put(f"{r['id']}/tags/model_type", "RandomForest")
+
+    def write(runs):
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root)
+
+        def put(name: str, text: str) -> None:
+            with store.open_output_stream(f"{base}/1/{name}") as out:
+                out.write(text.encode())
+
+        for r in runs:
+            start = 1772323200000 + r["s_suppkey"] * 1000
+            for kind in ("metrics", "params", "tags"):
+                store.create_dir(f"{base}/1/{r['id']}/{kind}")
+            put(f"{r['id']}/meta.yaml", f"run_name: run of {r['s_name']}\nstart_time: {start}\nend_time: {start + 60000}\n")
+            put(f"{r['id']}/metrics/f1_score", f"{start} 0.5 0\n{start + 1} {r['balance']} 1\n")
+            put(f"{r['id']}/params/nation", str(r["s_nationkey"]))
+            put(f"{r['id']}/tags/model_type", "RandomForest")
+
+    rows.repartition(spark.sparkContext.defaultParallelism).foreachPartition(write)
 
 
 @register("drift_report_file", Q._drift_sql().replace("SELECT feature, p < ", ", res AS (SELECT feature, p < ", 1) + """)

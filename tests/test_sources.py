@@ -139,3 +139,28 @@ def test_log_keeps_every_append(spark, sf, tmp):
     assert back.count() == 30 + 7 + 5
     last = history(back, 5).drop("total", "event_id")
     assert last.exceptAll(log.limit(5)).count() == 0 and recent(back, 5).count() == 5
+
+
+def test_run_store_is_written_by_tasks_and_read_at_its_depth(spark, sf, tmp, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Rows
+    from tarmac.plans.service_queries import _write_run_store
+
+    def none(*_):
+        raise AssertionError("rows pass through the driver")
+
+    monkeypatch.setattr(Rows, "toLocalIterator", none)
+    suppliers = T.table(spark, sf, "supplier")
+    root = os.path.join(tmp, "a5" * 16)  # a root that looks like a run
+    _write_run_store(spark, suppliers, root)
+    run = sorted(os.listdir(f"{root}/1"))[0]
+    deep = f"{root}/1/{run}/artifacts/{'b7' * 16}"
+    os.makedirs(f"{deep}/params")
+    for name in ("meta.yaml", "params/nation"):
+        with open(f"{deep}/{name}", "w") as f:
+            f.write("run_name: an artifact")
+    found = scan_run_store(spark, root)
+    want = suppliers.selectExpr("md5(CAST(s_suppkey AS string))", "concat('run of ', s_name)", "CAST(s_nationkey AS string)",
+                                "CAST(round(s_acctbal, 2) AS double)")
+    got = found.select("run_id", "run_name", F.col("params")["nation"], F.col("metrics")["f1_score"])
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert scan_run_store(spark, f"{tmp}/no such store").count() == 0
