@@ -70,6 +70,15 @@ def test_spread_only_small_partition_counts(spark):
     assert spread_for_heavy_work(many) is many
 
 
+def test_spread_goes_by_the_files_of_a_join(spark, sf):
+    from tarmac.plans.training import prepare
+    flights = T.flights_raw(spark, sf)  # a join of a few small files: Spark's estimate of it is their product
+    cores = spark.sparkContext.defaultParallelism
+    assert flights.rdd.getNumPartitions() < cores == spread_for_heavy_work(flights).rdd.getNumPartitions()
+    rows = prepare(Q.processed(spark, sf)).data.groupBy(F.input_file_name()).count().collect()
+    assert len(rows) >= cores and max(r["count"] for r in rows) < 2 * min(r["count"] for r in rows)
+
+
 def test_spread_starts_no_job(spark, sf):
     sc = spark.sparkContext
     shuffled = Q.delay_rate_by_carrier(spark, sf).repartition(3, "Reporting_Airline")
