@@ -564,3 +564,23 @@ def test_line_dedup_equals_brute_force(spark, docs, frame, empty):
 def test_line_dedup_plan_is_native(frame):
     plan = line_dedup.dedup_lines(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_crf_fit_gives_its_memory_back(spark, monkeypatch):
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("VmRSS")) >> 10
+
+    kept = []
+
+    def fit(texts, labels, weight):
+        small = [bytes(700) for _ in range(200_000)]  # 140 MB of the C library's own pieces
+        kept.append(bytes(700))  # above them: without it they would go back by themselves
+        del small
+        return "a model"
+
+    monkeypatch.setattr(crf, "fit", fit)
+    docs = spark.createDataFrame([(i, "some text") for i in range(20)], "doc_id long, text string")
+    before = held()
+    assert crf.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")) == "a model"
+    assert held() - before < 60
