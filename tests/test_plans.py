@@ -99,3 +99,32 @@ def test_auc_reads_its_input_once(spark, tmp):
 def test_range_count_follows_the_input(spark):
     from tarmac.operators.cumulative import range_count
     assert range_count(spark.range(10 ** 11)) > range_count(spark.range(1000)) == 256
+
+
+def test_fits_side_by_side_share_the_cores(spark):
+    from tarmac.plans.training import own_lane
+    cores = spark.sparkContext.defaultParallelism
+    train, names = spark.range(0, 1000, 1, 4 * cores), ["LogisticRegression", "RandomForest", "GradientBoosting"]
+    lanes = {n: own_lane(train, n, names) for n in names}
+    assert all(x.count() == 1000 for x in lanes.values())
+    widths = {n: x.rdd.getNumPartitions() for n, x in lanes.items()}
+    assert all(2 <= w <= max(2, cores * 7 // 12) for w in widths.values()), widths
+    assert own_lane(train, "RandomForest", ["RandomForest"]).rdd.getNumPartitions() == cores
+
+
+def test_the_training_set_is_derived_once(spark, sf):
+    from pyspark.sql import functions as F
+    from tarmac.functions import constants as K
+    from tarmac.plans import queries as Q
+    from tarmac.plans.training import prepare
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(label):
+        seen.add(1)
+        return label
+
+    rows = Q.processed(spark, sf).limit(500).localCheckpoint()
+    prepared = prepare(rows.withColumn(K.TARGET, counted.asNondeterministic()(K.TARGET)))
+    assert prepared.n_train + prepared.n_test == 500
+    assert prepared.data.count() == 500 and seen.value == 500
