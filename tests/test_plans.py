@@ -112,6 +112,27 @@ def test_fits_side_by_side_share_the_cores(spark):
     assert own_lane(train, "RandomForest", ["RandomForest"]).rdd.getNumPartitions() == cores
 
 
+def test_a_forest_in_parts_is_one_forest(spark, sf, tmp):
+    from tarmac.functions import constants as K
+    from tarmac.plans import queries as Q
+    from tarmac.plans.training import Preset, fit_forest, load_model, make_estimator, prepare
+    prepared = prepare(Q.processed(spark, sf).limit(800))
+    path = f"{tmp}/rows"
+    prepared.data.coalesce(1).write.parquet(path)
+    rows, est = spark.read.parquet(path), make_estimator("RandomForest", Preset(1, 19, 5, 1, 1), float(prepared.n_train))
+    narrow, wide = fit_forest(est, rows, 1), fit_forest(est, rows, 4)
+    # Its trees are all there, differ, and do not follow the size of the cluster.
+    debug = [[t._call_java("toDebugString").split("\n", 1)[1] for t in m.trees] for m in (narrow, wide)]
+    assert debug[0] == debug[1] and len(set(debug[0])) == narrow.getNumTrees == 19
+    assert narrow.getMaxDepth() == 5 and narrow.getSeed() == K.SPLIT_SEED
+    assert abs(narrow.featureImportances.toArray().sum() - 1) < 1e-9
+    narrow.write().save(f"{tmp}/forest")
+    loaded = load_model("RandomForest", f"{tmp}/forest")
+    answers = [m.transform(rows).select("flight_key", "probability", "prediction").collect() for m in (narrow, loaded)]
+    assert loaded.getNumTrees == 19 and answers[0] == answers[1]
+    assert {r["prediction"] for r in answers[0]} == {0.0, 1.0}
+
+
 def test_the_training_set_is_derived_once(spark, sf):
     from pyspark.sql import functions as F
     from tarmac.functions import constants as K
