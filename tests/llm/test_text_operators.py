@@ -262,6 +262,28 @@ def test_repeated_strings_equal_brute_force(spark, docs, empty):
 
 # --- 6: language model ----------------------------------------------------------------------
 
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_context_walk_in_blocks_equals_a_plain_one(monkeypatch, levels):
+    monkeypatch.setattr(context_tree, "BLOCK", 7)
+    rng, tree = np.random.default_rng(3), context_tree.Tree()
+    tree.grow(np.zeros(5, np.int64), np.arange(5))   # not every byte is a context
+    for _ in range(levels - 1):
+        last = np.flatnonzero(tree.depth == tree.levels)
+        tree.grow(*np.array([(n, b) for n in last for b in range(6) if rng.random() < 0.4], np.int64).T)
+    whole = rng.integers(0, 7, 500).astype(np.uint8)
+    at = np.flatnonzero(rng.random(len(whole)) < 0.9)
+    at = at[at >= levels]
+    want, full = [], []
+    for i in at:
+        node, d = 0, 0
+        while d < levels and tree.next[node, whole[i - d - 1]]:
+            node, d = int(tree.next[node, whole[i - d - 1]]), d + 1
+        want.append(node)
+        full.append(node if d == levels else 0)
+    assert tree.deepest(whole, at).tolist() == want
+    assert tree.deepest(whole, at, True).tolist() == full
+
+
 def test_context_tree_base_and_probabilities(spark, docs, frame, empty):
     got = context_tree.score_documents(frame).collect()
     space = re.compile(r"[^\x20\x09-\x0D]+")
