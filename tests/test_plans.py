@@ -149,3 +149,27 @@ def test_the_training_set_is_derived_once(spark, sf):
     prepared = prepare(rows.withColumn(K.TARGET, counted.asNondeterministic()(K.TARGET)))
     assert prepared.n_train + prepared.n_test == 500
     assert prepared.data.count() == 500 and seen.value == 500
+
+
+def test_a_small_training_set_has_few_tasks(spark):
+    from tarmac.plans.training import LANE_ROWS, own_lane
+    train, names = spark.range(0, 1000, 1, 16), ["LogisticRegression", "GradientBoosting"]
+    few = own_lane(train, "GradientBoosting", names, LANE_ROWS - 1)
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 1000
+    wide = own_lane(train, "GradientBoosting", names, 100 * LANE_ROWS)
+    assert wide.rdd.getNumPartitions() == own_lane(train, "GradientBoosting", names).rdd.getNumPartitions() > 1
+
+
+def test_fits_read_a_finished_table(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+    from tarmac.plans import queries as Q
+    from tarmac.plans.training import prepare
+    rows = Q.processed(spark, sf).limit(500).localCheckpoint()
+    prepared = prepare(rows)
+    # Rows come scaled and assembled, as no task of a fit should do it again.
+    plan = prepared.data.filter("is_test = 0").select("label", "weight", "features")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and plan.count("Relation") == 1
+    want = rows.select("flight_key", F.array(*prepared.scaler.columns()).alias("x")).groupBy("flight_key").agg(F.sort_array(F.collect_list("x")))
+    got = prepared.data.select("flight_key", vector_to_array("features").alias("x")).groupBy("flight_key").agg(F.sort_array(F.collect_list("x")))
+    assert want.count() == got.count() > 0 and want.exceptAll(got).count() == 0
