@@ -23,17 +23,17 @@ of 64 words, so no transition is learned across their cuts; extra columns are ig
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import keyed_text, slices, table, with_results, written
+from tarmac.llm.inputs import give_back, keyed_text, slices, table, with_results, written
 
 SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
+#: Words whose emission a task remembers, bytes of text scored at a time, and cells of a padded part of it.
+KNOWN, SLICE, CELLS = 100_000, 1 << 20, 250_000
 PREFIXES = (3, 4, 5, 6)
 #: Lower-case A-Z, keep letters, digits, non-ASCII bytes and newlines; the rest parts words.
 _TABLE = bytes(10 if i == 10 else (i + 32 if 65 <= i <= 90 else i)
@@ -93,7 +93,7 @@ class Tagger:
     def emission(self, word: bytes) -> float:
         found = self._words.get(word)
         if found is None:
-            if len(self._words) > 400_000:
+            if len(self._words) >= KNOWN:
                 self._words.clear()
             get = self.weights.get
             found = sum(get(f, 0.0) for f in features_of(word))
@@ -126,9 +126,9 @@ class Tagger:
             else:
                 out[i] = self.quiet(len(x))
         busy.sort(key=lambda i: len(lines[i]))
-        while busy:  # padded together: at most about a million cells
+        while busy:  # padded together
             longest = len(lines[busy[-1]])
-            some = busy[-max(1, 500_000 // longest):]
+            some = busy[-max(1, CELLS // longest):]
             del busy[-len(some):]
             for i, m in zip(some, self._run([lines[i] for i in some])):
                 out[i] = m
@@ -317,18 +317,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     return model
 
 
-def give_back() -> None:
-    """Return freed memory to the system.
-
-    The C library keeps what small objects leave, about 150 MB after a fit on a full sample, and
-    the driver's later jobs would come on top.
-    """
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim:
-        trim(0)
-
-
 def char_spans(text: bytes, marginal: np.ndarray) -> list[dict]:
     """Character offsets of the runs of words with a marginal of one half or more."""
     plain = np.frombuffer(text.translate(_TABLE), np.uint8)
@@ -353,7 +341,7 @@ def annotate(df: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
 
     def run(batch):
         tagger = sent.value
-        for part in slices(batch, text_col, 4 << 20):
+        for part in slices(batch, text_col, SLICE):
             texts = [None if x is None else x.encode() for x in part.column(text_col).to_pylist()]
             top, total, owner, found = tagger.score(texts)
             cuts: list[list] = [[] for _ in texts]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, dropped, keyed_text, mix64, raw_bytes,
+from tarmac.llm.inputs import (WORD_TABLE, PrefixHash, arrow_schema, dropped, giving_back, keyed_text, mix64, raw_bytes,
                                slices, spans, table, with_results, written)
 
 #: Coordinates of a signature; the first BANDS * ROWS make the bands, all make the estimate.
@@ -164,7 +164,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id").cast(pa.int64()), pa.array(keys[0].view(np.int64)),
                      pa.array(keys[1].view(np.int64)), pa.array(words.astype(np.int64)), lists, darts], schema=schema)
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(giving_back(run), SIGNED)
 
 
 def _multisets(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _multisets(docs: DataFrame) -> DataFrame:
                     [pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
                      pa.array([cells[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(giving_back(run), ddl)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -206,7 +206,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
                 keep[i] = _alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, ddl)
+    return pairs.mapInArrow(giving_back(run), ddl)
 
 
 def components(edges: DataFrame) -> DataFrame:

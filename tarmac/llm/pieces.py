@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.inputs import PrefixHash, arrow_schema, keyed_text, slices, table
+from tarmac.llm.inputs import PrefixHash, arrow_schema, giving_back, keyed_text, slices, table
 
 BLANK = "▁".encode()
 NEWLINE_OR_UNIT = re.compile(rb"\n|(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81)[^\n])+|(?:\xe2\x96\x81)+")
@@ -531,7 +531,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = 3,
                     [part.column("doc_id").cast(pa.int64()), lists, pa.array(counts), pa.array(total, pa.float64()),
                      pa.array(paths, schema.field("n_best").type), pa.array(good, pa.bool_())], schema=schema)
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, ENCODED)
+    return keyed_text(docs, id_col, text_col).mapInArrow(giving_back(run), ENCODED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
