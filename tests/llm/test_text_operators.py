@@ -327,6 +327,89 @@ def test_context_tree_is_a_distribution_and_matches_recursion(spark):
     assert np.allclose((10.0 ** (model.steps / -model.STEPS)).sum(axis=1), 1, atol=2e-3) and model.tree.levels > 2
 
 
+def mixture_by_force(training, texts, deepest):
+    """log10 probabilities of texts by the mixture of all contexts that training texts hold."""
+    def places(t):
+        b = [255] * deepest + list(lower(t).encode()) + [255]
+        return [(b[i], tuple(b[i - d] for d in range(1, deepest + 1))) for i in range(deepest, len(b))]
+
+    def bits(byte):
+        return [((256 | byte) >> (8 - k), byte >> (7 - k) & 1) for k in range(8)]
+    count, longer = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t in training:
+        for byte, before in places(t):
+            for q, bit in bits(byte):
+                for d in range(deepest + 1):
+                    count[before[:d], q][bit] += 1
+                    if d:
+                        longer[before[:d - 1], q].add(before[:d])
+    kt = lambda z, o: math.lgamma(z + .5) + math.lgamma(o + .5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    kept = {}
+
+    def weighted(ctx, q):
+        if (ctx, q) not in kept:
+            own = kt(*count[ctx, q])
+            if len(ctx) == deepest:
+                kept[ctx, q] = own, 1.0
+            else:
+                below = sum(weighted(c, q)[0] for c in longer[ctx, q])
+                w = np.logaddexp(own, below) - math.log(2)
+                kept[ctx, q] = w, math.exp(own - math.log(2) - w)
+        return kept[ctx, q]
+
+    def score(byte, before):
+        total = 0.0
+        for q, bit in bits(byte):
+            mixed, left, p = 0.0, 1.0, 0.5
+            for d in range(deepest + 1):
+                if (before[:d], q) not in count:
+                    break
+                z, o = count[before[:d], q]
+                own, stay = (o + .5) / (z + o + 1), weighted(before[:d], q)[1]
+                p = mixed + left * own
+                mixed, left = mixed + left * stay * own, left * (1 - stay)
+            total += math.log10(p if bit else 1 - p)
+        return total
+    return [sum(score(*x) for x in places(t)) for t in texts]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_context_tree_scores_equal_the_mixture_of_all_contexts(spark, docs, monkeypatch, few):
+    rows = [(i, (t or "")[:300]) for i, t in docs[:25] + docs[-10:]] if few else docs[:2] + [(None, "ab" * 40), (5, None)]
+    monkeypatch.setattr(context_tree, "CHUNK", 500)   # texts are taken in several parts
+    learns = [t or "" for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    got = context_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = mixture_by_force(learns, [t or "" for _, t in rows], context_tree.DEPTH)
+    want = sorted((repr(i), x) for (i, _), x in zip(rows, want))
+    assert len(got) == len(rows) and any(r.held_out for r in got)
+    for r, (i, x) in zip(sorted(got, key=lambda r: (repr(r.doc_id), r.score)), want):
+        # Each byte is rounded to 1/2000.
+        assert repr(r.doc_id) == i and r.score == pytest.approx(x, abs=0.00025 * (r.score / -r.bits_per_byte * math.log2(10) + 1))
+
+
+def test_context_tree_keeps_every_context(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 30_000))) for _ in range(4)]
+    model = context_tree.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    padded = ["\xff" * 6 + t + "\xff" for t in texts]
+    held = Counter(t[i:i + 7] for t in padded for i in range(len(t) - 6))
+    assert len(held) > 65_536
+    kept = {}
+    for r in model.counts.collect():
+        some, times = context_tree._summed(r.some), context_tree._unplanes(r.times, np.int64)
+        kept.update(((bytes(int(x).to_bytes(8, "big")[5::-1] + int(x).to_bytes(8, "big")[7:]).decode("latin1"), int(n))
+                     for x, n in zip(some, times)))
+    assert kept == held
+
+
+def test_a_gathered_context_model_scores_as_the_shards_do(spark):
+    learns, asked = "the cat sat on the mat. " * 3, b"the bat sat on a mat"
+    model = context_tree.train(spark.createDataFrame([(1, learns)], "doc_id long, text string"))
+    data, offsets = np.frombuffer(asked, np.uint8), np.array([0, len(asked)])
+    plain = model.log10(*context_tree.whole_bytes(data, offsets, context_tree.DEPTH)).sum()
+    assert plain == pytest.approx(mixture_by_force([learns], [asked.decode()], context_tree.DEPTH)[0], abs=0.01)
+
+
 # --- 7: toxicity ----------------------------------------------------------------------------
 
 def test_crf_forward_backward_equals_enumeration():
